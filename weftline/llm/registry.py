@@ -2,8 +2,20 @@
 
 from __future__ import annotations
 
+from .decontaminate import op8_decontaminate
+from .language import op2_language
+from .licenses import op7_licenses
 from .media import op1_media
+from .packing import op9_packing
+from .substrings import OP6_SQL, op6_substrings
 
-QUERIES = {"op1_media": op1_media}
+QUERIES = {
+    "op1_media": op1_media,
+    "op2_language": op2_language,
+    "op6_substrings": op6_substrings,
+    "op7_licenses": op7_licenses,
+    "op8_decontaminate": op8_decontaminate,
+    "op9_packing": op9_packing,
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op6_substrings": OP6_SQL}
