@@ -56,7 +56,7 @@ TEMPLATES = {
 FUNCTION_WORDS = set("a an and any as at be by for in is it of on or that the this to with".split())
 #: Diagonals this near each other belong to one span; a template's span must cover this share of its votes.
 NEAR = 3
-COVERAGE = 0.8
+COVERAGE = 0.85
 
 
 def hashes_of(texts: list[str]) -> list[np.ndarray]:

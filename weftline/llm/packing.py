@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import binaries, mapped, table, written
-from .textkit import ASCII_SPACE, LOWER, Words, chunks, find_words, word_hashes
+from .textkit import ASCII_SPACE, LOWER, HashIndex, Words, chunks, find_words, word_hashes
 
 WINDOW = 4096
 END = 2
@@ -65,7 +65,7 @@ _CLASS = _classes()
 
 
 class Vocabulary:
-    """Token ids of text pieces by hash: an open-addressing table in arrays, emptied when full."""
+    """Token ids of text pieces by hash; emptied when its bound is reached."""
 
     def __init__(self, path: str, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -77,8 +77,7 @@ class Vocabulary:
         self.clear()
 
     def clear(self):
-        self.keys = np.zeros(1 << _CACHE_BITS, np.uint64)
-        self.values = np.zeros(1 << _CACHE_BITS, np.int32)
+        self.index = HashIndex(_CACHE_BITS)
         self.size = 1
         self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.lengths[0] = 1  # piece 0 is the end id
@@ -86,23 +85,6 @@ class Vocabulary:
         self.used = 1
         self.odd: dict = {}
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        mask = np.uint64((1 << _CACHE_BITS) - 1)
-        out = np.full(len(h), -1, np.int32)
-        slot = (h & mask).view(np.int64)
-        have = self.keys.take(slot)
-        hit = have == h
-        out[hit] = self.values.take(slot[hit])
-        on = np.flatnonzero(~hit & (have != 0))
-        while len(on):
-            slot = (slot if len(slot) == len(on) else slot[on]) + 1 & int(mask)
-            have = self.keys.take(slot)
-            hit = have == h[on]
-            out[on[hit]] = self.values.take(slot[hit])
-            go = ~hit & (have != 0)
-            on, slot = on[go], slot[go]
-        return out
-
     def add(self, h: np.ndarray, pieces: list[str]):
         """New, distinct hashes and their texts."""
         if self.size + len(h) > 1 << (_CACHE_BITS - 1):
@@ -120,21 +102,8 @@ class Vocabulary:
             self.flat = np.concatenate([self.flat, np.zeros(self.used + len(more), self.kind)])
         self.flat[self.used : self.used + len(more)] = more
         self.used += len(more)
-        value = np.arange(self.size, need, dtype=np.int32)
+        self.index.add(h, np.arange(self.size, need, dtype=np.int32))
         self.size = need
-        mask = (1 << _CACHE_BITS) - 1
-        slot, left = (h & np.uint64(mask)).view(np.int64), np.arange(len(h))
-        while len(left):
-            at = slot[left]
-            free = self.keys[at] == 0
-            got, first = np.unique(at[free], return_index=True)
-            mine = left[free][first]
-            self.keys[got] = h[mine]
-            self.values[got] = value[mine]
-            done = np.zeros(len(h), bool)
-            done[mine] = True
-            left = left[~done[left]]
-            slot[left] = slot[left] + 1 & mask
 
     def encode(self, chunk) -> tuple[np.ndarray, np.ndarray]:
         """All rows' ids, each row's followed by the end id, and how many each row has."""
@@ -157,7 +126,7 @@ class Vocabulary:
         special = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))
         whole = np.unique(np.searchsorted(chunk.ends, special, "right"))  # rows that may hold a special token's text
         h = np.maximum(word_hashes(LOWER[data], pieces), 1)
-        found = self.find(h)
+        found = self.index.find(h)
         miss = np.flatnonzero(found < 0)
         if len(miss):
             new, first = np.unique(h[miss], return_index=True)
@@ -166,12 +135,12 @@ class Vocabulary:
             self.add(new, [data[x:y].tobytes().decode() for x, y in zip(begin[at], end[at], strict=True)])
             if self.size < before + len(new):  # it was emptied
                 known = np.unique(h, return_index=True)
-                lost = self.find(known[0]) < 0
+                lost = self.index.find(known[0]) < 0
                 at = known[1][lost]
                 self.add(known[0][lost], [data[x:y].tobytes().decode() for x, y in zip(begin[at], end[at], strict=True)])
-                found = self.find(h)
+                found = self.index.find(h)
             else:
-                found[miss] = self.find(h[miss])
+                found[miss] = self.index.find(h[miss])
         counts = pieces.row_to - pieces.row_from
         # the end id's piece after each row's pieces
         order = np.zeros(len(found) + chunk.rows, np.int64)

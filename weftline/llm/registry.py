@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+from .chat import OP5_SQL, op5_chat
 from .decontaminate import op8_decontaminate
+from .hmm import op10_hmm
 from .language import op2_language
 from .licenses import op7_licenses
 from .media import op1_media
+from .near import op3_near
 from .packing import op9_packing
+from .sharding import op4_sharding
 from .substrings import OP6_SQL, op6_substrings
 
 QUERIES = {
     "op1_media": op1_media,
     "op2_language": op2_language,
+    "op3_near": op3_near,
+    "op4_sharding": op4_sharding,
+    "op5_chat": op5_chat,
     "op6_substrings": op6_substrings,
     "op7_licenses": op7_licenses,
     "op8_decontaminate": op8_decontaminate,
     "op9_packing": op9_packing,
+    "op10_hmm": op10_hmm,
 }
 
-ORACLE_SQL = {"op6_substrings": OP6_SQL}
+ORACLE_SQL = {"op5_chat": OP5_SQL, "op6_substrings": OP6_SQL}

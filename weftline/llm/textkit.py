@@ -178,3 +178,45 @@ def row_of(words: Words, n_words: int) -> np.ndarray:
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+class HashIndex:
+    """Numbers by 64-bit hash (never 0): an open-addressing table in arrays, at most half full."""
+
+    def __init__(self, bits: int):
+        self.bits, self.mask = bits, (1 << bits) - 1
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.values = np.zeros(1 << bits, np.int32)
+
+    @classmethod
+    def of(cls, h: np.ndarray) -> HashIndex:
+        """Each distinct hash by its place in ``h``."""
+        out = cls(max(10, (2 * len(h)).bit_length()))
+        out.add(h, np.arange(len(h), dtype=np.int32))
+        return out
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, or -1."""
+        out = np.full(len(h), -1, np.int32)
+        on, slot, rest = np.arange(len(h)), (h & np.uint64(self.mask)).view(np.int64), h
+        while len(on):
+            have = self.keys.take(slot)
+            hit = have == rest
+            out[on[hit]] = self.values.take(slot[hit])
+            go = ~hit & (have != 0)
+            on, slot, rest = on[go], slot[go] + 1 & self.mask, rest[go]
+        return out
+
+    def add(self, h: np.ndarray, values: np.ndarray) -> None:
+        """Distinct hashes that are not in the table."""
+        slot, left = (h & np.uint64(self.mask)).view(np.int64).copy(), np.arange(len(h))
+        while len(left):
+            free = self.keys[slot[left]] == 0
+            got, first = np.unique(slot[left[free]], return_index=True)
+            mine = left[free][first]
+            self.keys[got] = h[mine]
+            self.values[got] = values[mine]
+            done = np.zeros(len(h), bool)
+            done[mine] = True
+            left = left[~done[left]]
+            slot[left] = slot[left] + 1 & self.mask
