@@ -21,6 +21,7 @@ NEAR_DUPLICATE_SIMILARITY = 0.8
 def configure(spark: SparkSession) -> SparkSession:
     """Bounds Python workers' memory: small Arrow batches, whatever the partition's size."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     return spark
 
 

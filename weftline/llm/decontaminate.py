@@ -174,5 +174,25 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     return out
 
 
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of docs, with all their columns, in which no item is found."""
+    schema, found = docs.schema, docs
+    for ids, texts in blocks(items, item_col, item_text, block_words):
+        shared = docs.sparkSession.sparkContext.broadcast(Index(ids, texts, rate, min_words))
+
+        def run(batches, shared=shared):
+            filters: dict = {}
+            for batch in batches:
+                hit = {c.first + got[0] for c in chunks(batch.column(batch.num_columns - 1)) for got in shared.value.hits(c, filters)}
+                keep = pa.array([k for k in range(batch.num_rows) if k not in hit], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(k).take(keep) for k in range(len(schema))], [f.name for f in schema])
+
+        lowered = "lowered_text"
+        while lowered in docs.columns:
+            lowered += "_"
+        found = found.withColumn(lowered, F.lower(F.col(text_col).cast("string"))).mapInArrow(run, schema)
+    return found
+
+
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")

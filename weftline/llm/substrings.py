@@ -209,11 +209,11 @@ def _gather(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, gap: int) -
     return out, to
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, window: int = WINDOW, seed: int = SEED_WORDS, bits: int = SKETCH_BITS) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256; with keep_text also key (see row_key) and kept_text, whose words keep their white space."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.select("id", row_key("id", "text").alias("key"), "text")
-    found = marks(rows, window, seed, bits)
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, keep: tuple = (), window: int = WINDOW, seed: int = SEED_WORDS, bits: int = SKETCH_BITS) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256; with keep_text also kept_text, whose words keep their white space; and the columns of keep."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
+    rows = rows.select("id", row_key("id", "text").alias("key"), "text", *(f"keep_{c}" for c in keep))
+    found = marks(rows.select("id", "key", "text"), window, seed, bits)
     both = rows.join(found.withColumnRenamed("id", "_id").withColumnRenamed("key", "_key"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
 
     def cut(batch):
@@ -234,11 +234,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 ends = np.repeat(c.ends, words.count)
                 whole, to = _gather(c.data, words.begin[live], np.minimum(after, ends)[live] - words.begin[live], 0)
                 raw = whole.tobytes()
-                out |= {"key": batch.column(1).slice(c.first, c.rows), "kept_text": [raw[to[a] : to[b]].decode() for a, b in zip(first, last, strict=True)]}
-            yield out
+                out |= {"kept_text": [raw[to[a] : to[b]].decode() for a, b in zip(first, last, strict=True)]}
+            yield out | {name: batch.column(4 + k).slice(c.first, c.rows) for k, name in enumerate(keep)}
 
-    kinds = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", key long, kept_text string" * keep_text
-    return mapped(both.select("id", "key", "text", "marks"), cut, kinds)
+    kept = "".join(f", {c} {dict(docs.dtypes)[c]}" for c in keep)
+    kinds = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text + kept
+    return mapped(both.select("id", "key", "text", "marks", *(f"keep_{c}" for c in keep)), cut, kinds)
 
 
 def op6_substrings(spark, sf_dir: str) -> DataFrame:
