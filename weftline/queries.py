@@ -339,11 +339,11 @@ def apply_semi_join(spark, sf_dir):
     return review.apply_selection(d, accepted).select(F.col("tu_index").alias("doc_id"), F.col("file_id").alias("lang"))
 
 
-@query(f"WITH {_MERGED} SELECT id, tu_index FROM m WHERE source IN ('src1', 'src2', 'src3') AND status = 'accepted' AND contains(lower(concat_ws(' ', 'tu #' || (tu_index + 1), id, comment)), 'see') ORDER BY tu_index LIMIT 5 OFFSET 5")
+@query(f"WITH {_MERGED} SELECT id, tu_index FROM m WHERE source IN ('src1', 'src2', 'src3') AND status = 'accepted' AND contains(lower(concat_ws(' ', 'tu #' || (tu_index + 1), id, comment)), 'see') ORDER BY tu_index LIMIT 5")
 def review_search_page(spark, sf_dir):
     m = _merged(spark, sf_dir).withColumn("check_type", F.col("source"))
     text = review.search_text([F.concat(F.lit("tu #"), F.col("tu_index") + 1), F.col("id"), F.col("comment")])
-    return review.review_page(m.withColumn("search_text", text), ["src1", "src2", "src3"], "accepted", "See", 1, ["tu_index"], 5).select("id", "tu_index")
+    return review.review_page(m.withColumn("search_text", text), ["src1", "src2", "src3"], "accepted", "See", 0, ["tu_index"], 5).select("id", "tu_index")
 
 
 # ---- statistics ----
@@ -511,9 +511,9 @@ def reconcile_dp(spark, sf_dir):
 
 @query(None)
 def diff_segments(spark, sf_dir):
-    p = pairs(spark, sf_dir)
-    d = diff.diff_segments(by_token=True)(F.col("src"), rules.normalize_spaces(F.col("src")))
-    return p.select("file_id", "tu_index", F.to_json(d).alias("runs"))
+    p = pairs(spark, sf_dir).withColumn("after", rules.normalize_spaces(F.col("src")))
+    d = p.select("file_id", "tu_index", diff.diff_segments(by_token=True)("src", "after").alias("d"))
+    return d.select("file_id", "tu_index", F.to_json("d").alias("runs"))
 
 
 @query(f"""WITH {P}, b AS (SELECT *, {q_breaks(q_game(q_percent('src')))} AS s1, {q_breaks(q_game(q_percent('tgt')))} AS t1 FROM p),
