@@ -134,7 +134,7 @@ def length_anomaly(src: Column, tgt: Column) -> Column:
 
 def fold(text: Column) -> Column:
     """Case folding, near enough: also tells ß and ss alike."""
-    return F.lower(F.upper(text))
+    return F.replace(F.lower(F.upper(text)), F.lit("ß"), F.lit("ss"))
 
 
 def is_identical(src: Column, tgt: Column, src_lang: Column, tgt_lang: Column) -> Column:

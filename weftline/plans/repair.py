@@ -39,6 +39,14 @@ class Result:
     output: DataFrame  # file_id, tu_index, part_index, unit
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Computed once: several outputs read it, and filters on what rules found are not rewritten into the rules.
+
+    A reliable checkpoint where the session has a folder for them, else kept in memory and on disk.
+    """
+    return df.checkpoint(eager=False) if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 def find_splits(df: DataFrame, settings: Settings) -> DataFrame:
     """df with src_parts, tgt_parts (null if no split is proposed) and split_skip."""
     able = F.col("skip_reason").isNull() & F.col("remove_reason").isNull() & ~F.col("is_duplicate")
@@ -50,13 +58,15 @@ def find_splits(df: DataFrame, settings: Settings) -> DataFrame:
     df = df.withColumns({"_a": F.when(able & bare, S.split_text(F.col("clean_src"))), "_b": F.when(able & bare, S.split_text(F.col("clean_tgt")))})
     easy = bare & ((F.size("_a") < 2) | (F.size("_b") < 2) | (F.size("_a") == F.size("_b")))
     hard = able & ~easy & F.col("clean_src").rlike(r"[.!?…\n]") & F.col("clean_tgt").rlike(r"[.!?…\n]")
+    df = settled(df.withColumns({"_easy": easy, "_hard": hard}))
+    easy, hard = F.col("_easy"), F.col("_hard")
     df = df.withColumn("_p", S.split_pair(F.when(hard, F.col("clean_src")), F.when(hard, F.col("clean_tgt"))))
     plain_s, plain_t = F.when(easy, F.col("_a")).otherwise(F.col("_p.src_plain")), F.when(easy, F.col("_b")).otherwise(F.col("_p.tgt_plain"))
     df = df.withColumn("_why", F.when(plain_s.isNotNull() & plain_t.isNotNull(), S.guards(plain_s, plain_t, settings.short_pair_guard, settings.noise_guard)).otherwise("none"))
     good = able & F.col("_why").isNull()
     parts = lambda e, h: F.when(good, F.when(easy, F.col(e)).otherwise(F.col(h)))
     df = df.withColumns({"src_parts": parts("_a", "_p.src"), "tgt_parts": parts("_b", "_p.tgt")})
-    return df.withColumn("split_skip", F.when(able & F.col("src_parts").isNull(), "no_split_proposal")).drop("_a", "_b", "_p", "_why")
+    return df.withColumn("split_skip", F.when(able & F.col("src_parts").isNull(), "no_split_proposal")).drop("_a", "_b", "_p", "_why", "_easy", "_hard")
 
 
 def check_splits(df: DataFrame, settings: Settings, verifier: Callable | None, cache: DataFrame | None) -> DataFrame:
@@ -79,7 +89,7 @@ def check_splits(df: DataFrame, settings: Settings, verifier: Callable | None, c
         first = first.withColumn("_n", units.number_in(["file_id"], ["tu_index"])).where(F.col("_n") <= settings.max_checks).drop("_n")
     # a written checkpoint: paid calls are not made again when a plan is recomputed
     called = verify(first, verifier, settings.parallel).select("cache_key", F.col("file_id").alias("call_file"), F.col("tu_index").alias("call_unit"), F.col("verdict").alias("new_verdict"), F.col("summary").alias("new_summary"), "prompt_tokens", "candidate_tokens")
-    called = called.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else called.persist()
+    called = settled(called)
     df = df.join(called, "cache_key", "left")
     if cached is not None:
         df = df.join(cached, "cache_key", "left")
@@ -109,7 +119,7 @@ def repair(tu: DataFrame, headers: DataFrame, settings: Settings = Settings(), a
         chosen = review.selected_units(accepted).withColumn("chosen", F.lit(True))
         df = df.join(chosen, ["file_id", "tu_index"], "left").withColumn("skip_reason", F.when(F.col("chosen").isNull(), "not_selected_for_apply").otherwise(F.col("skip_reason"))).drop("chosen")
     live = F.col("skip_reason").isNull()
-    df = clean_pairs(df.withColumns({"src_xml": F.when(live, F.col("src_xml")), "tgt_xml": F.when(live, F.col("tgt_xml"))}), settings.cleanup)
+    df = clean_pairs(settled(df).withColumns({"src_xml": F.when(live, F.col("src_xml")), "tgt_xml": F.when(live, F.col("tgt_xml"))}), settings.cleanup)
     df = df.withColumn("remove_reason", F.when(F.col("is_duplicate") & live, "dedup_tu").otherwise(F.col("remove_reason")))
     many = F.struct(F.lit("multilang_tu_skipped").alias("rule"), F.lit("WARN").alias("severity"), F.lit("Unit with more than two languages").alias("message"))
     df = df.withColumn("warnings", F.when(F.col("skip_reason") == "multilang_tu", F.array(many)).otherwise(F.col("warnings")))
@@ -123,6 +133,7 @@ def repair(tu: DataFrame, headers: DataFrame, settings: Settings = Settings(), a
         df = df.join(own, ["file_id", "tu_index"], "left")
         apply = apply & F.col("split_accepted").isNotNull()
     df = df.withColumns({"pending": split & pending, "outputs": F.when(F.col("remove_reason").isNotNull(), 0).when(apply, F.size("src_parts")).otherwise(1).cast("long"), "n_actions": F.size("actions").cast("long"), "n_warnings": F.size("warnings").cast("long")})
+    df = settled(df)
     cleaned = review.cleanup_proposals(df.where(live))
     dup = df.where(F.col("remove_reason") == "dedup_tu").select("file_id", F.concat_ws(":", F.lit("cleanup"), "tu_index", F.lit("dedup_tu"), F.lit(0)).alias("id"), F.lit("cleanup").alias("kind"), "tu_index", F.lit("dedup_tu").alias("rule"))
     splits = review.split_proposals(df.where(split).withColumns({"original_src": F.col("clean_src"), "original_tgt": F.col("clean_tgt")}))
