@@ -151,7 +151,7 @@ def test_csv_pairs(spark, tmp_path):
     with pytest.raises(ValueError):
         tables.read_pairs(spark, f"file://{tmp_path}/bad.csv")
     out_tables.write_pairs(spark.createDataFrame(rows), "en", "ru", f"file://{tmp_path}/o")
-    text = "".join(p.read_text() for p in (tmp_path / "o").glob("*.csv"))
+    text = b"".join(p.read_bytes() for p in (tmp_path / "o").glob("*.csv")).decode()
     assert "en,ru\r\n" in text
 
 

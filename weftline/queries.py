@@ -455,7 +455,7 @@ def pair_export(spark, sf_dir):
     return units.language_pairs(conversation_units(spark, sf_dir), "en-US")
 
 
-@query(f"WITH {P} SELECT file_id, count(*) AS tu_count, 'en-US,EN,de-DE,fr' AS languages, 'x-Context,x-Note' AS prop_types FROM p GROUP BY 1")
+@query(f"WITH {P} SELECT file_id, count(*) AS tu_count, concat_ws(',', CASE WHEN bool_or(k NOT IN (4, 5)) THEN 'en-US' END, CASE WHEN bool_or(k = 4) THEN 'EN' END, 'de-DE', CASE WHEN bool_or(k = 6) THEN 'fr' END) AS languages, 'x-Context,x-Note' AS prop_types FROM p GROUP BY 1")
 def tmx_profile(spark, sf_dir):
     h = _headers(spark).withColumn("src_lang", F.lit("en-US"))
     return units.profile(conversation_units(spark, sf_dir), h).select("file_id", "tu_count", F.array_join("languages", ",").alias("languages"), F.array_join("prop_types", ",").alias("prop_types"))
