@@ -7,8 +7,8 @@ in order of arrival, and merges runs of at least FAN_IN of them into files of at
 target size, until no tier has such a run; every round commits one manifest. A reader
 opens one manifest and sees exactly its shards, whatever happens meanwhile.
 
-Merging never shuffles: each merged file is one task that reads its shards and writes them
-in order, and a round is one job of all its merges. A commit writes the manifest under a
+Merging never shuffles: each merged file is a job of one task that reads its shards and
+writes them in order; the merges of a round run side by side. A commit writes the manifest under a
 name of its own and renames it to the next number, which fails if another writer was first;
 then it starts again from that writer's manifest. Shards left by a failed job are in no
 manifest and ``vacuum`` removes them. Only the list of shards reaches the driver.
@@ -21,8 +21,8 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,8 +34,8 @@ ARRIVAL_ROWS = 2000
 TARGET_BYTES = 64 << 20
 FAN_IN = 4
 TIER_BASE = 1 << 20
-#: Merges of a job: bounds the size of its plan.
-MERGES_A_JOB = 128
+#: Merges that run side by side and are committed together.
+MERGES_AT_ONCE = 64
 
 
 @dataclass(frozen=True)
@@ -150,19 +150,22 @@ class Store:
             out.append(run)
         return [r for r in out if len(r) >= fan_in or len(r) > 1 and sum(s.bytes for s in r) > target // 2]
 
+    def _merge(self, run: list[Shard], schema: T.StructType) -> Shard:
+        """One file of the run's shards, by a job of one task that reads them in order."""
+        folder = f"data/{uuid.uuid4().hex}"
+        self.spark.read.schema(schema).parquet(*(f"{self.folder}/{s.path}" for s in run)).coalesce(1).write.parquet(f"{self.folder}/{folder}")
+        ((path, size),) = self._files(folder)
+        return Shard(path, size, run[0].sequence)
+
     def compact(self, target: int = TARGET_BYTES, fan_in: int = FAN_IN, base: int = TIER_BASE) -> int:
         """Rounds of merges until no tier has a run; gives the number of the last manifest."""
         m = self.manifest()
         while runs := self.plan(target, fan_in, base):
             schema = T.StructType.fromJson(json.loads(m["schema"]))
-            for at in range(0, len(runs), MERGES_A_JOB):
-                part, folder = runs[at : at + MERGES_A_JOB], f"data/{uuid.uuid4().hex}"
-                reads = [self.spark.read.schema(schema).parquet(*(f"{self.folder}/{s.path}" for s in run)).coalesce(1) for run in part]
-                reduce(DataFrame.union, reads).write.parquet(f"{self.folder}/{folder}")
-                made = self._files(folder)
-                if len(made) != len(part):
-                    raise RuntimeError(f"{len(made)} files for {len(part)} merges")
-                new = [Shard(p, size, run[0].sequence) for (p, size), run in zip(made, part, strict=True)]
+            for at in range(0, len(runs), MERGES_AT_ONCE):
+                part = runs[at : at + MERGES_AT_ONCE]
+                with ThreadPoolExecutor(len(part)) as pool:
+                    new = list(pool.map(lambda run: self._merge(run, schema), part))
                 self._commit_change({s.path for run in part for s in run}, new, None, False)
         return self.manifest()["version"]
 
