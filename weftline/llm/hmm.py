@@ -9,7 +9,7 @@ over pieces of ``PIECE`` tokens in step, Spark sums the partitions' counts (as i
 so the sum does not depend on order), and the driver normalises a model of fixed size.
 The likelihood of a text is exact: the scaled forward recursion over the whole sequence.
 
-The ``HEAD`` most common words' counts are broadcast, a table of fixed size. Rarer words
+The most common words' counts, at most ``HEAD``, are broadcast. Rarer words
 meet their counts in a join; none of them is common, so no key is hot.
 
 Defined results: a null or empty text is the end token alone; without training documents
@@ -96,9 +96,16 @@ class Lexicon:
 
 
 def lexicon(counts: DataFrame, head: int, emitted: int) -> Lexicon:
+    """The head is all words above a count: the least step of 64 to a doubling above which there are at most ``head`` words."""
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("h") == 0, F.col("n"))).alias("e")).first()
-    top = counts.where("h <> 0").orderBy(F.desc("n"), "h").limit(head).toArrow()  # of fixed size
-    return Lexicon(top["h"].to_numpy(), top["n"].to_numpy(), total["e"] or 0, total["n"] or 0, total["v"], emitted)
+    words = counts.where("h <> 0").withColumn("step", F.floor(F.log2("n") * 64))
+    steps = words.groupBy("step").count().toArrow().sort_by([("step", "descending")])  # 64 * 63 at most
+    fit = np.cumsum(steps["count"].to_numpy()) <= head
+    least = int(steps["step"].to_numpy()[fit].min()) if fit.any() else 1 << 20
+    top = words.where(F.col("step") >= least).select("h", "n").toArrow()
+    h, n = top["h"].to_numpy(), top["n"].to_numpy()
+    order = np.lexsort((h, -n))
+    return Lexicon(h[order], n[order], total["e"] or 0, total["n"] or 0, total["v"], emitted)
 
 
 def encode(docs: DataFrame, lex) -> DataFrame:
