@@ -170,6 +170,22 @@ def test_near_classes_equal_brute_force(odd, rows, block, monkeypatch):
     assert got == brute_classes(rows)
 
 
+def test_near_keeps_a_tie_in_a_cluster_of_three(spark):
+    """36 of 45 is 0.8 exactly, whether or not a third text shares a band."""
+    w = [f"t{k}" for k in range(44)]
+    texts = [w, w[:40] + [f"u{k}" for k in range(5)], [*w, "more"]]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    got = multiset((r.id, r.class_id, r.n_links) for r in near.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == multiset([(0, 0, 2), (1, 0, 1), (2, 0, 1)]) == brute_classes(rows)
+
+
+def test_ties_are_links_at_any_size():
+    for k in range(1, 200):
+        sets = [np.arange(5 * k), np.arange(4 * k), np.arange(10**6, 10**6 + k)]
+        nodes, links, _ = near._links(np.arange(3), np.ones(3, np.int64), sets, 0, 0.8)
+        assert nodes.tolist() == [0, 1] and links.tolist() == [1, 1], k
+
+
 def test_near_of_an_empty_table(empty):
     assert near.jaccard_classes(empty).collect() == []
 

@@ -108,14 +108,14 @@ def _overlaps(sets: list[np.ndarray], split: int) -> np.ndarray:
     number = np.cumsum(shared) - 1
     keep = shared[code]
     owner, code = owner[keep], number[code[keep]]
-    out = np.zeros((len(left), len(right)), np.float32)
+    out = np.zeros((len(left), len(right)), np.int64)
     order = np.argsort(code, kind="stable")
     owner, code = owner[order], code[order]
     for first in range(0, int(shared.sum()), 4096):
         a, b = np.searchsorted(code, (first, first + 4096))
         has = np.zeros((len(sets), 4096), np.float32)
         has[owner[a:b], code[a:b] - first] = 1
-        out += (has[:split] if split else has) @ (has[split:] if split else has).T
+        out += ((has[:split] if split else has) @ (has[split:] if split else has).T).astype(np.int64)  # 4096 at most: exact
     return out
 
 
@@ -126,7 +126,7 @@ def _links(nodes: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], split:
     rows, cols = (np.arange(split), np.arange(split, len(sets))) if split else (np.arange(len(sets)),) * 2
     # a/b >= similarity in whole numbers, to a billionth
     total = sizes[rows][:, None] + sizes[cols][None, :] - both
-    near = both * 1_000_000_000 >= np.round(similarity * 1_000_000_000) * total.astype(np.float64)
+    near = both * 1_000_000_000 >= round(similarity * 1_000_000_000) * total
     if not split:
         np.fill_diagonal(near, False)
     links = np.zeros(len(sets), np.int64)
