@@ -253,6 +253,30 @@ def test_licence_places_equal_brute_force(spark, odd):
     assert by[503].labels == "mit" and by[503].base_labels == "" and 0.85 <= by[503].score < 1
 
 
+def test_repeats_of_a_part_of_a_licence_do_not_add_up(spark):
+    line = "GNU Lesser General Public License"
+    texts = ["General Public License " * 2, "General Public License " * 50, f"{line} " * 3, "GNU Lesser truly General Public License", ""]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k].labels for k in range(5)] == ["gpl", "gpl", "gpl,lgpl", "gpl", ""]
+    assert [(s.start, s.end, s.covered) for s in got[2].spans if s.label == "lgpl"] == [(0, 5, 1.0), (5, 10, 1.0), (10, 15, 1.0)]
+    assert got[0].n_base == 2 and got[1].n_base == 50 and got[4].score == 0
+    few = licenses.scan(spark.createDataFrame([(1, texts[1])], "doc_id long, text string"), base={})
+    assert [(r.labels, r.score) for r in few.collect()] == [("", 0.5)]
+
+
+def test_alignments_equal_brute_force():
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        hits = {(int(p), int(q)) for p, q in zip(rng.integers(0, 14, 14), rng.integers(0, 6, 14), strict=True)}
+        best: dict = {}
+        for p, q in sorted(hits):
+            best[p, q] = 1 + max((n for (a, b), n in best.items() if a < p and b < q and abs(p - q - a + b) <= licenses.NEAR), default=0)
+        spans = licenses.align(list(hits))
+        assert spans[0][0] == max(best.values())
+        places = sorted((a, b) for _, a, b in spans)
+        assert all(x[1] < y[0] for x, y in zip(places, places[1:], strict=False))
+
+
 def test_licences_of_an_empty_table(empty):
     assert licenses.scan(empty).collect() == []
 

@@ -2,10 +2,12 @@
 
 Every k-gram hash of every text is joined, in Spark, to the positions of that k-gram in
 the licence templates. A hit at text word p and template word q votes for the diagonal
-p - q; votes are aggregated by text, template and diagonal, neighbouring diagonals (a few
-words inserted or left out) are merged into spans, and a span is verified by the share of
-the template's own positions that it covers. Base phrases are templates that must be
-covered wholly on one diagonal.
+p - q; votes are aggregated by text, template and diagonal, and neighbouring diagonals (a few
+words inserted or left out) are merged into chains. A chain is aligned: its spans are runs of
+hits that go forward in text and template alike, so each position of the template counts once
+and repeats of a phrase are spans of their own. A span is verified by the share of the
+template's own positions that it covers. Base phrases are templates that must be covered
+wholly on one diagonal.
 
 The join side is the templates: of fixed size, so it is broadcast. Rows after the join
 are one for each text plus its hits, so no text or phrase, however common, grows faster
@@ -17,10 +19,14 @@ null or repeated, each row gets its own result; other columns are not looked at.
 
 from __future__ import annotations
 
+from bisect import bisect
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import lists, mapped, table
 from .textkit import ALNUM_SEP, LOWER, chunks, find_words, gram_hashes, signed, starts_of, word_hashes
@@ -109,6 +115,48 @@ def rolling(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return mapped(rows, find, "rid long, doc_id long, n_words long, grams array<long>")
 
 
+def align(hits: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(hits, first p, last p) of the spans of a chain, largest first; hits: (p, q).
+
+    A span's hits go forward in p and q, by diagonals at most NEAR apart; spans do not overlap.
+    """
+    if not hits:
+        return []
+    hits = sorted(hits)
+    reach = max(q for _, q in hits) - min(q for _, q in hits) + NEAR
+    size, back, low = [], [], 0
+    for i, (p, q) in enumerate(hits):
+        while hits[low][0] < p - reach:
+            low += 1
+        most, came = 0, -1
+        for j in range(i - 1, low - 1, -1):  # the nearest of equals
+            at, place = hits[j]
+            if size[j] > most and at < p and place < q and abs(p - q - at + place) <= NEAR:
+                most, came = size[j], j
+        size.append(most + 1)
+        back.append(came)
+    out: list[tuple[int, int, int]] = []
+    starts: list[int] = []
+    ends: list[int] = []
+    for i in sorted(range(len(hits)), key=lambda i: (-size[i], i)):
+        first, last = i, hits[i][0]
+        while back[first] >= 0:
+            first = back[first]
+        start = hits[first][0]
+        k = bisect(starts, last)  # spans taken before this place begin at or before its end
+        if k and ends[k - 1] >= start:
+            continue
+        starts.insert(k, start)
+        ends.insert(k, last)
+        out.append((size[i], start, last))
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("n", "start", "last")])))
+def _spans(diagonals: pd.Series, places: pd.Series) -> pd.Series:
+    return pd.Series([[dict(zip(("n", "start", "last"), s, strict=True)) for s in align([(int(d) + int(q), int(q)) for d, qs in zip(ds, each, strict=True) for q in qs])] for ds, each in zip(diagonals, places, strict=True)], dtype=object)
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: dict = BASE, templates: dict = TEMPLATES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans of verified templates."""
     spark = docs.sparkSession
@@ -117,13 +165,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
     hits = each.join(F.broadcast(known), "h", "left").where("h = 0 OR template IS NOT NULL")
     owner = ["rid", "doc_id", "n_words"]
     kind = ["template", "label", "is_base", "votes"]
-    diagonals = hits.groupBy(*owner, *kind, (F.col("p") - F.col("q")).alias("diagonal")).agg(F.count("*").alias("n"), F.min("q").alias("low"), F.max("q").alias("high"))
+    diagonals = hits.groupBy(*owner, *kind, (F.col("p") - F.col("q")).alias("diagonal")).agg(F.count("*").alias("n"), F.min("q").alias("low"), F.max("q").alias("high"), F.collect_set("q").alias("places"))
     by_place = Window.partitionBy(*owner, *kind).orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by_place) > F.when(F.col("is_base"), 0).otherwise(NEAR), F.lit(True))
+    one = F.array(F.struct("n", (F.col("diagonal") + F.col("low")).alias("start"), (F.col("diagonal") + F.col("high")).alias("last")))
+    chains = (
+        diagonals.withColumn("chain", F.sum(apart.cast("int")).over(by_place))
+        .groupBy(*owner, *kind, "chain")
+        .agg(F.sort_array(F.collect_list(F.struct("diagonal", "places"))).alias("parts"), F.first(one).alias("one"))
+    )
+    single = F.size("parts") < 2
+    parts = F.when(single, F.array().cast(diagonals.select(F.array(F.struct("diagonal", "places"))).schema[0].dataType)).otherwise(F.col("parts"))
+    ready = chains.withColumn("aligned", _spans(F.transform(parts, lambda x: x["diagonal"]), F.transform(parts, lambda x: x["places"])))
     spans = (
-        diagonals.withColumn("span", F.sum(apart.cast("int")).over(by_place))
-        .groupBy(*owner, *kind, "span")
-        .agg(F.least(F.sum("n"), F.first("votes")).alias("n"), F.min(F.col("diagonal") + F.col("low")).alias("start"), F.max(F.col("diagonal") + F.col("high")).alias("last"))
+        ready.select(*owner, *kind, F.explode(F.when(single, F.col("one")).otherwise(F.col("aligned"))).alias("s"))
+        .select(*owner, *kind, "s.*")
         .withColumn("covered", F.col("n") / F.col("votes"))
         .withColumn("found", F.col("template").isNotNull() & F.when(F.col("is_base"), F.col("covered") == 1).otherwise(F.col("covered") >= COVERAGE))
     )
