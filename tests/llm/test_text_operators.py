@@ -316,6 +316,29 @@ def test_contamination_equals_brute_force(spark, rows, odd):
     assert multiset((r.doc_id,) for r in kept.collect()) == multiset((r[0],) for r in rows if r[0] not in hit)
 
 
+def test_contamination_of_short_items_and_scripts_without_spaces(spark):
+    long = "水は摂氏何度で沸騰しますかという問題に答えてください。次の四つの中から正しいものを一つ選びなさい"
+    thai = "เมืองหลวงของประเทศไทยคือเมืองใด"
+    items = [(1, "Who wrote Faust?"), (2, "法国的首都是哪里"), (3, long), (4, thai), (5, "?!"), (6, "𠀋𠮟𠀋")]
+    texts = ["He asked: who wrote Faust? Nobody knew", "who then wrote faust", "问题：法国的首都是哪里？", "首都是法国的哪里", "前文" + long.replace("四つ", "五つ") + "後", "abc" + thai + "def", "的", "x𠀋𠮟𠀋", "who", None]
+    d, i = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.distance) for r in decontaminate.contaminated(d, i).collect()}
+    assert got == {(0, 1, 0), (2, 2, 0), (4, 3, 1), (5, 4, 0), (7, 6, 0)}
+    assert sorted(r.doc_id for r in decontaminate.clean(d, i).collect()) == [1, 3, 6, 8, 9]
+
+
+def test_words_and_single_characters():
+    import pyarrow as pa
+
+    from weftline.llm.textkit import chunks
+
+    texts = ["a水 b", "水", None, "straße水水x", "", "𠀋y", "สวัส"]
+    (c,) = chunks(pa.array(texts))
+    w = decontaminate.words_of(c)
+    got = [[c.data[w.begin[k] : w.end[k]].tobytes().decode() for k in range(a, b)] for a, b in zip(w.row_from, w.row_to, strict=True)]
+    assert got == [["a", "水", "b"], ["水"], [], ["straße", "水", "水", "x"], [], ["𠀋", "y"], list("สวัส")]
+
+
 def test_contamination_with_nothing(spark, docs, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(docs, none).collect() == []

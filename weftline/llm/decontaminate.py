@@ -1,8 +1,9 @@
 """Benchmark decontamination: approximate occurrences of test items in documents.
 
 Text is compared by its words: lower case, runs of ASCII letters, digits and all other
-scripts' characters. An item of m words may be found with up to e = m * rate errors
-(inserted, lost or changed words). By the pigeonhole principle, of e + 1 pieces of the item
+scripts' characters; in scripts written without spaces (``UNSPACED``) each character is a word.
+An item of m words may be found with up to e = m * rate errors (inserted, lost or changed
+words), an item under ``MIN_WORDS`` words only as it is (e = 0). By the pigeonhole principle, of e + 1 pieces of the item
 one stands unchanged in every such occurrence; rolling word hashes of each piece length
 find those, and each hit's surroundings are verified with Myers' bit-parallel edit
 distance over words.
@@ -13,8 +14,7 @@ documents are only mapped: nothing is shuffled.
 
 Defined results: one row for each document row and item found in it, with the least
 distance and, of those, the earliest end; documents without an item have no row. Null texts
-and items contain nothing; items under ``MIN_WORDS`` words are no evidence and are not
-searched; equal items are all reported; ids may be null or repeated.
+and items contain nothing, nor do items without a word; equal items are all reported; ids may be null or repeated.
 """
 
 from __future__ import annotations
@@ -25,11 +25,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mapped, table
-from .textkit import ALNUM_SEP, chunks, find_words, gram_hashes, starts_of, word_hashes
+from .textkit import ALNUM_SEP, Chunk, Words, chunks, find_words, gram_hashes, starts_of, word_hashes
 
 ERROR_RATE = 0.1
 MIN_WORDS = 8
 BLOCK_WORDS = 4_000_000
+#: Thai, Lao, Tibetan, Myanmar, Khmer, Tai scripts, radicals, kana, bopomofo, Han, Yi, Javanese, Tai Viet, and Han beyond the first plane.
+UNSPACED = [(0xE00, 0xFFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x2E80, 0x2FFF), (0x3040, 0x312F), (0x3180, 0x33FF), (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF40, 0xFF9F), (0x1B000, 0x1BFFF), (0x20000, 0x3FFFF)]
+
+
+def _unspaced_table() -> np.ndarray:
+    """Whether a character is one of a script without spaces, by its first two bytes (blocks of 64; of 4096 from U+10000)."""
+    out = np.zeros((256, 256), bool)
+    for low, high in UNSPACED:
+        for c in range(low, high + 1, 64):
+            b = chr(c).encode()
+            out[b[0], b[1]] = True
+    return out.ravel()
+
+
+_UNSPACED = _unspaced_table()
+
+
+def words_of(chunk: Chunk) -> Words:
+    """Words, and single characters of scripts without spaces."""
+    data = chunk.data
+    words = find_words(chunk, data, ALNUM_SEP)
+    lead = np.flatnonzero(data >= 0xE0)  # of characters of three or four bytes
+    lead = lead[_UNSPACED[(data[lead].astype(np.int64) << 8) | data[lead + 1]]]
+    if not len(lead):
+        return words
+    starts = np.zeros(len(data) + 1, bool)
+    starts[lead] = True
+    starts[lead + 3 + (data[lead] >= 0xF0)] = True
+    starts[words.begin] = False
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[words.begin] += 1
+    inside[words.end] -= 1
+    cuts = np.flatnonzero(starts & (np.cumsum(inside) > 0))
+    begin, end = np.sort(np.concatenate([words.begin, cuts])), np.sort(np.concatenate([words.end, cuts]))
+    return Words(begin, end, np.searchsorted(begin, chunk.begins), np.searchsorted(begin, chunk.ends))
 
 
 def pieces(words: int, errors: int) -> list[tuple[int, int]]:
@@ -66,21 +101,22 @@ class Index:
     """Pieces of a block of items, by length and hash."""
 
     def __init__(self, ids: list, texts: list, rate: float, min_words: int):
-        self.ids, self.items = [], []
+        self.ids, self.items, self.errors = [], [], []
         by_size: dict[int, list] = {}
         for c in chunks(pa.array(texts, pa.string())):
-            words = find_words(c, c.data, ALNUM_SEP)
+            words = words_of(c)
             hashes = word_hashes(c.data, words)
             for r in range(c.rows):
                 own = hashes[words.row_from[r] : words.row_to[r]]
-                if len(own) < min_words:
+                if not len(own):
                     continue
+                errors = int(len(own) * rate) if len(own) >= min_words else 0
                 k = len(self.items)
                 self.ids.append(ids[c.first + r])
                 self.items.append(own)
-                for start, size in pieces(len(own), int(len(own) * rate)):
+                self.errors.append(errors)
+                for start, size in pieces(len(own), errors):
                     by_size.setdefault(size, []).append((int(gram_hashes(own[start : start + size], size)[0]), k, start))
-        self.rate = rate
         self.tables = {}
         for size, rows in by_size.items():
             rows.sort()
@@ -100,7 +136,7 @@ class Index:
 
     def hits(self, chunk, filters: dict) -> list[tuple]:
         """(row, item, distance, first word, word after the last) for the chunk's rows."""
-        words = find_words(chunk, chunk.data, ALNUM_SEP)
+        words = words_of(chunk)
         hashes = word_hashes(chunk.data, words)
         found = set()
         for size, (h, item, start, packed) in self.tables.items():
@@ -124,8 +160,9 @@ class Index:
             found.update(zip(row.tolist(), item[each].tolist(), (place - start[each]).tolist(), strict=True))
         best: dict = {}
         for row, k, diagonal in sorted(found):
-            m = len(self.items[k])
-            errors = int(m * self.rate)
+            if (row, k) in best and not best[row, k][0]:
+                continue  # no later place is better
+            m, errors = len(self.items[k]), self.errors[k]
             begin = max(diagonal - errors, words.row_from[row])
             part = hashes[begin : min(diagonal + m + errors, words.row_to[row])].tolist()
             distance, end = myers(self.pattern(k), m, part)
@@ -145,7 +182,7 @@ def blocks(items: DataFrame, id_col: str, text_col: str, most: int):
     rows = items.select(F.col(id_col).cast("long").alias("i"), F.lower(F.col(text_col).cast("string")).alias("t")).where("t IS NOT NULL")
     for row in rows.toLocalIterator():
         ids.append(row["i"]), texts.append(row["t"])
-        size += len(row["t"]) // 2 + 1
+        size += len(row["t"]) - sum(map(str.isascii, row["t"])) // 2 + 1  # any other character may be a word
         if size >= most:
             yield ids, texts
             ids, texts, size = [], [], 0
