@@ -199,6 +199,14 @@ def test_models_prompts_and_json(spark):
     assert [r.j for r in df.select(verify.lenient_json(F.col("t")).alias("j")).collect()] == ['{"a": 1}', None]
 
 
+def test_difference_of_long_texts_is_whole(spark):
+    words = [f"w{k}" for k in range(6000)]
+    before, after = " ".join(words), " ".join([*words[:3000], "new", *words[3001:]])
+    runs = spark.createDataFrame([(before, after)], "x string, y string").select(diff.diff_segments(True)("x", "y").alias("d")).first().d
+    assert len(before) > diff.MOST_CHARS and [r.text for r in runs if r.kind != "equal"] == ["w3000", "new"]
+    assert "".join(r.text for r in runs if r.kind != "insert") == before and "".join(r.text for r in runs if r.kind != "delete") == after
+
+
 def test_differences(spark):
     assert diff.segments_of("one two", "one three", True) == [{"kind": "equal", "text": "one "}, {"kind": "delete", "text": "two"}, {"kind": "insert", "text": "three"}]
     assert diff.segments_of("", "x") == [{"kind": "insert", "text": "x"}]

@@ -65,12 +65,12 @@ def segments_of(before: str, after: str, by_token: bool = False) -> list[dict]:
     return out
 
 
-def diff_segments(by_token: bool = False, most: int = MOST_CHARS):
-    """A function of two columns: their difference as an array of runs."""
+def diff_segments(by_token: bool = False):
+    """A function of two columns: the difference of the whole texts as an array of runs."""
 
     @F.pandas_udf(SEGMENTS)
     def run(before: pd.Series, after: pd.Series) -> pd.Series:
-        return pd.Series([segments_of(_clip(x or "", most), _clip(y or "", most), by_token) for x, y in zip(before, after, strict=True)])
+        return pd.Series([segments_of(x, y, by_token) for x, y in zip(before, after, strict=True)])
 
     return run
 
