@@ -92,6 +92,39 @@ def test_probabilities_of_next_words_sum_to_one(scored):
     assert np.allclose(model.emit.sum(0), 1) and np.allclose(model.move.sum(1), 1)
 
 
+def test_rare_words_have_emissions_by_state(spark, monkeypatch):
+    """Two kinds of text with rare words of their own: with one symbol of its own, every word still tells the kinds apart."""
+    rng = np.random.default_rng(1)
+    text = lambda kind: " ".join(f"{kind}{k}" for k in rng.integers(0, 40, 60))
+    rows = [(k, text("ab"[k % 2])) for k in range(60)] + [(100, text("a")), (101, text("b")), (102, " ".join(f"{'ab'[k % 2]}{k % 40}" for k in range(60)))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    held = F.col("doc_id") >= 100
+    got = {r.doc_id: r for r in hmm.score(d, held, states=2, rounds=12, emitted=1, head=5).collect()}
+    assert len(got) == len(rows) and got[100].score > got[102].score + 5 and got[101].score > got[102].score + 5
+    assert abs(got[102].base_score - got[100].base_score) < 5
+    monkeypatch.setattr(hmm, "BLOCK", 100)  # blocks do not change the result
+    again = {r.doc_id: r for r in hmm.score(d, held, states=2, rounds=12, emitted=1, head=5).collect()}
+    assert all(math.isclose(got[k].score, again[k].score, rel_tol=1e-3) for k in got)
+
+
+def test_shares_of_tail_words_sum_to_one():
+    lex = hmm.Lexicon([1, 2, 3], [5, 3, 2], 4, 20, 8, 2)  # the tail: 8 tokens of 5 words
+    n, counts = np.array([2, 2, 2, 1, 1, 0]), np.array([[2, 0], [1, 1], [0, 2], [1, 0], [0, 1], [0, 0]])
+    assert (lex.shared_tokens, lex.shared_types) == (8, 5)
+    assert np.allclose(hmm.Tail(lex, counts.sum(0)).shares(n, counts).sum(0), 1)
+
+
+def test_transitions_between_pieces_count(monkeypatch):
+    rng = np.random.default_rng(3)
+    norm = lambda x, axis: x / x.sum(axis, keepdims=True)
+    model = hmm.Model(norm(rng.random(3), 0), norm(rng.random((3, 3)), 1), norm(rng.random((7, 3)), 0))
+    monkeypatch.setattr(hmm, "PIECE", 4)
+    start, move, emit = np.zeros(3), np.zeros((3, 3)), np.zeros((7, 3))
+    sizes = np.array([11, 4, 1, 8])
+    hmm.expectations(model, rng.integers(0, 7, 24), np.cumsum(sizes) - sizes, sizes, (start, move, emit))
+    assert math.isclose(move.sum(), (sizes - 1).sum()) and math.isclose(emit.sum(), 24)
+
+
 def test_language_model_of_empty_tables(empty, docs):
     assert hmm.score(empty, held_out("doc_id", 7)).collect() == []
     got = hmm.score(docs, F.lit(True), states=2, rounds=1).collect()

@@ -2,11 +2,14 @@
 
 Tokens are words (A-Z in lower case) and one end token a text. Training counts of all
 words are summed over all training documents. The most common ``EMITTED`` words are
-symbols of the hidden Markov model, all others share one symbol, and within that symbol a
-word has its smoothed share of the shared counts, so the probabilities of all texts sum
-to one. States are trained by Baum-Welch: every partition adds up its expected counts
-over pieces of ``PIECE`` tokens in step, Spark sums the partitions' counts (as integers,
-so the sum does not depend on order), and the driver normalises a model of fixed size.
+symbols of a model that is broadcast. All other training words, the tail, have their
+expected counts by state too, in a table that grows with the input: a state's probability
+of a tail word is that of the tail times the word's share of the state's tail counts,
+smoothed with its share of all tail counts; unknown words have the smoothing alone. So the
+probabilities of all texts sum to one. States are trained by Baum-Welch. Rows are in blocks of
+about ``BLOCK`` tokens: each round joins the tail counts to the words of every block, a block
+adds up its expected counts over pieces of ``PIECE`` tokens in step (with the transitions
+between pieces), and Spark sums the blocks' counts as integers, so that order does not matter.
 The likelihood of a text is exact: the scaled forward recursion over the whole sequence.
 
 The most common words' counts, at most ``HEAD``, are broadcast. Rarer words
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, held_out, lists, mapped, table, written
+from .common import binaries, held_out, lists, mapped, removed, table, written
 from .textkit import ASCII_SPACE, LOWER, HashIndex, chunks, find_words, mix, signed, word_hashes
 
 STATES = 8
@@ -34,6 +37,7 @@ ROUNDS = 5
 EMITTED = 16_384
 HEAD = 1 << 18
 PIECE = 64
+BLOCK = 1 << 21
 #: Added to every expected count.
 PRIOR = 0.05
 _UNIT = 1 << 16
@@ -109,27 +113,30 @@ def lexicon(counts: DataFrame, head: int, emitted: int) -> Lexicon:
 
 
 def encode(docs: DataFrame, lex) -> DataFrame:
-    """rid, doc_id, held_out, n_tokens, known, base, within, symbols (bytes of 16 bits each), rare hashes and how often each.
+    """rid, doc_id, held_out, block, n_tokens, known, base, symbols (bytes of 16 bits each), tail, rare hashes and how often each.
 
-    known, base and within cover the end token and all words of the head; rare holds the other words.
+    tail: the words of the shared symbol, in order. known and base cover the end token and all words of the head; rare holds the other words.
     """
 
-    def run(batch):
+    def run(batch, done=[0]):  # noqa: B006  tokens of the task so far
         m: Lexicon = lex.value
-        base, within = m.base(m.counts), m.within(m.counts)
+        base = m.base(m.counts)
+        rids = batch.column(0).to_numpy()
         for c in chunks(batch.column(3)):
             words, h = _hashes(c)
             n = words.count
             at = m.index.find(h)
             row = np.repeat(np.arange(c.rows), n)
             head = at >= 0
-            outside = head & (at >= m.emitted)
+            own = head & (at < m.emitted)
             tokens = n + 1
             ends = np.cumsum(tokens)
             symbols = np.full(ends[-1], _END, np.uint16)
             place = np.ones(len(symbols), bool)
             place[ends - 1] = False
-            symbols[place] = np.where(head & ~outside, at + 2, _SHARED)
+            symbols[place] = np.where(own, at + 2, _SHARED)
+            block = (rids[c.first : c.first + c.rows] >> 33 << 24) + (done[0] + ends - tokens) // BLOCK
+            done[0] += int(ends[-1])
             sums = lambda which, v: np.bincount(row[which], v[at[which]], c.rows)
             # rare words, once a row each
             some = np.flatnonzero(~head)
@@ -139,13 +146,13 @@ def encode(docs: DataFrame, lex) -> DataFrame:
             cut = slice(c.first, c.first + c.rows)
             yield {
                 **{name: batch.column(k)[cut] for k, name in enumerate(("rid", "doc_id", "held_out"))},
-                "n_tokens": tokens, "known": np.bincount(row[head], minlength=c.rows) + (m.ends > 0),
-                "base": sums(head, base) + m.base(m.ends), "within": sums(outside, within),
-                "symbols": binaries(symbols.view(np.uint8), (ends - tokens) * 2, ends * 2),
+                "block": block, "n_tokens": tokens, "known": np.bincount(row[head], minlength=c.rows) + (m.ends > 0),
+                "base": sums(head, base) + m.base(m.ends),
+                "symbols": binaries(symbols.view(np.uint8), (ends - tokens) * 2, ends * 2), "tail": lists(signed(h[~own]), np.bincount(row[~own], minlength=c.rows), pa.int64()),
                 "rare": lists(signed(h[order[new]]), kinds, pa.int64()), "times": lists(np.diff(np.append(new, len(order))), kinds, pa.int64()),
             }
 
-    return mapped(docs.select("rid", "doc_id", "held_out", "text"), run, "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, within double, symbols binary, rare array<long>, times array<long>")
+    return mapped(docs.select("rid", "doc_id", "held_out", "text"), run, "rid long, doc_id long, held_out boolean, block long, n_tokens long, known long, base double, symbols binary, tail array<long>, rare array<long>, times array<long>")
 
 
 class Model:
@@ -170,6 +177,7 @@ def first_model(counts: np.ndarray, states: int) -> Model:
 def expectations(model: Model, symbols: np.ndarray, begins: np.ndarray, sizes: np.ndarray, totals) -> None:
     """Adds expected counts of pieces of at most PIECE tokens, all in step: totals are start, move and emit."""
     start, move, emit = totals
+    ends, lasts, nexts, heads = [], [], [], []
     for first in (True, False):  # texts' first pieces, then all others
         lanes_b, lanes_n = [], []
         for at, n in zip(begins.tolist(), sizes.tolist(), strict=True):
@@ -203,45 +211,99 @@ def expectations(model: Model, symbols: np.ndarray, begins: np.ndarray, sizes: n
             else:
                 beta = np.ones((k, model.move.shape[0]))
             gammas[t] = alphas[t] * beta
+        last = np.empty((len(b), move.shape[0]))
+        for t in range(n[0]):
+            j = active[t + 1] if t + 1 < n[0] else 0
+            last[j : active[t]] = alphas[t][j:]
+        ends.append(b + n), lasts.append(last)
         if first:
             start += gammas[0].sum(0)
+        else:
+            nexts, heads = b, emitted[0] * beta
         which = np.concatenate([symbols[b[: active[t]] + t] for t in range(n[0])])
         weight = np.concatenate(gammas)
         for s in range(weight.shape[1]):
             emit[:, s] += np.bincount(which, weight[:, s], len(emit))
+    if len(nexts):  # from each piece's last token to the next piece's first
+        end, last = np.concatenate(ends), np.concatenate(lasts)
+        order = np.argsort(end)
+        before = last[order[np.searchsorted(end[order], nexts)]]
+        move += model.move * ((before / np.einsum("ni,ij,nj->n", before, model.move, heads)[:, None]).T @ heads)
+
+
+class Tail:
+    """What the shares of tail words by state come from: all tail counts by state, and how much they are smoothed."""
+
+    def __init__(self, lex: Lexicon, totals: np.ndarray):
+        self.totals, self.weight = totals, lex.shared_types + 1
+        self.n = lex.shared_tokens + lex.shared_types + 1
+
+    def shares(self, n: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """(words, states): of words with these counts, in all and by state."""
+        return (counts + self.weight * ((n + 1) / self.n)[:, None]) / (self.totals + self.weight)
+
+
+def local_rows(texts: pa.Table, words: pa.Table, model: Model, tail: Tail, most: int = 1 << 18):
+    """The model with a block's tail words as symbols of their own, their hashes, and slices of rows: all symbols, where each row begins and its size."""
+    names = [f"s{k}" for k in range(len(model.start))]
+    h = words["h"].to_numpy()
+    order = np.argsort(h)
+    h = h[order]
+    counts = np.stack([words[n].to_numpy() for n in names], 1)[order] / _UNIT
+    own = Model(model.start, model.move, np.concatenate([model.emit, model.emit[_SHARED] * tail.shares(words["n"].to_numpy()[order], counts)]))
+    flat = texts["tail"].combine_chunks().flatten().to_numpy()
 
+    def slices(used=0):
+        for c in chunks(texts["symbols"].combine_chunks(), most):
+            ids = c.data.view("<u2").astype(np.int64)
+            shared = np.flatnonzero(ids == _SHARED)
+            ids[shared] = len(model.emit) + np.searchsorted(h, flat[used : used + len(shared)])
+            used += len(shared)
+            yield c, ids, c.begins // 2, (c.ends - c.begins) // 2
 
-def _rows_of(column: pa.Array, most: int = 1 << 18):
-    """Symbols of slices of rows: all of them, where each row begins and its size."""
-    for c in chunks(column, most):
-        yield c, c.data.view("<u2").astype(np.int64), c.begins // 2, (c.ends - c.begins) // 2
+    return own, h, slices()
 
 
-def improve(encoded: DataFrame, model: Model) -> Model:
-    """One round of Baum-Welch over all training rows."""
+def _by_block(texts: DataFrame, words: DataFrame, learned: DataFrame | None, states: int):
+    """Blocks' texts with their tail words and what is known of these."""
+    names = [f"s{k}" for k in range(states)]
+    if learned is None:
+        words = words.select("block", "h", "n", *(F.lit(0).cast("long").alias(n) for n in names))
+    else:
+        got = learned.where("tail").select(F.col("which").alias("h"), *names)
+        words = words.select("block", "h", "n").join(got, "h", "left").select("block", "h", "n", *(F.coalesce(n, F.lit(0)).alias(n) for n in names))
+    return texts.groupBy("block").cogroup(words.groupBy("block"))
+
+
+def improve(encoded: DataFrame, words: DataFrame, lex: Lexicon, model: Model, tail: Tail, learned: DataFrame | None) -> tuple[Model, Tail, DataFrame]:
+    """One round of Baum-Welch over all training rows. learned: the counts that the round before gave."""
     states, symbols = len(model.start), len(model.emit)
-    shared = encoded.sparkSession.sparkContext.broadcast(model)
+    shared = encoded.sparkSession.sparkContext.broadcast((model, tail))
     names = [f"s{k}" for k in range(states)]
 
-    def run(batches):
-        m = shared.value
-        start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states))
-        for batch in batches:
-            for _, ids, begins, sizes in _rows_of(batch.column(0)):
-                expectations(m, ids, begins, sizes, (start, move, emit))
-        some = np.flatnonzero(emit.any(1))
-        values = np.rint(np.concatenate([emit[some], move, start[None]]) * _UNIT).astype(np.int64)
-        which = np.concatenate([some, symbols + np.arange(states + 1)]).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(which), *(pa.array(values[:, k]) for k in range(states))], ["which", *names])
-
-    kinds = "which long, " + ", ".join(f"{n} long" for n in names)
-    found = encoded.where("NOT held_out").select("symbols").mapInArrow(run, kinds).groupBy("which").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
+    def run(texts, words):
+        m, h, slices = local_rows(texts, words, *shared.value)
+        start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((len(m.emit), states))
+        for _, ids, begins, sizes in slices:
+            expectations(m, ids, begins, sizes, (start, move, emit))
+        some = np.flatnonzero(emit[:symbols].any(1))
+        values = np.rint(np.concatenate([emit[some], move, start[None], emit[symbols:]]) * _UNIT).astype(np.int64)
+        which = np.concatenate([some, symbols + np.arange(states + 1), h]).astype(np.int64)
+        return pa.table([pa.array(np.arange(len(which)) >= len(which) - len(h)), pa.array(which), *(pa.array(values[:, k]) for k in range(states))], ["tail", "which", *names])
+
+    kinds = "tail boolean, which long, " + ", ".join(f"{n} long" for n in names)
+    each = _by_block(encoded.where("NOT held_out").select("block", "symbols", "tail"), words.where("trained"), learned, states).applyInArrow(run, kinds)
+    learned = written(each.groupBy("tail", "which").agg(*(F.sum(n).alias(n) for n in names)), "round")
+    sums = learned.where("tail").agg(*(F.coalesce(F.sum(n), F.lit(0)) for n in names)).first()
+    found = learned.where("NOT tail").toArrow()
     total = np.zeros((symbols + states + 1, states))
     if found.num_rows:
         total[found["which"].to_numpy()] = np.stack([found[n].to_numpy() for n in names], 1) / _UNIT
+    total[_SHARED] = np.array(sums) / _UNIT
+    tail = Tail(lex, total[_SHARED].copy())
     total += PRIOR
     emit, move, start = total[:symbols], total[symbols : symbols + states], total[-1]
-    return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+    return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0)), tail, learned
 
 
 def log_likelihoods(model: Model, symbols: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -261,11 +323,14 @@ def log_likelihoods(model: Model, symbols: np.ndarray, begins: np.ndarray, sizes
     return back
 
 
-def train(encoded: DataFrame, lex: Lexicon, states: int, rounds: int) -> Model:
-    model = first_model(lex.symbol_counts(), states)
+def train(encoded: DataFrame, words: DataFrame, lex: Lexicon, states: int, rounds: int) -> tuple[Model, Tail, DataFrame | None]:
+    model, tail, learned = first_model(lex.symbol_counts(), states), Tail(lex, np.zeros(states)), None
     for _ in range(rounds):
-        model = improve(encoded, model)
-    return model
+        before = learned
+        model, tail, learned = improve(encoded, words, lex, model, tail, before)
+        if before is not None:
+            removed(encoded.sparkSession, before)
+    return model, tail, learned
 
 
 def score(docs: DataFrame, held: F.Column, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, rounds: int = ROUNDS, emitted: int = EMITTED, head: int = HEAD) -> DataFrame:
@@ -277,23 +342,29 @@ def score(docs: DataFrame, held: F.Column, id_col: str = "doc_id", text_col: str
     counts = written(count_words(rows.where("NOT held_out")), "counts")
     lex = lexicon(counts, head, emitted)
     encoded = written(encode(rows, context.broadcast(lex)), "encoded")
-    shared = context.broadcast(train(encoded, lex, states, rounds))
-
-    def forward(batch):
-        for c, ids, begins, sizes in _rows_of(batch.column(1)):
-            yield {"rid": batch.column(0).slice(c.first, c.rows), "path": log_likelihoods(shared.value, ids, begins, sizes), **{n: batch.column(k).slice(c.first, c.rows) for k, n in enumerate(("doc_id", "held_out", "n_tokens", "known", "base", "within"), 2)}}
-
-    paths = mapped(encoded.select("rid", "symbols", "doc_id", "held_out", "n_tokens", "known", "base", "within"), forward, "rid long, path double, doc_id long, held_out boolean, n_tokens long, known long, base double, within double")
-    n_base, n_within = lex.tokens + lex.types + 1, lex.shared_tokens + lex.shared_types + 1
+    # the tail words of each block, once a block
+    pairs = encoded.select("block", "held_out", F.explode("tail").alias("h")).groupBy("block", "h").agg(F.max(~F.col("held_out")).alias("trained"))
+    words = written(pairs.join(counts, "h", "left").select("block", "h", "trained", F.coalesce("n", F.lit(0)).alias("n")), "tail-words")
+    model, tail, learned = train(encoded, words, lex, states, rounds)
+    shared = context.broadcast((model, tail))
+    kept = ("rid", "doc_id", "held_out", "n_tokens", "known", "base")
+
+    def forward(texts, words):
+        m, _, slices = local_rows(texts, words, *shared.value)
+        path = np.concatenate([log_likelihoods(m, ids, begins, sizes) for _, ids, begins, sizes in slices])
+        return texts.select(kept).append_column("path", pa.array(path))
+
+    paths = _by_block(encoded.select(*kept, "block", "symbols", "tail"), words, learned, states).applyInArrow(forward, "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, path double")
+    n_base = lex.tokens + lex.types + 1
     rare = encoded.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
     c = F.coalesce(F.col("n"), F.lit(0))
     # logs of whole numbers, summed by count: the constants are added afterwards
-    tail = rare.join(counts, "h", "left").groupBy("rid").agg(F.sum(F.col("times") * F.log10(c + 1)).alias("logs"), F.sum("times").alias("times"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("found"))
+    rest = rare.join(counts, "h", "left").groupBy("rid").agg(F.sum(F.col("times") * F.log10(c + 1)).alias("logs"), F.sum("times").alias("times"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("found"))
     logs, times = F.coalesce("logs", F.lit(0.0)), F.coalesce("times", F.lit(0))
-    return paths.join(tail, "rid", "left").select(
+    return paths.join(rest, "rid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(int(lex.tokens)).cast("long").alias("train_tokens"),
         (F.col("base") + logs - times * math.log10(n_base)).alias("base_score"),
-        (F.col("path") + F.col("within") + logs - times * math.log10(n_within)).alias("score"),
+        F.col("path").alias("score"),
     )
 
 
