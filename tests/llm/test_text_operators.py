@@ -107,6 +107,26 @@ def test_language_finds_the_switch(spark):
     assert two.lang_pred in ("la", "en") and two.score == 0
 
 
+def test_language_of_scripts_that_are_not_listed(spark):
+    ta, te, km = "வணக்கம் உலகம் எப்படி இருக்கிறீர்கள் நன்றி", "నమస్కారం ప్రపంచం మీరు ఎలా ఉన్నారు ధన్యవాదాలు", "សួស្តី ពិភពលោក អរគុណ ច្រើន"
+    taught = [(k, text, lang) for k, (lang, text) in enumerate([("en", "hello world how are you thanks"), ("ta", ta), ("te", te), ("km", km)] * 3)]
+    model = language.learn(spark.createDataFrame(taught, "doc_id long, text string, lang string"))
+    asked = [(1, "உலகம் நன்றி"), (2, "ప్రపంచం ధన్యవాదాలు"), (3, "អរគុណ ពិភពលោក"), (4, "thanks world"), (5, "thanks world you are உலகம் வணக்கம் நன்றி")]
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    assert [got[k].lang_pred for k in range(1, 5)] == ["ta", "te", "km", "en"] and got[1].score == got[3].score == 1
+    assert got[5].spans == "en@0 ta@4"
+
+
+def test_every_letter_is_of_a_script():
+    import unicodedata
+
+    known = lambda c: any(a <= c <= b for ranges in language.SCRIPTS.values() for a, b in ranges)
+    for c in [*range(0x80, 0xD800, 7), *range(0xE000, 0x40000, 31)]:
+        b = chr(c).encode()
+        if unicodedata.category(chr(c))[0] == "L" and not known(c):
+            assert language._SCRIPT[b[0] * 256 + b[1]], hex(c)
+
+
 def test_language_paths_equal_a_plain_viterbi():
     rng = np.random.default_rng(3)
     scores = rng.normal(0, 3, (400, 3))

@@ -12,13 +12,16 @@ best constant path is the optimum, which one pass of sums proves; only the other
 go through the recursion, all texts of a slice in step.
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter, and for
-all texts when nothing could be learned; ties go to the first language by name; words in
-scripts of no learned language favour none; texts of such words only get the most common
+all texts when nothing could be learned; ties go to the first language by name; letters of
+scripts that are not listed count as one script, ``other``; words in scripts of no learned
+language favour none; texts of such words only get the most common
 language with score 0. Ids may be null or repeated; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,7 +53,8 @@ SCRIPTS = {
     "kana": [(0x3040, 0x30FF)],
     "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF)],
 }
-_NAMES = list(SCRIPTS)
+#: Letters outside these ranges are of one more script.
+_NAMES = [*SCRIPTS, "other"]
 
 
 def _script_table() -> np.ndarray:
@@ -64,6 +68,11 @@ def _script_table() -> np.ndarray:
             for c in range(low, high + 1, 1 if low < 0x800 else 64):
                 b = chr(c).encode()
                 out[b[0], b[1] if len(b) > 1 else slice(None)] = 1 << k
+    other = np.uint32(1 << len(SCRIPTS))
+    for low in [*range(0x80, 0x800), *range(0x800, 0xD800, 64), *range(0xE000, 0x40000, 64)]:  # no letters beyond
+        b = chr(low).encode()
+        if not out[b[0], b[1]] and any(unicodedata.category(chr(c))[0] == "L" for c in range(low, low + (1 if low < 0x800 else 64))):
+            out[b[0], b[1]] = other
     return out.ravel()
 
 
