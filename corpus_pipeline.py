@@ -5,7 +5,7 @@ columns of ``documents``. ``run`` writes each stage's result as Parquet in the s
 and reads it back as the next one's input.
 
 - language: documents without a letter (or without text) go; a missing ``lang`` is filled
-  in with the predicted one.
+  in with the predicted one, and stays missing where no row has a language to learn.
 - near: of each class of near duplicates the document that comes first stays.
 - substrings: words of repeated passages are cut out of the text and ``n_chars`` follows;
   documents of which nothing is left go.
@@ -29,8 +29,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.configure(spark)
     docs = docs.select(*COLUMNS)
-    found = language.identify(docs, language.learn_from_split(docs), keep=COLUMNS[1:])
-    return found.where("lang_pred <> 'und'").select("doc_id", "text", F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars")
+    model = language.learn_from_split(docs)
+    found = language.identify(docs, model, keep=COLUMNS[1:]).where(language.has_letter(F.col("text")))
+    lang = F.coalesce("lang", "lang_pred") if model.languages else F.col("lang")
+    return found.select("doc_id", "text", lang.alias("lang"), "source", "n_chars")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -229,6 +229,15 @@ def test_components_of_chains_and_stars(spark):
 # ---- pipeline ----
 
 
+def test_pipeline_without_languages_keeps_what_has_a_letter(spark, docs):
+    import corpus_pipeline as p
+
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    got = p.identify_language(spark, bare, "").collect()
+    want = Counter(r.doc_id for r in bare.collect() if r.doc_id not in (3, 4, 5))
+    assert Counter(r.doc_id for r in got) == want and want and {r.lang for r in got} == {None}
+
+
 def test_pipeline_stages_take_effect_and_keep_the_rest(spark, odd, tmp_path):
     import corpus_pipeline as p
 

@@ -236,6 +236,10 @@ def label_words(f: Features, model: Model, penalty: float) -> tuple[np.ndarray,
     return labels, known
 
 
+def has_letter(text: F.Column) -> F.Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = SWITCH_PENALTY, keep: tuple = ()) -> DataFrame:
     """doc_id, lang_pred, score, n_spans, spans and the columns of ``keep``.
 
@@ -271,7 +275,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             yield out | {"doc_id": batch.column(0).slice(c.first, c.rows), "lang_pred": names, "score": share, "n_spans": number, "spans": texts}
 
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.lower(text).alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letter"), *(F.col(c).alias(f"keep_{c}") for c in keep))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.lower(text).alias("text"), has_letter(text).alias("letter"), *(F.col(c).alias(f"keep_{c}") for c in keep))
     kinds = ", ".join(f"{n} {dict(docs.dtypes)[n]}" for n in keep)
     return mapped(rows, find, "doc_id long, lang_pred string, score double, n_spans long, spans string" + (", " + kinds if kinds else ""))
 
