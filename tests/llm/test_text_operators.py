@@ -232,13 +232,54 @@ def brute_removed(rows, window=35):
     return multiset(out)
 
 
-@pytest.mark.parametrize("bits", [26, 4])
-def test_substrings_equal_brute_force(odd, rows, bits):
-    """With four bits the sketch is full, and everything is sorted out exactly."""
-    got = multiset((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(odd, bits=bits).collect())
+@pytest.mark.parametrize(("least", "most"), [(20, 29), (4, 29), (20, 3)])
+def test_substrings_equal_brute_force(odd, rows, least, most, monkeypatch):
+    """Also with a small sketch, which lets much through, and with repeated seeds as a table."""
+    monkeypatch.setattr(substrings, "LEAST_BITS", least)
+    monkeypatch.setattr(substrings, "BYTES_A_CELL", 8 if least > 4 else 1 << 20)
+    got = multiset((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(odd, most_bits=most).collect())
     assert got == brute_removed(rows)
 
 
+def thue_morse(n, a, b):
+    out = [a]
+    while len(out) < n:
+        out += [b if x == a else a for x in out]
+    return out[:n]
+
+
+def test_words_and_texts_of_regular_sequences_are_told_apart(spark):
+    """Sums modulo 2**64 give these words, and these texts, equal hashes."""
+    one, two = "".join(thue_morse(4096, "a", "b")), "".join(thue_morse(4096, "b", "a"))
+    shared = [f"w{k}" for k in range(34)]
+    texts = [" ".join([*shared[:17], x, *shared[17:]]) for x in (one, two)] + [" ".join(thue_morse(4096, *x)) for x in (("p", "q"), ("q", "p"))]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = list(enumerate(texts))
+    assert multiset((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(d).collect()) == brute_removed(rows)
+    assert multiset((r.id, r.class_id, r.n_links) for r in near.jaccard_classes(d).collect()) == brute_classes(rows)
+    assert {(r.doc_id, r.n_removed) for r in substrings.remove_repeats(d).collect()} >= {(0, 0), (1, 0)}
+
+
+def test_word_hashes_tell_all_words_apart():
+    import pyarrow as pa
+
+    from weftline.llm import textkit
+
+    rng = np.random.default_rng(4)
+    words = {"".join(rng.choice(list("ab0é"), n)) for n in [*range(1, 80), 200, 1000] for _ in range(40)}
+    words |= {"".join(thue_morse(2**k, *x)) for k in range(13) for x in ("ab", "ba")}
+    words = sorted(words)
+    (c,) = textkit.chunks(pa.array([" ".join(words)]))
+    w = textkit.find_words(c, c.data, textkit.ASCII_SPACE)
+    both = [textkit.word_hashes(c.data, w, k) for k in (0, 1)]
+    assert len(set(both[0].tolist())) == len(words) == len(set(both[1].tolist())) and not set(both[0].tolist()) & set(both[1].tolist())
+    again = textkit.word_hashes(c.data[w.begin[5] :], textkit.Words(w.begin[5:] - w.begin[5], w.end[5:] - w.begin[5], None, None))
+    assert again.tolist() == both[0][5:].tolist()  # a word's place does not matter
+    for n in (1, 2, 5, 35):
+        grams = textkit.gram_hashes(both[0], n)
+        assert len(grams) == len(words) - n + 1 and textkit.gram_hashes(both[0][3 : 3 + n], n)[0] == grams[3]
+
+
 def test_substrings_with_periodic_text_and_kept_white_space(spark):
     rng = np.random.default_rng(5)
     free = " ".join(f"f{k}" for k in rng.integers(0, 10**6, 50))

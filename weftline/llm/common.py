@@ -31,11 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named (tests)."""
+    """The folder that driver and executors share. Where none is named, a temporary one, but only if all run on this machine."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = spark.conf.get("spark.weftline.scratch", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="weftline-")
         spark.conf.set("spark.weftline.scratch", folder)
     return folder
@@ -83,7 +85,9 @@ def _arrow(kind: T.DataType) -> pa.DataType:
 
 
 def binaries(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Binary column over adjacent ranges of one buffer."""
+    """Binary column over adjacent ranges of one buffer, which has less than 2 GB as each row of Spark has."""
+    if len(ends) and ends[-1] >= 1 << 31:
+        raise ValueError("more than 2 GB in one column of a batch")
     offsets = np.concatenate([begins[:1], ends]).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 

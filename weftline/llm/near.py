@@ -30,12 +30,13 @@ from pyspark.sql import functions as F
 
 from .common import NEAR_DUPLICATE_SIMILARITY, NEAR_DUPLICATE_WORDS, lists, mapped, row_key, table, written
 from .graph import components
-from .substrings import range_hashes
-from .textkit import ALNUM_SEP, chunks, find_words, gram_hashes, mix, signed, word_hashes
+from .textkit import ALNUM_SEP, chunks, find_words, gram_hashes, mix, row_hashes, signed, word_hashes
 
 RECALL = 0.9999
 #: Nodes of a block: a task verifies two blocks against each other.
 BLOCK = 256
+#: Rows of one class are dealt over this many tasks where they meet the class's id.
+SALTS = 16
 
 
 def banding(similarity: float, recall: float, most_rows: int = 16) -> tuple[int, int]:
@@ -67,7 +68,7 @@ def signatures(rows: DataFrame, words: int, bands: int, per_band: int) -> DataFr
             h, other = word_hashes(c.data, w), word_hashes(c.data, w, 1)
             some = np.flatnonzero(w.count)
             cut = slice(c.first, c.first + c.rows)
-            s1, s2 = (range_hashes(x, w.row_from, w.row_to, k) for k, x in enumerate((h, other)))
+            s1, s2 = (row_hashes(x, w, k) for k, x in enumerate((h, other)))
             sizes = np.maximum(w.count[some] - words + 1, 1)
             parts = gram_hashes(h, words)
             if (w.count[some] < words).any() or not len(parts):
@@ -212,8 +213,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     info = nodes.select("s1", "s2", "node", "copies").join(degree, "node", "left").join(classes, "node", "left")
     info = info.select("s1", "s2", "node", F.coalesce("c", "node").alias("class"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     each = written(found.select("rid", "id", "key", "s1", "s2").join(info, ["s1", "s2"]).drop("s1", "s2"), "classes")
-    named = each.groupBy("class").agg(F.min("id").alias("class_id"))
-    return each.join(named, "class")
+    # a document without links is a class of its own; the others meet their class's id in salted groups
+    salt = F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int")
+    least = each.where("n_links > 0").groupBy("class").agg(F.min("id").alias("class_id")).select("class", "class_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    linked = each.where("n_links > 0").withColumn("salt", salt).join(least, ["class", "salt"]).drop("salt")
+    return linked.unionByName(each.where("n_links = 0").withColumn("class_id", F.col("id")))
 
 
 def op3_near(spark, sf_dir: str) -> DataFrame:

@@ -5,17 +5,20 @@ runs of 15 words the one with the least hash (the leftmost of equals). Equal win
 equal seeds at equal places, and a seed serves about eleven windows in a row (a *span*),
 so the count of a seed's occurrences bounds every window's count from above.
 
-1. Count-min prefilter. Each partition counts its seeds in a sketch of two rows; sketches
-   are merged slice by slice and come down to one bit a cell (seen twice or more), of a
-   fixed total size, which is broadcast. Nothing repeated is lost; at sizes where the
-   sketch fills up it merely filters less and the exact pass sorts out more.
+1. Count-min prefilter. The sketch's hash function takes a window to the cell of its seed,
+   so that a span counts once and not once a window. Each partition counts in a sketch of
+   two rows; sketches are merged slice by slice and come down to one bit a cell (seen twice
+   or more), which is broadcast. Its size follows the bytes of all texts, and is at most
+   ``MOST_BITS``. For more text than that serves, the repeated seeds are a table instead,
+   counted by a shuffle and joined to the spans: nothing is broadcast then.
 2. Exact grouping of the windows whose seed may be repeated. Spans are grouped by a hash
    of 128 bits: all windows of a span seen twice are repeated. Only where one seed stands
    in different spans are single windows grouped, by 128 bits again. What was found is
    joined to the occurrences, gathered by document, and the words covered are removed.
 
-Hot passages are combined before each shuffle; where occurrences meet their spans the
-join has no other operator on its shuffles, so skewed partitions are split at run time.
+Hot passages are combined before each shuffle, and spans of one seed are salted; where
+occurrences meet their spans the join has no other operator on its shuffles, so skewed
+partitions are split at run time.
 A document is never compared with another one.
 
 Defined results: null and empty texts have no words and keep the digest of the empty
@@ -34,21 +37,23 @@ from pyspark.sql import functions as F
 
 from .common import lists, mapped, row_key, table
 from .common import written as write_table
-from .textkit import ASCII_SPACE, _BASES, chunks, find_words, gram_hashes, inverse, mix, powers, signed, sliding, starts_of, word_hashes
+from .textkit import ASCII_SPACE, chunks, find_words, gram_hashes, mix, signed, sliding, starts_of, word_hashes
 
 WINDOW = 35
 SEED_WORDS = 15
-#: Cells of each of the sketch's two rows, as a power of two: 2**27 bits or 16 MB in all.
-SKETCH_BITS = 26
+#: Cells of each of the sketch's two rows, as a power of two: about one for eight bytes of text (some eight a span), 2**30 bits or 128 MB in all at most.
+LEAST_BITS, MOST_BITS = 20, 29
+BYTES_A_CELL = 8
+#: Spans of a seed are dealt over this many tasks where they are told apart by window.
+SALTS = 16
 _SLICE_BITS = 20
 _FLUSH = 1 << 22
 
 
-def range_hashes(hashes: np.ndarray, begins: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
-    base = _BASES[which][1]
-    total = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * powers(base, len(hashes)), out=total[1:])
-    return mix((total[ends] - total[begins]) * powers(inverse(base), len(hashes) + 1)[begins] + (ends - begins).astype(np.uint64))
+def span_hashes(hashes: np.ndarray, begin: np.ndarray, size: np.ndarray, window: int, which: int) -> np.ndarray:
+    """Hash of each span's words: of its first and its last window, and how far they lie apart. A span is shorter than two windows."""
+    grams = gram_hashes(hashes, window, which)
+    return mix(mix(grams[begin]) ^ (grams[begin + size - 1] + size.astype(np.uint64)))
 
 
 class Spans:
@@ -63,9 +68,7 @@ class Spans:
         if n < window:
             return
         grams = gram_hashes(self.hashes, seed)
-        low = np.uint64((1 << 28) - 1)
-        if n > int(low):
-            raise ValueError("a text of over 2**28 words")
+        low = np.uint64((1 << 31) - 1)  # a text has fewer words
         least = sliding((grams & ~low) | np.arange(len(grams), dtype=np.uint64), window - seed + 1, np.minimum)
         at = np.flatnonzero(starts_of(self.words, window, len(least)))
         if not len(at):
@@ -83,7 +86,25 @@ def _cells(seed: np.ndarray, bits: int) -> list[np.ndarray]:
     return [((seed >> np.uint64(shift)) & low) + np.uint64(row << bits) for row, shift in enumerate((0, 64 - bits))]
 
 
-def sketch(docs: DataFrame, text_col: str, window: int = WINDOW, seed: int = SEED_WORDS, bits: int = SKETCH_BITS) -> np.ndarray:
+def sketch_bits(docs: DataFrame, text_col: str) -> int:
+    """Size of the sketch that the texts ask for; more than ``MOST_BITS`` is not built."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long")).alias("n")).first()["n"] or 0
+    return max(LEAST_BITS, (size // BYTES_A_CELL).bit_length())
+
+
+def repeated_seeds(docs: DataFrame, text_col: str, window: int, seed: int) -> DataFrame:
+    """seed: those that stand twice or more, by exact counts."""
+
+    def count(batch):
+        for c in chunks(batch.column(0)):
+            found, n = np.unique(Spans(c, window, seed).seed, return_counts=True)
+            yield {"seed": signed(found), "n": n}
+
+    each = mapped(docs.select(F.col(text_col).cast("string").alias("text")), count, "seed long, n long")
+    return each.groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1").select("seed")
+
+
+def sketch(docs: DataFrame, text_col: str, window: int, seed: int, bits: int) -> np.ndarray:
     """Bits of the merged count-min sketch: which cells were counted twice or more. 2**(bits + 1) of them."""
     slice_bits = min(_SLICE_BITS, bits)
 
@@ -140,20 +161,21 @@ def _estimated_twice(table_bits: np.ndarray, seed: np.ndarray, bits: int) -> np.
     return ok
 
 
-def occurrences(docs: DataFrame, seen_twice, with_windows: bool, window: int = WINDOW, seed: int = SEED_WORDS, bits: int = SKETCH_BITS) -> DataFrame:
-    """A row for each span whose seed may be repeated. docs: id, key, text; seen_twice: a broadcast sketch."""
+def occurrences(docs: DataFrame, seen_twice, with_windows: bool, window: int, seed: int, bits: int) -> DataFrame:
+    """A row for each span whose seed may be repeated. docs: id, key, text; seen_twice: a broadcast sketch, or a table of seeds."""
+    by_join = isinstance(seen_twice, DataFrame)
+    shared = None if by_join else seen_twice
 
     def find(batch):
-        flags = np.frombuffer(seen_twice.value, np.uint8)
+        flags = None if shared is None else np.frombuffer(shared.value, np.uint8)
         for c in chunks(batch.column(2)):
             s = Spans(c, window, seed)
-            keep = np.flatnonzero(_estimated_twice(flags, s.seed, bits))
+            keep = np.arange(len(s.seed)) if flags is None else np.flatnonzero(_estimated_twice(flags, s.seed, bits))
             if not len(keep):
                 continue
             begin, size, row = s.begin[keep], s.size[keep], s.row[keep]
             other = word_hashes(c.data, s.words, 1)
-            end = begin + size + window - 1
-            out = {"seed": signed(s.seed[keep]), "a": signed(range_hashes(s.hashes, begin, end, 0)), "b": signed(range_hashes(other, begin, end, 1)), "size": size.astype(np.int32)}
+            out = {"seed": signed(s.seed[keep]), "a": signed(span_hashes(s.hashes, begin, size, window, 0)), "b": signed(span_hashes(other, begin, size, window, 1)), "size": size.astype(np.int32)}
             if with_windows:
                 each = np.repeat(begin - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
                 yield out | {"windows": lists(signed(gram_hashes(other, window, 1)[each]), size, pa.int64())}
@@ -162,25 +184,31 @@ def occurrences(docs: DataFrame, seen_twice, with_windows: bool, window: int = W
                 yield out | {"id": batch.column(0).take(at), "key": batch.column(1).take(at), "at": begin - s.words.row_from[row]}
 
     kinds = "seed long, a long, b long, size int, " + ("windows array<long>" if with_windows else "id long, key long, at long")
-    return mapped(docs, find, kinds)
+    found = mapped(docs, find, kinds)
+    return found.join(seen_twice, "seed", "left_semi") if by_join else found
 
 
-def repeated_spans(docs: DataFrame, seen_twice, window: int = WINDOW, seed: int = SEED_WORDS, bits: int = SKETCH_BITS) -> DataFrame:
+def repeated_spans(docs: DataFrame, seen_twice, window: int, seed: int, bits: int) -> DataFrame:
     """a, b, mask: which of a span's windows (bit i: the i-th) start more than once in all documents."""
     spans = occurrences(docs, seen_twice, True, window, seed, bits).groupBy("seed", "a", "b", "size").agg(F.count("*").alias("n"), F.first("windows").alias("windows"))
     spans = write_table(spans, "spans")
-    several = spans.groupBy("seed").agg(F.count("*").alias("c")).where("c > 1").select("seed")
-    single = spans.join(several, "seed").select("seed", "a", "b", "n", F.posexplode("windows").alias("i", "w"))
+    several = spans.groupBy("seed").agg(F.count("*").alias("c")).where("c > 1").select("seed", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = spans.withColumn("salt", F.pmod("a", F.lit(SALTS)).cast("int"))
+    single = dealt.join(several, ["seed", "salt"]).select("seed", "a", "b", "n", F.posexplode("windows").alias("i", "w"))
     twice = single.groupBy("seed", "w").agg(F.sum("n").alias("t")).where("t > 1").select("seed", "w")
     parts = single.where("n = 1").join(twice, ["seed", "w"]).groupBy("a", "b").agg(F.expr("bit_or(shiftleft(1L, i))").alias("mask"))
     return spans.where("n > 1").select("a", "b", F.expr("shiftleft(1L, size) - 1").alias("mask")).unionByName(parts)
 
 
-def marks(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS, bits: int = SKETCH_BITS) -> DataFrame:
+def marks(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS, most_bits: int = MOST_BITS) -> DataFrame:
     """id, key, marks: for each document with repeated windows, start and mask of its spans in one number each."""
     if window - seed + 1 > 21:
         raise ValueError("a span's mask has 21 bits")
-    seen_twice = docs.sparkSession.sparkContext.broadcast(sketch(docs, "text", window, seed, bits).tobytes())
+    bits = sketch_bits(docs, "text")
+    if bits <= most_bits:
+        seen_twice = docs.sparkSession.sparkContext.broadcast(sketch(docs, "text", window, seed, bits).tobytes())
+    else:
+        seen_twice = write_table(repeated_seeds(docs, "text", window, seed), "seeds")
     spans = repeated_spans(docs, seen_twice, window, seed, bits)
     found = occurrences(docs, seen_twice, False, window, seed, bits).join(spans, ["a", "b"])
     return found.groupBy("id", "key").agg(F.collect_list(F.expr("shiftleft(at, 21) | mask")).alias("marks"))
@@ -209,11 +237,14 @@ def _gather(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, gap: int) -
     return out, to
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, keep: tuple = (), window: int = WINDOW, seed: int = SEED_WORDS, bits: int = SKETCH_BITS) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, keep: tuple = (), window: int = WINDOW, seed: int = SEED_WORDS, most_bits: int = MOST_BITS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256; with keep_text also kept_text, whose words keep their white space; and the columns of keep."""
+    made = ("doc_id", "n_words", "n_removed", "kept_sha256", *(("kept_text",) if keep_text else ()))
+    if clash := [c for c in keep if c.lower() in made]:
+        raise ValueError(f"columns made here cannot be kept: {clash}")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
     rows = rows.select("id", row_key("id", "text").alias("key"), "text", *(f"keep_{c}" for c in keep))
-    found = marks(rows.select("id", "key", "text"), window, seed, bits)
+    found = marks(rows.select("id", "key", "text"), window, seed, most_bits)
     both = rows.join(found.withColumnRenamed("id", "_id").withColumnRenamed("key", "_key"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
 
     def cut(batch):

@@ -4,24 +4,27 @@ Everything works on Arrow string buffers, a bounded slice of rows at a time, so
 no per-word Python object is made. A slice holds ``CHUNK_BYTES`` of text, or one row
 if that row alone is longer: memory is bounded by the longest text, never by a group.
 
-Hashes are polynomials over the ring of integers modulo 2**64, taken from prefix sums:
-the value of any range is a difference of two prefixes times a power of the inverse
-base. Two independent bases give 128 bits where equality must be exact.
+Hashes are chains of a mixing function over blocks of eight bytes (words) and over pairs
+of runs of doubling length (n-grams), so that regular sequences meet no more often than
+any others: sums modulo 2**64, as in polynomial hashes, would give all Thue-Morse words of
+a length one hash. Two keys give 128 bits where equality must be exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
-_MASK = (1 << 64) - 1
-#: Odd multipliers of the byte and word polynomials; a pair for each of two hashes.
-_BASES = ((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F))
-_powers: dict[int, np.ndarray] = {}
+#: Keys of the two hashes: one for words, one for runs of words.
+_KEYS = ((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F))
+#: Longer words are hashed one by one.
+_LONG_WORD = 64
+_LEFT = np.concatenate([[0], (1 << (8 * np.arange(1, 9, dtype=object))) - 1]).astype(np.uint64)
 
 ASCII_SPACE = np.zeros(256, bool)
 ASCII_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -32,25 +35,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; grown by doubling and kept."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(12, (n - 1).bit_length())
-        out = np.ones(size, np.uint64)
-        done = 1
-        while done < size:
-            step = np.uint64(pow(base, done, 1 << 64))
-            out[done : 2 * done] = out[:done] * step
-            done *= 2
-        have = _powers[base] = out
-    return have[:n]
-
-
-def inverse(base: int) -> int:
-    return pow(base, -1, 1 << 64)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser: spreads every input bit over the word."""
     h = h ^ (h >> np.uint64(31))
@@ -135,22 +119,56 @@ def find_words(chunk: Chunk, data: np.ndarray, separator: np.ndarray) -> Words:
 
 
 def word_hashes(data: np.ndarray, words: Words, which: int = 0) -> np.ndarray:
-    base = _BASES[which][0]
-    n = len(data)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(base, n), out=total[1:])
-    return mix((total[words.end] - total[words.begin]) * powers(inverse(base), n + 1)[words.begin])
+    key = np.uint64(_KEYS[which][0])
+    size = words.end - words.begin
+    out = mix(size.astype(np.uint64) * key + key)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place
+    on = np.flatnonzero(size <= _LONG_WORD) if size.max(initial=0) > _LONG_WORD else slice(None)
+    at, left = words.begin[on], size[on]
+    now = out[on]
+    while len(at):
+        now = mix((now ^ (eight[at] & _LEFT[np.minimum(left, 8)])) * key)
+        out[on] = now
+        more = np.flatnonzero(left > 8)
+        on = more if isinstance(on, slice) else on[more]
+        at, left, now = at[more] + 8, left[more] - 8, now[more]
+    secret = _KEYS[which][0].to_bytes(8, "little")
+    for k in np.flatnonzero(size > _LONG_WORD):
+        out[k] = int.from_bytes(blake2b(data[words.begin[k] : words.end[k]], digest_size=8, key=secret).digest(), "little")
+    return out
+
+
+def _joined(a: np.ndarray, b: np.ndarray, which: int) -> np.ndarray:
+    key = np.uint64(_KEYS[which][1])
+    return mix(mix(a * key + key) ^ (b * key))
 
 
 def gram_hashes(hashes: np.ndarray, n: int, which: int = 0) -> np.ndarray:
-    """Hash of each run of ``n`` hashes, by start; runs over row borders are included."""
+    """Hash of each run of ``n`` hashes, by start; runs over row borders are included. Runs of doubling length are joined."""
     size = len(hashes) - n + 1
     if size <= 0:
         return np.zeros(0, np.uint64)
-    base = _BASES[which][1]
-    total = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * powers(base, len(hashes)), out=total[1:])
-    return mix((total[n:] - total[:size]) * powers(inverse(base), size))
+    out, have, power, run = None, 0, hashes, 1
+    while True:
+        if n & run:
+            out = power[:size] if out is None else _joined(out, power[have : have + size], which)
+            have += run
+        if have == n:
+            return out
+        power = _joined(power[:-run], power[run:], which)
+        run *= 2
+
+
+def row_hashes(hashes: np.ndarray, words: Words, which: int = 0) -> np.ndarray:
+    """Hash of all words of each row, in order: a sum of words mixed with their places."""
+    count = words.count
+    place = np.arange(len(hashes)) - np.repeat(words.row_from, count)
+    total = np.zeros(len(count), np.uint64)
+    some = np.flatnonzero(count)
+    if len(some):
+        total[some] = np.add.reduceat(_joined(hashes, mix(place.astype(np.uint64) + np.uint64(1)), which), words.row_from[some])
+    return mix(total + count.astype(np.uint64))
 
 
 def starts_of(words: Words, n: int, size: int) -> np.ndarray:
