@@ -25,7 +25,7 @@ def tokens(text):
 
 @pytest.fixture(scope="module")
 def scored(odd):
-    return hmm.score(odd, held_out("doc_id", 7), states=3, rounds=2, emitted=50, head=80).collect()
+    return hmm.score(odd, held_out("doc_id", 7), states=3, rounds=2, emitted=50).collect()
 
 
 def test_counts_and_base_scores_equal_brute_force(scored, rows, spark):
@@ -62,7 +62,7 @@ def test_expected_counts_equal_those_over_all_paths():
     model = hmm.Model(norm(rng.random(k), 0), norm(rng.random((k, k)), 1), norm(rng.random((m, k)), 0))
     symbols = rng.integers(0, m, n)
     start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((m, k))
-    hmm.expectations(model, symbols, np.array([0]), np.array([n]), (start, move, emit))
+    hmm.Pieces(model, symbols, np.array([0]), np.array([n])).expect((start, move, emit))
     want, total = np.zeros((m, k)), 0.0
     turns = np.zeros((k, k))
     for path in itertools.product(range(k), repeat=n):
@@ -83,13 +83,16 @@ def test_training_raises_the_likelihood_and_beats_counts(spark):
     assert sum(five[k].score for k in held) > sum(five[k].base_score for k in held)
 
 
-def test_probabilities_of_next_words_sum_to_one(scored):
-    """Known and unknown words of the shared symbol and all symbols share the whole mass."""
-    lex = hmm.Lexicon([1, 2, 3], [5, 3, 2], 4, 20, 8, 2)
-    shared = [(c + 1) for c in (2, 1, 1, 1, 1)][: lex.shared_types]
-    assert math.isclose((sum(shared) + lex.shared_tokens - sum(c - 1 for c in shared) + 1) / (lex.shared_tokens + lex.shared_types + 1), 1)
+def small_lexicon(monkeypatch):
+    """Two symbols of 8 tokens; a tail of 8 tokens of 5 words in two classes."""
+    monkeypatch.setattr(hmm, "CLASSES", 2)
+    return hmm.Lexicon([1, 2], [5, 3], 4, 20, 8, [5, 3], [3, 2])
+
+
+def test_probabilities_of_symbols_sum_to_one(monkeypatch):
+    lex = small_lexicon(monkeypatch)
     model = hmm.first_model(lex.symbol_counts(), 4)
-    assert np.allclose(model.emit.sum(0), 1) and np.allclose(model.move.sum(1), 1)
+    assert model.emit.shape == (5, 4) and np.allclose(model.emit.sum(0), 1) and np.allclose(model.move.sum(1), 1)
 
 
 def test_rare_words_have_emissions_by_state(spark, monkeypatch):
@@ -99,19 +102,22 @@ def test_rare_words_have_emissions_by_state(spark, monkeypatch):
     rows = [(k, text("ab"[k % 2])) for k in range(60)] + [(100, text("a")), (101, text("b")), (102, " ".join(f"{'ab'[k % 2]}{k % 40}" for k in range(60)))]
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     held = F.col("doc_id") >= 100
-    got = {r.doc_id: r for r in hmm.score(d, held, states=2, rounds=12, emitted=1, head=5).collect()}
+    got = {r.doc_id: r for r in hmm.score(d, held, states=2, rounds=12, emitted=1).collect()}
     assert len(got) == len(rows) and got[100].score > got[102].score + 5 and got[101].score > got[102].score + 5
     assert abs(got[102].base_score - got[100].base_score) < 5
     monkeypatch.setattr(hmm, "BLOCK", 100)  # blocks do not change the result
-    again = {r.doc_id: r for r in hmm.score(d, held, states=2, rounds=12, emitted=1, head=5).collect()}
+    again = {r.doc_id: r for r in hmm.score(d, held, states=2, rounds=12, emitted=1).collect()}
     assert all(math.isclose(got[k].score, again[k].score, rel_tol=1e-3) for k in got)
 
 
-def test_shares_of_tail_words_sum_to_one():
-    lex = hmm.Lexicon([1, 2, 3], [5, 3, 2], 4, 20, 8, 2)  # the tail: 8 tokens of 5 words
-    n, counts = np.array([2, 2, 2, 1, 1, 0]), np.array([[2, 0], [1, 1], [0, 2], [1, 0], [0, 1], [0, 0]])
-    assert (lex.shared_tokens, lex.shared_types) == (8, 5)
-    assert np.allclose(hmm.Tail(lex, counts.sum(0)).shares(n, counts).sum(0), 1)
+def test_shares_of_tail_words_sum_to_one(monkeypatch):
+    """Known words of a class and one unknown word share its whole mass."""
+    lex = small_lexicon(monkeypatch)
+    h, n = np.array([10, 12, 14, 11, 13, 16, 15]), np.array([2, 2, 1, 2, 1, 0, 0])
+    counts = np.array([[2, 0], [1, 1], [0, 1], [1, 1], [0, 1], [0, 0], [0, 0]])
+    even = h % 2 == 0
+    shares = hmm.Tail(lex, np.array([counts[even].sum(0), counts[~even].sum(0)])).shares(h, n, counts)
+    assert np.allclose(shares[even].sum(0), 1) and np.allclose(shares[~even].sum(0), 1)
 
 
 def test_transitions_between_pieces_count(monkeypatch):
@@ -121,10 +127,46 @@ def test_transitions_between_pieces_count(monkeypatch):
     monkeypatch.setattr(hmm, "PIECE", 4)
     start, move, emit = np.zeros(3), np.zeros((3, 3)), np.zeros((7, 3))
     sizes = np.array([11, 4, 1, 8])
-    hmm.expectations(model, rng.integers(0, 7, 24), np.cumsum(sizes) - sizes, sizes, (start, move, emit))
+    hmm.Pieces(model, rng.integers(0, 7, 24), np.cumsum(sizes) - sizes, sizes).expect((start, move, emit))
     assert math.isclose(move.sum(), (sizes - 1).sum()) and math.isclose(emit.sum(), 24)
 
 
+@pytest.mark.parametrize("states", [1, 3])
+def test_pieces_do_not_change_counts_or_likelihoods(monkeypatch, states):
+    rng = np.random.default_rng(5)
+    norm = lambda x, axis: x / x.sum(axis, keepdims=True)
+    model = hmm.Model(norm(rng.random(states), 0), norm(rng.random((states, states)), 1), norm(rng.random((9, states)) ** 6, 0))
+    sizes = rng.integers(1, 90, 40)
+    symbols, begins = rng.integers(0, 9, sizes.sum()), np.cumsum(sizes) - sizes
+    out = []
+    for piece in (1000, 7, 1):
+        monkeypatch.setattr(hmm, "PIECE", piece)
+        totals = np.zeros(states), np.zeros((states, states)), np.zeros((9, states))
+        p = hmm.Pieces(model, symbols, begins, sizes)
+        place, weight = p.expect(totals)
+        by_place = np.empty_like(weight)
+        by_place[place] = weight
+        out.append((*totals, p.logs, by_place))
+    for other in out[1:]:
+        assert all(np.allclose(a, b) for a, b in zip(out[0], other, strict=True))
+
+
+@pytest.mark.parametrize("most", [1, 3, 4, 6, 9, 100])
+def test_common_words_come_in_order_of_count(spark, most):
+    n = [1000, 1001, 1002, 90, 90, 7, 7, 7, 1, 1]
+    rng = np.random.default_rng(2)
+    h = rng.integers(-(2**63), 2**63 - 1, len(n))
+    got_h, got_n = hmm.common_words(spark.createDataFrame(list(zip(h.tolist(), n, strict=True)), "h long, n long"), most)
+    assert got_n.tolist() == sorted(n, reverse=True)[: len(got_n)] and len(got_n) >= min(most, len(n)) - 2
+    assert all(dict(zip(h, n, strict=True))[a] == b for a, b in zip(got_h, got_n, strict=True))
+
+
+def test_language_model_of_words_that_all_occur_once(spark):
+    d = spark.createDataFrame([(k, " ".join(f"v{k}x{j}" for j in range(50))) for k in range(20)], "doc_id long, text string")
+    got = hmm.score(d, F.col("doc_id") > 17, states=2, rounds=2, emitted=100).collect()
+    assert {(r.n_tokens, r.n_known, r.train_tokens) for r in got} == {(51, 51, 18 * 51), (51, 1, 18 * 51)}
+
+
 def test_language_model_of_empty_tables(empty, docs):
     assert hmm.score(empty, held_out("doc_id", 7)).collect() == []
     got = hmm.score(docs, F.lit(True), states=2, rounds=1).collect()

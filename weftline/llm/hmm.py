@@ -1,19 +1,22 @@
 """Language model: a hidden Markov model over words, trained by Baum-Welch across partitions.
 
 Tokens are words (A-Z in lower case) and one end token a text. Training counts of all
-words are summed over all training documents. The most common ``EMITTED`` words are
-symbols of a model that is broadcast. All other training words, the tail, have their
-expected counts by state too, in a table that grows with the input: a state's probability
-of a tail word is that of the tail times the word's share of the state's tail counts,
-smoothed with its share of all tail counts; unknown words have the smoothing alone. So the
-probabilities of all texts sum to one. States are trained by Baum-Welch. Rows are in blocks of
-about ``BLOCK`` tokens: each round joins the tail counts to the words of every block, a block
-adds up its expected counts over pieces of ``PIECE`` tokens in step (with the transitions
-between pieces), and Spark sums the blocks' counts as integers, so that order does not matter.
-The likelihood of a text is exact: the scaled forward recursion over the whole sequence.
-
-The most common words' counts, at most ``HEAD``, are broadcast. Rarer words
-meet their counts in a join; none of them is common, so no key is hot.
+words are summed over all training documents. The ``EMITTED`` most common words are symbols
+of a model that is broadcast; all other training words, the tail, share ``CLASSES`` symbols
+there, by their hashes. In each round tasks add up expected counts over whole texts, and
+Spark sums them as integers, so that order does not matter. In the last round the tail's
+occurrences are counted by state word for word too, in a table that grows with the input: a
+state's probability of a tail word is that of its class times the word's share of the
+state's counts of the class, smoothed with its share of all counts of the class; unknown
+words have the smoothing alone. So the probabilities of all texts sum to one.
+
+Texts are cut into pieces of ``PIECE`` tokens that are worked on in step, without loss: the
+product of a piece's transitions and emissions, a small matrix, carries the forward and
+backward messages over it exactly. Expected counts and likelihoods are those of the scaled
+recursions over whole texts.
+
+To be scored, texts stand in blocks of about ``BLOCK`` tokens: the tail words of a block, once
+each, meet their counts in a join, and each block is read with its own words.
 
 Defined results: a null or empty text is the end token alone; without training documents
 all counts are 0 and states are uniform; rows of equal text get equal scores, and repeated
@@ -22,27 +25,38 @@ rows count again; a null id is not held out. Words are told apart by 64-bit hash
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, held_out, lists, mapped, removed, table, written
+from .common import binaries, held_out, lists, mapped, table, written
 from .textkit import ASCII_SPACE, LOWER, HashIndex, chunks, find_words, mix, signed, word_hashes
 
 STATES = 8
 ROUNDS = 5
 EMITTED = 16_384
-HEAD = 1 << 18
+CLASSES = 8192
 PIECE = 64
 BLOCK = 1 << 21
 #: Added to every expected count.
 PRIOR = 0.05
 _UNIT = 1 << 16
 _FLUSH = 1 << 21
-_END, _SHARED = 0, 1
+#: Bytes of symbols (two a token) worked on at once.
+_SLICE = 1 << 19
+_END = 0
+
+
+def class_of(h):
+    """A tail word's symbol; also of a column of hashes."""
+    if isinstance(h, Column):
+        return (h.bitwiseAND(CLASSES - 1) + 1).cast("int")
+    return (h & h.dtype.type(CLASSES - 1)).astype(np.int64) + 1
+
+
+def _is_tail(symbols: np.ndarray) -> np.ndarray:
+    return (symbols > _END) & (symbols <= CLASSES)
 
 
 def _hashes(chunk):
@@ -77,82 +91,91 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 class Lexicon:
-    """The head of the counts: hashes in order of count; which of them are symbols; totals over all words."""
+    """The most common words, by count, totals over all words, and tokens and types of the tail's classes."""
 
-    def __init__(self, hashes, counts, ends: int, tokens: int, types: int, emitted: int):
+    def __init__(self, hashes, counts, ends: int, tokens: int, types: int, class_tokens, class_types):
         self.index = HashIndex.of(np.asarray(hashes, np.int64).view(np.uint64))
         self.counts = np.asarray(counts, np.int64)
         self.ends, self.tokens, self.types = ends, tokens, types
-        self.emitted = min(emitted, len(self.counts))
-        self.symbols = self.emitted + 2
-        own = int(self.counts[: self.emitted].sum())
-        self.shared_tokens = tokens - own - ends
-        self.shared_types = types - self.emitted - (ends > 0)
+        self.class_tokens, self.class_types = np.asarray(class_tokens), np.asarray(class_types)
 
     def base(self, c):
         return np.log10((c + 1) / (self.tokens + self.types + 1))
 
-    def within(self, c):
-        return np.log10((c + 1) / (self.shared_tokens + self.shared_types + 1))
-
     def symbol_counts(self) -> np.ndarray:
-        return np.concatenate([[self.ends, self.shared_tokens], self.counts[: self.emitted]]).astype(np.float64)
+        return np.concatenate([[self.ends], self.class_tokens, self.counts]).astype(np.float64)
 
 
-def lexicon(counts: DataFrame, head: int, emitted: int) -> Lexicon:
-    """The head is all words above a count: the least step of 64 to a doubling above which there are at most ``head`` words."""
-    total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("h") == 0, F.col("n"))).alias("e")).first()
-    words = counts.where("h <> 0").withColumn("step", F.floor(F.log2("n") * 64))
-    steps = words.groupBy("step").count().toArrow().sort_by([("step", "descending")])  # 64 * 63 at most
-    fit = np.cumsum(steps["count"].to_numpy()) <= head
-    least = int(steps["step"].to_numpy()[fit].min()) if fit.any() else 1 << 20
-    top = words.where(F.col("step") >= least).select("h", "n").toArrow()
-    h, n = top["h"].to_numpy(), top["n"].to_numpy()
-    order = np.lexsort((h, -n))
-    return Lexicon(h[order], n[order], total["e"] or 0, total["n"] or 0, total["v"], emitted)
+def _crossing(groups: pa.Table, by: str, most: int) -> tuple[int | None, int]:
+    """Going down the groups, the first that does not fit into ``most`` (None if all do), and how many words come before it."""
+    groups = groups.sort_by([(by, "descending")])
+    sums = np.cumsum(groups["count"].to_numpy())
+    k = int(np.searchsorted(sums, most, "right"))
+    return (groups[by][k].as_py() if k < len(sums) else None), int(sums[k - 1]) if k else 0
 
 
-def encode(docs: DataFrame, lex) -> DataFrame:
-    """rid, doc_id, held_out, block, n_tokens, known, base, symbols (bytes of 16 bits each), tail, rare hashes and how often each.
+def common_words(words: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of the ``most`` most common words, in order; words of the last count are taken by their hashes.
 
-    tail: the words of the shared symbol, in order. known and base cover the end token and all words of the head; rare holds the other words.
+    Words are grouped by steps of 64 to a doubling of the count (64 * 63 at most), then by the counts
+    in the step that crosses the limit, so that only groups and chosen words reach the driver.
     """
+    words = words.withColumn("step", F.floor(F.log2("n") * 64))
+    step, before = _crossing(words.groupBy("step").count().toArrow(), "step", most)
+    chosen = words if step is None else words.where(F.col("step") > step)
+    if step is not None:
+        inside = words.where(F.col("step") == step)
+        count, fit = _crossing(inside.groupBy("n").count().toArrow(), "n", most - before)
+        equal = inside.where(F.col("n") == count)
+        share = (most - before - fit) / equal.count()
+        # hashes are spread evenly: this many and a few more
+        bound = int(min(1.0, share * 1.1 + 1e-4) * (1 << 64)) - (1 << 63) - 1
+        chosen = chosen.unionByName(inside.where(F.col("n") > count)).unionByName(equal.where(F.col("h") <= bound))
+    top = chosen.select("h", "n").toArrow()
+    h, n = top["h"].to_numpy(), top["n"].to_numpy()
+    order = np.lexsort((h, -n))[:most]
+    return h[order], n[order]
+
+
+def lexicon(counts: DataFrame, emitted: int) -> Lexicon:
+    total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("h") == 0, F.col("n"))).alias("e")).first()
+    words = counts.where("h <> 0")
+    h, n = common_words(words, emitted)
+    each = words.groupBy(class_of(F.col("h")).alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).toArrow()
+    tokens, types = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+    tokens[each["c"].to_numpy() - 1], types[each["c"].to_numpy() - 1] = each["n"].to_numpy(), each["v"].to_numpy()
+    np.subtract.at(tokens, class_of(h) - 1, n)
+    np.subtract.at(types, class_of(h) - 1, 1)
+    return Lexicon(h, n, total["e"] or 0, total["n"] or 0, total["v"], tokens, types)
+
+
+def encode(docs: DataFrame, lex) -> DataFrame:
+    """rid, doc_id, held_out, block, n_tokens, symbols (bytes of 16 bits each), tail (hashes of the words that are no symbols, in order)."""
 
     def run(batch, done=[0]):  # noqa: B006  tokens of the task so far
         m: Lexicon = lex.value
-        base = m.base(m.counts)
         rids = batch.column(0).to_numpy()
         for c in chunks(batch.column(3)):
             words, h = _hashes(c)
             n = words.count
             at = m.index.find(h)
-            row = np.repeat(np.arange(c.rows), n)
-            head = at >= 0
-            own = head & (at < m.emitted)
+            own = at >= 0
             tokens = n + 1
             ends = np.cumsum(tokens)
             symbols = np.full(ends[-1], _END, np.uint16)
             place = np.ones(len(symbols), bool)
             place[ends - 1] = False
-            symbols[place] = np.where(own, at + 2, _SHARED)
+            symbols[place] = np.where(own, at + 1 + CLASSES, class_of(h))
             block = (rids[c.first : c.first + c.rows] >> 33 << 24) + (done[0] + ends - tokens) // BLOCK
             done[0] += int(ends[-1])
-            sums = lambda which, v: np.bincount(row[which], v[at[which]], c.rows)
-            # rare words, once a row each
-            some = np.flatnonzero(~head)
-            order = some[np.lexsort((h[some], row[some]))]
-            new = np.flatnonzero(np.append(True, (row[order][1:] != row[order][:-1]) | (h[order][1:] != h[order][:-1]))) if len(order) else order
-            kinds = np.bincount(row[order[new]], minlength=c.rows)
-            cut = slice(c.first, c.first + c.rows)
+            row = np.repeat(np.arange(c.rows), n)
             yield {
-                **{name: batch.column(k)[cut] for k, name in enumerate(("rid", "doc_id", "held_out"))},
-                "block": block, "n_tokens": tokens, "known": np.bincount(row[head], minlength=c.rows) + (m.ends > 0),
-                "base": sums(head, base) + m.base(m.ends),
-                "symbols": binaries(symbols.view(np.uint8), (ends - tokens) * 2, ends * 2), "tail": lists(signed(h[~own]), np.bincount(row[~own], minlength=c.rows), pa.int64()),
-                "rare": lists(signed(h[order[new]]), kinds, pa.int64()), "times": lists(np.diff(np.append(new, len(order))), kinds, pa.int64()),
+                **{name: batch.column(k)[c.first : c.first + c.rows] for k, name in enumerate(("rid", "doc_id", "held_out"))},
+                "block": block, "n_tokens": tokens, "symbols": binaries(symbols.view(np.uint8), (ends - tokens) * 2, ends * 2),
+                "tail": lists(signed(h[~own]), np.bincount(row[~own], minlength=c.rows), pa.int64()),
             }
 
-    return mapped(docs.select("rid", "doc_id", "held_out", "text"), run, "rid long, doc_id long, held_out boolean, block long, n_tokens long, known long, base double, symbols binary, tail array<long>, rare array<long>, times array<long>")
+    return mapped(docs.select("rid", "doc_id", "held_out", "text"), run, "rid long, doc_id long, held_out boolean, block long, n_tokens long, symbols binary, tail array<long>")
 
 
 class Model:
@@ -160,8 +183,6 @@ class Model:
 
     def __init__(self, start, move, emit):
         self.start, self.move, self.emit = start, move, emit
-        stay = np.linalg.matrix_power(move, 64)
-        self.steady = stay.mean(0) / stay.mean(0).sum()
 
 
 def first_model(counts: np.ndarray, states: int) -> Model:
@@ -174,198 +195,232 @@ def first_model(counts: np.ndarray, states: int) -> Model:
     return Model(np.full(states, 1 / states), move, emit / emit.sum(0))
 
 
-def expectations(model: Model, symbols: np.ndarray, begins: np.ndarray, sizes: np.ndarray, totals) -> None:
-    """Adds expected counts of pieces of at most PIECE tokens, all in step: totals are start, move and emit."""
-    start, move, emit = totals
-    ends, lasts, nexts, heads = [], [], [], []
-    for first in (True, False):  # texts' first pieces, then all others
-        lanes_b, lanes_n = [], []
-        for at, n in zip(begins.tolist(), sizes.tolist(), strict=True):
-            places = np.arange(at, at + min(n, PIECE), PIECE) if first else np.arange(at + PIECE, at + n, PIECE)
-            lanes_b.append(places)
-            lanes_n.append(np.minimum(PIECE, at + n - places))
-        b, n = np.concatenate(lanes_b), np.concatenate(lanes_n)
-        if not len(b):
-            continue
-        order = np.argsort(-n, kind="stable")
-        b, n = b[order], n[order]
-        active = np.searchsorted(-n, -np.arange(n[0]), "left")
-        alphas, scales, emitted = [], [], []
-        a = None
-        for t in range(n[0]):
-            k = active[t]
-            e = model.emit[symbols[b[:k] + t]]
-            a = (a[:k] @ model.move if t else (model.start if first else model.steady)[None, :]) * e
+class Pieces:
+    """Pieces of texts, longest first: where they begin, their sizes, and how they follow each other."""
+
+    def __init__(self, model: Model, symbols: np.ndarray, begins: np.ndarray, sizes: np.ndarray):
+        self.model, self.symbols = model, symbols
+        count = -(-sizes // PIECE)
+        text = np.repeat(np.arange(len(sizes)), count)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+        size = np.minimum(PIECE, sizes[text] - number * PIECE)
+        order = np.argsort(-size, kind="stable")
+        self.begin, self.size, self.first = (begins[text] + number * PIECE)[order], size[order], number[order] == 0
+        self.active = np.searchsorted(-self.size, -np.arange(self.size[0]), "left")
+        lane = np.empty(len(order), np.int64)
+        lane[order] = np.arange(len(order))
+        # lanes of the texts' pieces with number j, for texts with most pieces first
+        by = np.argsort(-count, kind="stable")
+        base = (np.cumsum(count) - count)[by]
+        many = np.searchsorted(-count[by], -np.arange(count.max()), "left")
+        self.texts, self.steps = by, [lane[base[:k] + j] for j, k in enumerate(many)]
+        self._carry()
+
+    def emitted(self, t: int) -> np.ndarray:
+        return self.model.emit[self.symbols[self.begin[: self.active[t]] + t]]
+
+    def _carry(self) -> None:
+        """before: the forward message that reaches each piece; after: the backward message at its end; logs: log10 of each text's probability."""
+        m, states = self.model, len(self.model.start)
+        over = np.broadcast_to(m.move, (len(self.begin), states, states)).copy()
+        over[self.first] = np.diag(m.start)  # rows stand for first states here
+        scale = np.zeros(len(self.begin))
+
+        def level(k):
+            s = over[:k].sum((1, 2))
+            over[:k] /= s[:, None, None]
+            scale[:k] += np.log10(s)
+
+        for t, k in enumerate(self.active):
+            if t:
+                np.matmul(over[:k].reshape(-1, states), m.move, out=over[:k].reshape(-1, states))
+            over[:k] *= self.emitted(t)[:, None, :]
+            if t % 4 == 3:
+                level(k)
+        level(len(over))
+        self.before, self.after = np.empty((len(over), states)), np.ones((len(over), states))
+        self.logs = np.zeros(len(self.texts))
+        a = np.ones((len(self.texts), states))
+        for lanes in self.steps:
+            k = len(lanes)
+            self.before[lanes] = a[:k]
+            a = np.einsum("ni,nij->nj", a[:k], over[lanes])
+            s = a.sum(1)
+            a /= s[:, None]
+            self.logs[self.texts[:k]] += np.log10(s) + scale[lanes]
+        for j in range(len(self.steps) - 1, 0, -1):
+            lanes = self.steps[j]
+            b = np.einsum("nij,nj->ni", over[lanes], self.after[lanes])
+            self.after[self.steps[j - 1][: len(lanes)]] = b / b.max(1)[:, None]
+
+    def expect(self, totals) -> tuple[np.ndarray, np.ndarray]:
+        """Adds expected counts to totals (start, move, emit). Gives the places of all tokens and their states' probabilities."""
+        m = self.model
+        start, move, emit = totals
+        alphas, scales, shown = [], [], []
+        for t, k in enumerate(self.active):
+            e = self.emitted(t)
+            a = (a[:k] @ m.move if t else np.where(self.first[:, None], m.start, self.before @ m.move)) * e
             s = a.sum(1, keepdims=True)
             a = a / s
-            alphas.append(a), scales.append(s), emitted.append(e)
-        beta = np.ones((0, model.move.shape[0]))
-        gammas = [None] * n[0]
-        for t in range(n[0] - 1, -1, -1):
-            k = active[t]
-            if t < n[0] - 1:
-                j = active[t + 1]
-                right = emitted[t + 1] * beta / scales[t + 1]
-                move += model.move * (alphas[t][:j].T @ right)
-                beta = np.concatenate([right @ model.move.T, np.ones((k - j, right.shape[1]))])
-            else:
-                beta = np.ones((k, model.move.shape[0]))
-            gammas[t] = alphas[t] * beta
-        last = np.empty((len(b), move.shape[0]))
-        for t in range(n[0]):
-            j = active[t + 1] if t + 1 < n[0] else 0
-            last[j : active[t]] = alphas[t][j:]
-        ends.append(b + n), lasts.append(last)
-        if first:
-            start += gammas[0].sum(0)
-        else:
-            nexts, heads = b, emitted[0] * beta
-        which = np.concatenate([symbols[b[: active[t]] + t] for t in range(n[0])])
-        weight = np.concatenate(gammas)
+            alphas.append(a), scales.append(s), shown.append(e)
+        weights = [None] * len(alphas)
+        beta = np.zeros((0, len(m.start)))
+        for t in range(len(alphas) - 1, -1, -1):
+            j = len(beta)
+            right = shown[t + 1] * beta / scales[t + 1] if j else beta
+            move += m.move * (alphas[t][:j].T @ right)
+            end = self.after[j : self.active[t]]
+            end = end / (alphas[t][j:] * end).sum(1, keepdims=True)
+            beta = np.concatenate([right @ m.move.T, end])
+            weights[t] = alphas[t] * beta
+        start += weights[0][self.first].sum(0)
+        later = ~self.first
+        move += m.move * (self.before[later].T @ (shown[0] * beta / scales[0])[later])
+        place = np.concatenate([self.begin[:k] + t for t, k in enumerate(self.active)])
+        weight, which = np.concatenate(weights), self.symbols[place]
         for s in range(weight.shape[1]):
             emit[:, s] += np.bincount(which, weight[:, s], len(emit))
-    if len(nexts):  # from each piece's last token to the next piece's first
-        end, last = np.concatenate(ends), np.concatenate(lasts)
-        order = np.argsort(end)
-        before = last[order[np.searchsorted(end[order], nexts)]]
-        move += model.move * ((before / np.einsum("ni,ij,nj->n", before, model.move, heads)[:, None]).T @ heads)
+        return place, weight
 
 
-class Tail:
-    """What the shares of tail words by state come from: all tail counts by state, and how much they are smoothed."""
-
-    def __init__(self, lex: Lexicon, totals: np.ndarray):
-        self.totals, self.weight = totals, lex.shared_types + 1
-        self.n = lex.shared_tokens + lex.shared_types + 1
+def _rows_of(column: pa.Array):
+    """Slices of rows: their first row and number, all symbols, where each row begins and its size."""
+    for c in chunks(column, _SLICE):
+        yield c, c.data.view("<u2").astype(np.int64), c.begins // 2, (c.ends - c.begins) // 2
 
-    def shares(self, n: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """(words, states): of words with these counts, in all and by state."""
-        return (counts + self.weight * ((n + 1) / self.n)[:, None]) / (self.totals + self.weight)
 
+class Tail:
+    """What the shares of tail words by state come from: counts of their classes by state, and how much they are smoothed."""
 
-def local_rows(texts: pa.Table, words: pa.Table, model: Model, tail: Tail, most: int = 1 << 18):
-    """The model with a block's tail words as symbols of their own, their hashes, and slices of rows: all symbols, where each row begins and its size."""
-    names = [f"s{k}" for k in range(len(model.start))]
-    h = words["h"].to_numpy()
-    order = np.argsort(h)
-    h = h[order]
-    counts = np.stack([words[n].to_numpy() for n in names], 1)[order] / _UNIT
-    own = Model(model.start, model.move, np.concatenate([model.emit, model.emit[_SHARED] * tail.shares(words["n"].to_numpy()[order], counts)]))
-    flat = texts["tail"].combine_chunks().flatten().to_numpy()
-
-    def slices(used=0):
-        for c in chunks(texts["symbols"].combine_chunks(), most):
-            ids = c.data.view("<u2").astype(np.int64)
-            shared = np.flatnonzero(ids == _SHARED)
-            ids[shared] = len(model.emit) + np.searchsorted(h, flat[used : used + len(shared)])
-            used += len(shared)
-            yield c, ids, c.begins // 2, (c.ends - c.begins) // 2
+    def __init__(self, lex: Lexicon, totals: np.ndarray):
+        self.totals, self.weight = totals, lex.class_types + 1
+        self.n = lex.class_tokens + lex.class_types + 1
 
-    return own, h, slices()
+    def shares(self, h: np.ndarray, n: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """(words, states): of words with these counts, in all and by state, within their classes."""
+        c = class_of(h) - 1
+        weight = self.weight[c][:, None]
+        return (counts + weight * ((n + 1) / self.n[c])[:, None]) / (self.totals[c] + weight)
 
 
-def _by_block(texts: DataFrame, words: DataFrame, learned: DataFrame | None, states: int):
-    """Blocks' texts with their tail words and what is known of these."""
+def improve(encoded: DataFrame, model: Model, by_word: bool) -> tuple[Model, np.ndarray, DataFrame | None]:
+    """One round of Baum-Welch over all training rows: the model, the classes' counts by state and, if asked, a table of the tail's by word (h, n, s0, ...)."""
+    states, symbols = len(model.start), len(model.emit)
+    shared = encoded.sparkSession.sparkContext.broadcast(model)
     names = [f"s{k}" for k in range(states)]
-    if learned is None:
-        words = words.select("block", "h", "n", *(F.lit(0).cast("long").alias(n) for n in names))
-    else:
-        got = learned.where("tail").select(F.col("which").alias("h"), *names)
-        words = words.select("block", "h", "n").join(got, "h", "left").select("block", "h", "n", *(F.coalesce(n, F.lit(0)).alias(n) for n in names))
-    return texts.groupBy("block").cogroup(words.groupBy("block"))
 
+    def sums(kind: bool, which: np.ndarray, n: np.ndarray, values: np.ndarray):
+        values = np.rint(values * _UNIT).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(which), kind)), pa.array(which.astype(np.int64)), pa.array(n.astype(np.int64)), *(pa.array(values[:, k]) for k in range(states))], ["tail", "which", "n", *names])
 
-def improve(encoded: DataFrame, words: DataFrame, lex: Lexicon, model: Model, tail: Tail, learned: DataFrame | None) -> tuple[Model, Tail, DataFrame]:
-    """One round of Baum-Welch over all training rows. learned: the counts that the round before gave."""
-    states, symbols = len(model.start), len(model.emit)
-    shared = encoded.sparkSession.sparkContext.broadcast((model, tail))
-    names = [f"s{k}" for k in range(states)]
+    def run(batches):
+        m = shared.value
+        start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states))
+        held, size = [], 0
+
+        def words():
+            h, weight = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.argsort(h, kind="stable")
+            cut = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1])) if len(h) else order
+            return sums(True, h[order][cut], np.diff(np.append(cut, len(h))), np.add.reduceat(weight[order], cut, 0) if len(h) else weight)
 
-    def run(texts, words):
-        m, h, slices = local_rows(texts, words, *shared.value)
-        start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((len(m.emit), states))
-        for _, ids, begins, sizes in slices:
-            expectations(m, ids, begins, sizes, (start, move, emit))
-        some = np.flatnonzero(emit[:symbols].any(1))
-        values = np.rint(np.concatenate([emit[some], move, start[None], emit[symbols:]]) * _UNIT).astype(np.int64)
-        which = np.concatenate([some, symbols + np.arange(states + 1), h]).astype(np.int64)
-        return pa.table([pa.array(np.arange(len(which)) >= len(which) - len(h)), pa.array(which), *(pa.array(values[:, k]) for k in range(states))], ["tail", "which", *names])
-
-    kinds = "tail boolean, which long, " + ", ".join(f"{n} long" for n in names)
-    each = _by_block(encoded.where("NOT held_out").select("block", "symbols", "tail"), words.where("trained"), learned, states).applyInArrow(run, kinds)
-    learned = written(each.groupBy("tail", "which").agg(*(F.sum(n).alias(n) for n in names)), "round")
-    sums = learned.where("tail").agg(*(F.coalesce(F.sum(n), F.lit(0)) for n in names)).first()
-    found = learned.where("NOT tail").toArrow()
+        for batch in batches:
+            for c, ids, begins, sizes in _rows_of(batch.column(0)):
+                place, weight = Pieces(m, ids, begins, sizes).expect((start, move, emit))
+                if by_word:
+                    at = np.flatnonzero(_is_tail(ids[place]))
+                    at = at[np.argsort(place[at])]  # in order of the texts
+                    held.append((batch.column(1).slice(c.first, c.rows).flatten().to_numpy(), weight[at]))
+                    size += len(at)
+            if size > _FLUSH // 4:
+                yield words()
+                size = 0
+        if held:
+            yield words()
+        some = np.flatnonzero(emit.any(1))
+        which = np.concatenate([some, symbols + np.arange(states + 1)])
+        yield sums(False, which, np.zeros(len(which)), np.concatenate([emit[some], move, start[None]]))
+
+    kinds = "tail boolean, which long, n long, " + ", ".join(f"{n} long" for n in names)
+    taught = encoded.where("NOT held_out").select("symbols", *(["tail"] if by_word else []))
+    found = taught.mapInArrow(run, kinds).groupBy("tail", "which").agg(*(F.sum(n).alias(n) for n in ("n", *names)))
+    if by_word:
+        found = written(found, "states")
+    known = found.where("NOT tail").toArrow()  # symbols and states at most
     total = np.zeros((symbols + states + 1, states))
-    if found.num_rows:
-        total[found["which"].to_numpy()] = np.stack([found[n].to_numpy() for n in names], 1) / _UNIT
-    total[_SHARED] = np.array(sums) / _UNIT
-    tail = Tail(lex, total[_SHARED].copy())
+    if known.num_rows:
+        total[known["which"].to_numpy()] = np.stack([known[n].to_numpy() for n in names], 1) / _UNIT
+    own = found.where("tail").select(F.col("which").alias("h"), "n", *names) if by_word else None
+    tail = slice(1, 1 + CLASSES)
+    if by_word:  # the words' counts are rounded one by one
+        each = own.groupBy(class_of(F.col("h")).alias("c")).agg(*(F.sum(n).alias(n) for n in names)).toArrow()
+        total[tail] = 0
+        if each.num_rows:
+            total[each["c"].to_numpy()] = np.stack([each[n].to_numpy() for n in names], 1) / _UNIT
+    classes = total[tail].copy()
     total += PRIOR
     emit, move, start = total[:symbols], total[symbols : symbols + states], total[-1]
-    return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0)), tail, learned
+    return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0)), classes, own
 
 
 def log_likelihoods(model: Model, symbols: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """log10 of each sequence's probability: scaled forward recursion over all of it, sequences in step."""
-    order = np.argsort(-sizes, kind="stable")
-    b, n = begins[order], sizes[order]
-    out = np.zeros(len(n))
-    active = np.searchsorted(-n, -np.arange(n[0] if len(n) else 0), "left")
-    a = None
-    for t, k in enumerate(active):
-        a = (a[:k] @ model.move if t else model.start[None, :]) * model.emit[symbols[b[:k] + t]]
-        s = a.sum(1)
-        a /= s[:, None]
-        out[:k] += np.log10(s)
-    back = np.empty(len(n))
-    back[order] = out
-    return back
-
-
-def train(encoded: DataFrame, words: DataFrame, lex: Lexicon, states: int, rounds: int) -> tuple[Model, Tail, DataFrame | None]:
-    model, tail, learned = first_model(lex.symbol_counts(), states), Tail(lex, np.zeros(states)), None
-    for _ in range(rounds):
-        before = learned
-        model, tail, learned = improve(encoded, words, lex, model, tail, before)
-        if before is not None:
-            removed(encoded.sparkSession, before)
-    return model, tail, learned
-
-
-def score(docs: DataFrame, held: F.Column, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, rounds: int = ROUNDS, emitted: int = EMITTED, head: int = HEAD) -> DataFrame:
+    """log10 of each sequence's probability."""
+    return Pieces(model, symbols, begins, sizes).logs if len(sizes) else np.zeros(0)
+
+
+def train(encoded: DataFrame, lex: Lexicon, counts: DataFrame, states: int, rounds: int) -> tuple[Model, Tail, DataFrame]:
+    model, totals = first_model(lex.symbol_counts(), states), np.zeros((CLASSES, states))
+    words = counts.select("h", "n", *(F.lit(0).cast("long").alias(f"s{k}") for k in range(states)))
+    for k in range(rounds):
+        model, totals, words = improve(encoded, model, k == rounds - 1)
+    return model, Tail(lex, totals), words
+
+
+def score(docs: DataFrame, held: F.Column, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, rounds: int = ROUNDS, emitted: int = EMITTED) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. held: which rows are not learned from."""
-    if emitted > (1 << 16) - 2:
+    if emitted + CLASSES >= 1 << 16:
         raise ValueError("symbols have 16 bits")
     context = docs.sparkSession.sparkContext
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).cast("string").alias("text"))
     counts = written(count_words(rows.where("NOT held_out")), "counts")
-    lex = lexicon(counts, head, emitted)
-    encoded = written(encode(rows, context.broadcast(lex)), "encoded")
-    # the tail words of each block, once a block
-    pairs = encoded.select("block", "held_out", F.explode("tail").alias("h")).groupBy("block", "h").agg(F.max(~F.col("held_out")).alias("trained"))
-    words = written(pairs.join(counts, "h", "left").select("block", "h", "trained", F.coalesce("n", F.lit(0)).alias("n")), "tail-words")
-    model, tail, learned = train(encoded, words, lex, states, rounds)
-    shared = context.broadcast((model, tail))
-    kept = ("rid", "doc_id", "held_out", "n_tokens", "known", "base")
+    lex = lexicon(counts, emitted)
+    encoded = written(encode(rows, context.broadcast(lex)), "encoded", "zstd")
+    model, tail, learned = train(encoded, lex, counts, states, rounds)
+    shared = context.broadcast((model, tail, lex))
+    names = [f"s{k}" for k in range(states)]
+    # the tail words of each block, once a block, with what is known of them
+    words = encoded.select(F.col("block").alias("block"), F.explode("tail").alias("h")).distinct().join(learned, "h", "left")
+    words = words.select("block", "h", *(F.coalesce(n, F.lit(0)).alias(n) for n in ("n", *names)))
+    kept = ("doc_id", "held_out", "n_tokens")
 
     def forward(texts, words):
-        m, _, slices = local_rows(texts, words, *shared.value)
-        path = np.concatenate([log_likelihoods(m, ids, begins, sizes) for _, ids, begins, sizes in slices])
-        return texts.select(kept).append_column("path", pa.array(path))
-
-    paths = _by_block(encoded.select(*kept, "block", "symbols", "tail"), words, learned, states).applyInArrow(forward, "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, path double")
-    n_base = lex.tokens + lex.types + 1
-    rare = encoded.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
-    c = F.coalesce(F.col("n"), F.lit(0))
-    # logs of whole numbers, summed by count: the constants are added afterwards
-    rest = rare.join(counts, "h", "left").groupBy("rid").agg(F.sum(F.col("times") * F.log10(c + 1)).alias("logs"), F.sum("times").alias("times"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("found"))
-    logs, times = F.coalesce("logs", F.lit(0.0)), F.coalesce("times", F.lit(0))
-    return paths.join(rest, "rid", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(int(lex.tokens)).cast("long").alias("train_tokens"),
-        (F.col("base") + logs - times * math.log10(n_base)).alias("base_score"),
-        F.col("path").alias("score"),
-    )
+        m, t, lex = shared.value
+        h = words["h"].to_numpy()
+        order = np.argsort(h)
+        h, n = h[order], words["n"].to_numpy()[order]
+        counts = np.stack([words[k].to_numpy() for k in names], 1)[order] / _UNIT
+        own = Model(m.start, m.move, np.concatenate([m.emit, m.emit[class_of(h)] * t.shares(h, n, counts)]))
+        times = np.concatenate([[lex.ends], np.zeros(CLASSES, np.int64), lex.counts, n])  # in training, by symbol
+        base = lex.base(times)
+        flat = texts["tail"].combine_chunks().flatten().to_numpy()
+        used, paths, bases, known = 0, [], [], []
+        for _, ids, begins, sizes in _rows_of(texts["symbols"].combine_chunks()):
+            some = np.flatnonzero(_is_tail(ids))
+            ids[some] = len(m.emit) + np.searchsorted(h, flat[used : used + len(some)])
+            used += len(some)
+            paths.append(log_likelihoods(own, ids, begins, sizes))
+            bases.append(np.add.reduceat(base[ids], begins))
+            known.append(np.add.reduceat((times[ids] > 0).astype(np.int64), begins))
+        out = texts.select(kept)
+        for name, parts in (("path", paths), ("base", bases), ("known", known)):
+            out = out.append_column(name, pa.array(np.concatenate(parts)))
+        return out
+
+    texts = encoded.select(*kept, "block", "symbols", "tail").groupBy("block")
+    scored = texts.cogroup(words.groupBy("block")).applyInArrow(forward, "doc_id long, held_out boolean, n_tokens long, path double, base double, known long")
+    return scored.select("doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(int(lex.tokens)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("path").alias("score"))
 
 
 def op10_hmm(spark, sf_dir: str) -> DataFrame:
