@@ -195,7 +195,7 @@ def test_store_commits_atomically(spark, docs, tmp_path):
     base = store.manifest()
     store.append(docs)
     with pytest.raises(sharding.Conflict):
-        store._commit(base, [], None, 0)
+        store._publish(base | {"version": 1})
     other = sharding.Store(spark, f"file://{tmp_path}/s")
     other.append(docs)
     assert store.versions() == [1, 2] and store.read().count() == 2 * docs.count()
@@ -203,6 +203,33 @@ def test_store_commits_atomically(spark, docs, tmp_path):
         store._commit_change({"data/none"}, [], None, False)
 
 
+def test_racing_writers_lose_nothing(spark, docs, tmp_path, monkeypatch):
+    """Writers that append and compact at once: every commit is there, under a number of its own."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    monkeypatch.setattr(sharding, "LISTED", 3)
+    folder = f"file://{tmp_path}/s"
+    sharding.Store(spark, folder).append(docs.where("false"))
+
+    def write(k):
+        store = sharding.Store(spark, folder)
+        for j in range(4):
+            store.append(spark.createDataFrame([(100 * k + j,)], "x long").coalesce(1))
+
+    sharding.Store(spark, folder).append(spark.createDataFrame([(-1,)], "x long"))
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(write, range(4)))
+    store = sharding.Store(spark, folder)
+    want = {-1, *(100 * k + j for k in range(4) for j in range(4))}
+    assert {r.x for r in store.read().collect()} == want and store.versions() == list(range(1, 19))
+    before = store.versions()[-1]
+    assert store.compact(target=1 << 20, fan_in=2, base=64) > before and {r.x for r in store.read().collect()} == want
+    assert {r.x for r in store.read(before).collect()} == want  # older versions stay readable until they are vacuumed
+    assert store.vacuum() > 0 and {r.x for r in store.read().collect()} == want
+    with pytest.raises(sharding.Conflict):
+        store._publish({"version": store.versions()[-1], "lists": []})
+
+
 def test_store_of_an_empty_table(spark, empty, tmp_path):
     store = sharding.Store(spark, f"file://{tmp_path}/s")
     store.append(empty)
@@ -242,6 +269,21 @@ def test_calls_are_linked_ordered_and_validated(spark):
     assert json.loads(by[1, 0].json)["content"] == "héllo\n\"q\""
 
 
+def test_arguments_keep_to_their_limits(spark):
+    tools = {"t": {"s": ("string", True, {"max_length": 3, "among": ["a", "bb", "long"]}), "n": ("number", False, {"minimum": 0, "maximum": 2.5}), "i": ("integer", False, {"maximum": 9})}}
+    cases = {'{"s": "a"}': "", '{"s": "c"}': "limit:s", '{"s": "long"}': "limit:s", '{"s": "bb", "n": 2.5, "i": 9}': "", '{"s": "bb", "n": -0.1, "i": 10}': "limit:i,limit:n", '{"s": 1, "n": "x"}': "type:n,type:s"}
+    rows = [event(1, k, "call", f"c{k}", "t", args) for k, args in enumerate(cases)]
+    got = {r.turn: r.errors for r in chat.format_events(spark.createDataFrame(rows, chat.EVENT), tools).collect()}
+    assert [got[k] for k in range(len(cases))] == [*cases.values()]
+
+
+def test_links_are_hash_joins(spark):
+    """No sort-merge join in the plan that links calls and results."""
+    rows = [event(1, 0, "call", "a", "sum", '{"a": 1}'), event(1, 1, "result", "a", content="1")]
+    plan = chat.format_events(spark.createDataFrame(rows, chat.EVENT), TOOLS)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_long_chains_and_hot_identifiers(spark):
     rows = [event(1, k, "call", f"c{k}", "sum", '{"a": 1}', f"c{k - 1}" if k else None) for k in range(70)]
     rows += [event(1, 100 + k, "result", "c0") for k in range(200)]

@@ -127,11 +127,13 @@ def test_every_letter_is_of_a_script():
             assert language._SCRIPT[b[0] * 256 + b[1]], hex(c)
 
 
-def test_language_paths_equal_a_plain_viterbi():
+@pytest.mark.parametrize("cells", [1 << 21, 50])
+def test_language_paths_equal_a_plain_viterbi(cells):
     rng = np.random.default_rng(3)
     scores = rng.normal(0, 3, (400, 3))
     begins, counts = np.array([0, 150, 390]), np.array([150, 240, 10])
-    got = language._paths(scores, begins, counts, 5.0)
+    got = np.zeros(400, np.int32)
+    language._paths(lambda which: scores[which], begins, counts, 5.0, got, cells)
     for b, n in zip(begins, counts, strict=True):
         v, back = scores[b].copy(), []
         for t in range(1, n):
@@ -145,6 +147,49 @@ def test_language_paths_equal_a_plain_viterbi():
         assert got[b : b + n].tolist() == path[::-1]
 
 
+def plain_labels(scores, penalty):
+    """Viterbi by the book, each step over all pairs of labels; ties stay, then go to the first."""
+    k = scores.shape[1]
+    v, back = scores[0].copy(), []
+    for s in scores[1:]:
+        choice = [max(range(k), key=lambda j: (v[j] - penalty * (j != i), j == i, -j)) for i in range(k)]
+        back.append(choice)
+        v = np.array([v[j] - penalty * (j != i) for i, j in enumerate(choice)]) + s
+    path = [int(v.argmax())]
+    for choice in reversed(back):
+        path.append(choice[path[-1]])
+    return path[::-1]
+
+
+def test_labels_of_words_equal_brute_force_in_any_blocks():
+    """The proof that a text is of one language agrees with the recursion over all labels."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(12)
+    k = 11
+    logp = rng.integers(0, 40, (k, language.BUCKETS)) ** 2
+    model = language.Model([f"l{x}" for x in range(k)], logp, np.ones((k, len(language._NAMES)), int))
+    texts = [" ".join("".join(rng.choice(list("abcdeé"), rng.integers(1, 5))) for _ in range(n)) for n in (1, 0, 30, 7, 60)] + ["aa bb cc " * 20]
+    (c,) = language.chunks(pa.array(texts))
+    f = language.Features(c)
+    scores, _ = language._word_scores(f, model, slice(0, len(f.size)))
+    for penalty in (0.5, 3.0, 12.0):
+        want = [x for a, b in zip(f.words.row_from, f.words.row_to, strict=True) if b > a for x in plain_labels(scores[a:b], penalty)]
+        for cells in (1 << 21, 100, 1):
+            got, _ = language.label_words(f, model, penalty, cells)
+            assert len(set(got.tolist())) > 1 and got.tolist() == want
+
+
+def test_more_than_512_languages(spark):
+    rng = np.random.default_rng(2)
+    stem = {k: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 9)) for k in range(520)}
+    taught = spark.createDataFrame([(k, " ".join([w, w + w[:3], w[::-1]]), f"x{k:03d}") for k, w in stem.items()], "doc_id long, text string, lang string")
+    model = language.learn(taught)
+    assert len(model.languages) == 520
+    got = language.identify(taught.select("doc_id", "text"), model).collect()
+    assert sum(r.lang_pred == f"x{r.doc_id:03d}" for r in got) >= 515
+
+
 def test_language_learns_nothing_from_nothing(empty, docs):
     model = language.learn(empty)
     assert {r.lang_pred for r in language.identify(docs, model).collect()} == {"und"}
@@ -366,7 +411,7 @@ def test_contamination_equals_brute_force(spark, rows, odd):
     for r in rows:
         for item, text in items:
             m = split(text)
-            if len(m) >= decontaminate.MIN_WORDS and len(split(r[1])) < 10_000:
+            if m and len(split(r[1])) < 10_000:
                 d = brute_distance(m, split(r[1]))
                 if d <= int(len(m) * decontaminate.ERROR_RATE):
                     want.append((r[0], item, d))
@@ -377,6 +422,19 @@ def test_contamination_equals_brute_force(spark, rows, odd):
     assert multiset((r.doc_id,) for r in kept.collect()) == multiset((r[0],) for r in rows if r[0] not in hit)
 
 
+def test_contamination_of_every_size_of_item(spark):
+    """Items of one to thirty words stand word for word in a document; none is too short to be found."""
+    words = [f"w{k}" for k in range(200)]
+    items = [(n, " ".join(words[100 - n : 100])) for n in range(1, 31)]
+    d = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:90])), (3, "")], "doc_id long, text string").withColumn("LOWERED_TEXT", F.lit("x"))
+    i = spark.createDataFrame(items, "item_id long, text string")
+    for most in (10**6, 100):
+        got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, i, block_words=most).collect() if not r.distance}
+        assert got == {(1, n) for n in range(1, 31)} | {(2, n) for n in ()}
+        kept = decontaminate.clean(d, i, block_words=most).collect()
+        assert [(r.doc_id, r.LOWERED_TEXT) for r in kept] == [(2, "x"), (3, "x")]
+
+
 def test_contamination_of_short_items_and_scripts_without_spaces(spark):
     long = "水は摂氏何度で沸騰しますかという問題に答えてください。次の四つの中から正しいものを一つ選びなさい"
     thai = "เมืองหลวงของประเทศไทยคือเมืองใด"
@@ -462,6 +520,25 @@ def test_repeat_counts_are_feasible_and_use_the_histogram_up():
     assert (used <= h).all() and (used * np.arange(64)).sum() == 50 * 64
 
 
+def test_vocabulary_compares_texts_not_only_hashes(monkeypatch):
+    """Even if all hashes are equal, ids are those of the tokenizer."""
+    import pyarrow as pa
+
+    from weftline.llm.textkit import chunks
+
+    texts = ["one two one", "three four", "thirteen-letter thirteen-letters Thirteen", None, "one", "".join(thue_morse(2048, "a", "b")) + " " + "".join(thue_morse(2048, "b", "a"))]
+    for bits in (0, 1, 64):
+        real = packing.word_hashes
+        monkeypatch.setattr(packing, "word_hashes", lambda *a, b=bits, f=real: f(*a) & np.uint64((1 << b) - 1))
+        v = packing.Vocabulary(packing.tokenizer_path(), 2)
+        for _ in range(2):
+            for c in chunks(pa.array(texts)):
+                flat, sizes = v.encode(c)
+                want = [[*v.tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+                assert flat.tolist() == sum(want, []) and sizes.tolist() == [len(w) for w in want]
+        monkeypatch.setattr(packing, "word_hashes", real)
+
+
 def test_vocabulary_survives_being_emptied(monkeypatch):
     import pyarrow as pa
 

@@ -3,13 +3,14 @@
 Text is compared by its words: lower case, runs of ASCII letters, digits and all other
 scripts' characters; in scripts written without spaces (``UNSPACED``) each character is a word.
 An item of m words may be found with up to e = m * rate errors (inserted, lost or changed
-words), an item under ``MIN_WORDS`` words only as it is (e = 0). By the pigeonhole principle, of e + 1 pieces of the item
+words), so one under ten words only as it is (e = 0). By the pigeonhole principle, of e + 1 pieces of the item
 one stands unchanged in every such occurrence; rolling word hashes of each piece length
 find those, and each hit's surroundings are verified with Myers' bit-parallel edit
 distance over words.
 
 The benchmark is the query set: it is read in blocks of at most ``BLOCK_WORDS`` words, so
-what is broadcast has a fixed bound, and each block passes over all documents once. The
+what is broadcast has a fixed bound, and each block passes over all documents once; where
+there are several, a block's result is written before the next block is read. The
 documents are only mapped: nothing is shuffled.
 
 Defined results: one row for each document row and item found in it, with the least
@@ -24,11 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, table
+from .common import mapped, table, written
 from .textkit import ALNUM_SEP, Chunk, Words, chunks, find_words, gram_hashes, starts_of, word_hashes
 
 ERROR_RATE = 0.1
-MIN_WORDS = 8
 BLOCK_WORDS = 4_000_000
 #: Thai, Lao, Tibetan, Myanmar, Khmer, Tai scripts, radicals, kana, bopomofo, Han, Yi, Javanese, Tai Viet, and Han beyond the first plane.
 UNSPACED = [(0xE00, 0xFFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x2E80, 0x2FFF), (0x3040, 0x312F), (0x3180, 0x33FF), (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF40, 0xFF9F), (0x1B000, 0x1BFFF), (0x20000, 0x3FFFF)]
@@ -100,7 +100,7 @@ def myers(pattern: dict, size: int, text: list) -> tuple[int, int]:
 class Index:
     """Pieces of a block of items, by length and hash."""
 
-    def __init__(self, ids: list, texts: list, rate: float, min_words: int):
+    def __init__(self, ids: list, texts: list, rate: float):
         self.ids, self.items, self.errors = [], [], []
         by_size: dict[int, list] = {}
         for c in chunks(pa.array(texts, pa.string())):
@@ -110,7 +110,7 @@ class Index:
                 own = hashes[words.row_from[r] : words.row_to[r]]
                 if not len(own):
                     continue
-                errors = int(len(own) * rate) if len(own) >= min_words else 0
+                errors = int(len(own) * rate)
                 k = len(self.items)
                 self.ids.append(ids[c.first + r])
                 self.items.append(own)
@@ -177,26 +177,26 @@ class Index:
 
 
 def blocks(items: DataFrame, id_col: str, text_col: str, most: int):
-    """The query set in blocks of about ``most`` words, one at a time on the driver."""
+    """The query set in blocks of about ``most`` words, one at a time on the driver, and whether it is the last."""
     ids, texts, size = [], [], 0
     rows = items.select(F.col(id_col).cast("long").alias("i"), F.lower(F.col(text_col).cast("string")).alias("t")).where("t IS NOT NULL")
     for row in rows.toLocalIterator():
         ids.append(row["i"]), texts.append(row["t"])
         size += len(row["t"]) - sum(map(str.isascii, row["t"])) // 2 + 1  # any other character may be a word
         if size >= most:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    yield ids, texts
+            held, ids, texts, size = (ids, texts), [], [], 0
+            yield *held, False
+    yield ids, texts, True
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, key (see row_key), item_id, distance, first_word, end_word."""
     spark = docs.sparkSession
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("key"), F.lower(text).alias("text"))
     out = None
-    for ids, texts in blocks(items, item_col, item_text, block_words):
-        shared = spark.sparkContext.broadcast(Index(ids, texts, rate, min_words))
+    for ids, texts, last in blocks(items, item_col, item_text, block_words):
+        shared = spark.sparkContext.broadcast(Index(ids, texts, rate))
 
         def find(batch, shared=shared, filters={}):  # noqa: B006  kept between the batches of a task
             for c in chunks(batch.column(2)):
@@ -207,15 +207,18 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                     yield {"doc_id": batch.column(0).take(at), "key": batch.column(1).take(at), "item_id": item, "distance": distance, "first_word": first, "end_word": end}
 
         part = mapped(rows, find, "doc_id long, key long, item_id long, distance long, first_word long, end_word long")
+        if not last:
+            part = written(part, "hits")
+            shared.unpersist()
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs, with all their columns, in which no item is found."""
     schema, found = docs.schema, docs
-    for ids, texts in blocks(items, item_col, item_text, block_words):
-        shared = docs.sparkSession.sparkContext.broadcast(Index(ids, texts, rate, min_words))
+    for ids, texts, last in blocks(items, item_col, item_text, block_words):
+        shared = docs.sparkSession.sparkContext.broadcast(Index(ids, texts, rate))
 
         def run(batches, shared=shared):
             filters: dict = {}
@@ -225,9 +228,12 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: s
                 yield pa.RecordBatch.from_arrays([batch.column(k).take(keep) for k in range(len(schema))], [f.name for f in schema])
 
         lowered = "lowered_text"
-        while lowered in docs.columns:
+        while lowered in [c.lower() for c in docs.columns]:
             lowered += "_"
         found = found.withColumn(lowered, F.lower(F.col(text_col).cast("string"))).mapInArrow(run, schema)
+        if not last:
+            found = written(found, "clean", "zstd")
+            shared.unpersist()
     return found
 
 

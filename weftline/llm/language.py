@@ -2,7 +2,8 @@
 
 A model is learned from labelled texts: log-probabilities of the byte trigrams of words
 for each language (hashed to 2**16 buckets), and which languages write in which script.
-Counts cover every training document; the model's size is languages times buckets.
+Counts cover every training document; the model's size is languages times buckets (256 KB
+a language), and texts are worked on in blocks of words that shrink as languages grow.
 
 To label a text, each word gets a score for each language, the sum of its trigrams'
 log-probabilities. The word's script, by code point ranges, narrows the candidates first.
@@ -35,8 +36,11 @@ SWITCH_PENALTY = 12.0
 SMOOTHING = 0.5
 #: A script counts as one of a language's own from this share of the language's letters.
 SCRIPT_SHARE = 0.01
-MOST_LANGUAGES = 512
 _SLICE = 1 << 18
+#: Scores (words times languages) held at once.
+_CELLS = 1 << 21
+#: Languages a task counts before it hands its counts on.
+_HELD = 128
 #: Scripts by ranges of code points: fixed values of the Unicode block chart.
 SCRIPTS = {
     "latin": [(0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F), (0x1E00, 0x1EFF)],
@@ -109,64 +113,90 @@ class Model:
     """languages: names in order; logp: (buckets, languages); writes: (scripts, languages), who writes in which."""
 
     def __init__(self, languages, counts, scripts):
+        """counts: for each language its counts by bucket, taken one by one; scripts: (languages, scripts) letters, read after them."""
         self.languages = languages
-        counts = np.asarray(counts, np.float64).T + SMOOTHING
-        self.logp = np.log(counts / counts.sum(0)).astype(np.float32)
+        self.logp = np.empty((BUCKETS, len(languages)), np.float32)
+        for k, n in enumerate(counts):
+            n = np.asarray(n, np.float64) + SMOOTHING
+            self.logp[:, k] = np.log(n / n.sum())
         total = np.asarray(scripts, np.float64)
         self.writes = (total >= SCRIPT_SHARE * np.maximum(total.sum(1, keepdims=True), 1)).T & (total.T > 0)
         self.common = int(np.argmax(total.sum(1))) if len(languages) else 0
 
+    @property
+    def slice(self) -> int:
+        """Bytes of text worked on at once."""
+        return max(1 << 14, min(_SLICE, (1 << 20) // max(1, len(self.languages))))
+
 
 def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model:
     """From all rows whose language and text are not null."""
     n_scripts = len(_NAMES)
 
     def count(batches):
-        names: list[str] = []
+        names: dict[str, int] = {}
         grams, scripts = [], []
+
+        def flush():
+            for name, g, s in zip(names, grams, scripts, strict=True):
+                some = np.flatnonzero(g)
+                which = np.concatenate([some, np.arange(n_scripts) + BUCKETS]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(which), pa.string()), pa.array(which), pa.array(np.concatenate([g[some], s]))], ["lang", "bucket", "n"])
+            names.clear(), grams.clear(), scripts.clear()
+
         for batch in batches:
             langs = batch.column(0).to_pylist()
             for c in chunks(batch.column(1), _SLICE):
                 f = Features(c)
                 own = langs[c.first : c.first + c.rows]
-                for x in dict.fromkeys(own):
+                for x in own:
                     if x not in names:
-                        names.append(x)
+                        names[x] = len(names)
                         grams.append(np.zeros(BUCKETS, np.int64))
                         scripts.append(np.zeros(n_scripts, np.int64))
-                index = np.array([names.index(x) for x in own])
+                index = np.array([names[x] for x in own])
                 per_byte = np.repeat(np.repeat(index, f.words.count), f.size)
                 for k in np.unique(index):
-                    grams[k] += np.bincount(f.bucket[per_byte == k], minlength=BUCKETS)
-                    bits = f.script_of_byte[per_byte == k]
+                    here = per_byte == k
+                    grams[k] += np.bincount(f.bucket[here], minlength=BUCKETS)
+                    bits = f.script_of_byte[here]
                     scripts[k] += [int(np.count_nonzero(bits & np.uint32(1 << s))) for s in range(n_scripts)]
-        for name, g, s in zip(names, grams, scripts, strict=True):
-            some = np.flatnonzero(g)
-            which = np.concatenate([some, np.arange(n_scripts) + BUCKETS]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(which), pa.string()), pa.array(which), pa.array(np.concatenate([g[some], s]))], ["lang", "bucket", "n"])
+                if len(names) > _HELD:
+                    yield from flush()
+        yield from flush()
 
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     rows = rows.select("lang", F.lower("text").alias("text"))
     counted = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     # one row a language: lists of at most the buckets' number
-    found = counted.groupBy("lang").agg(F.collect_list("bucket").alias("bucket"), F.collect_list("n").alias("n")).orderBy("lang").limit(MOST_LANGUAGES + 1).toArrow()
-    if found.num_rows > MOST_LANGUAGES:
-        raise ValueError(f"over {MOST_LANGUAGES} languages")
-    counts = np.zeros((found.num_rows, BUCKETS + n_scripts), np.int64)
-    for k, (b, n) in enumerate(zip(found["bucket"], found["n"], strict=True)):
-        counts[k, b.values.to_numpy()] = n.values.to_numpy()
-    return Model(found["lang"].to_pylist(), counts[:, :BUCKETS], counts[:, BUCKETS:])
+    found = counted.groupBy("lang").agg(F.collect_list("bucket").alias("bucket"), F.collect_list("n").alias("n")).orderBy("lang").toArrow()
+    scripts = np.zeros((found.num_rows, n_scripts), np.int64)
+
+    def each():
+        for k, (b, n) in enumerate(zip(found["bucket"], found["n"], strict=True)):
+            counts = np.zeros(BUCKETS + n_scripts, np.int64)
+            counts[b.values.to_numpy()] = n.values.to_numpy()
+            scripts[k] = counts[BUCKETS:]
+            yield counts[:BUCKETS]
 
+    return Model(found["lang"].to_pylist(), each(), scripts)
 
-def _word_scores(f: Features, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Scores of each word (rows) for each language; which words have a candidate at all."""
+
+def _word_scores(f: Features, model: Model, which: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of words (rows) for each language; which of them have a candidate at all."""
     k = len(model.languages)
-    if not len(f.size):
+    size, offset, script = f.size[which], f.offset[which], f.script[which]
+    if not len(size):
         return np.zeros((0, k)), np.zeros(0, bool)
-    scores = np.add.reduceat(model.logp[f.bucket], f.offset, 0).astype(np.float64)
-    able = np.zeros((len(f.size), k), bool)
+    begin = np.cumsum(size) - size
+    if isinstance(which, slice):
+        bucket = f.bucket[offset[0] : offset[-1] + size[-1]]
+    else:
+        bucket = f.bucket[np.arange(size.sum()) + np.repeat(offset - begin, size)]
+    scores = np.add.reduceat(model.logp[bucket], begin, 0).astype(np.float64)
+    able = np.zeros((len(size), k), bool)
     for s in range(len(_NAMES)):
-        uses = (f.script >> np.uint32(s)) & 1 == 1
+        uses = (script >> np.uint32(s)) & 1 == 1
         if uses.any():
             able[uses] |= model.writes[s]
     known = able.any(1)
@@ -175,64 +205,87 @@ def _word_scores(f: Features, model: Model) -> tuple[np.ndarray, np.ndarray]:
     return scores, known
 
 
-def _paths(scores: np.ndarray, begins: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarray:
-    """Viterbi in step over texts: labels of all words, for texts given by their first word and length."""
-    k = scores.shape[1]
+def _paths(scores_of, begins: np.ndarray, counts: np.ndarray, penalty: float, labels: np.ndarray, cells: int = _CELLS) -> None:
+    """Viterbi in step over texts, given by their first word and length: sets the labels of their words.
+
+    scores_of: scores of an array of words. They are asked for a run of steps at a time, and of the
+    way back one bit a word and language is kept.
+    """
     order = np.argsort(-counts, kind="stable")
     begins, counts = begins[order], counts[order]
-    labels = np.zeros(len(scores), np.int32)
     active = np.searchsorted(-counts, -np.arange(counts[0]), "left")
-    value = scores[begins].copy()
+    value = scores_of(begins)
+    k = value.shape[1]
     stays, bests = [], []
-    for t in range(1, counts[0]):
-        n = active[t]
-        v = value[:n]
-        best = v.argmax(1)
-        jump = v[np.arange(n), best] - penalty
-        stay = v >= jump[:, None]
-        stays.append(stay)
-        bests.append(best)
-        value[:n] = np.where(stay, v, jump[:, None]) + scores[begins[:n] + t]
+    t = 1
+    while t < counts[0]:
+        to = t + 1
+        cost = active[t] * k
+        while to < counts[0] and cost + active[to] * k <= cells:
+            cost += active[to] * k
+            to += 1
+        ahead = scores_of(np.concatenate([begins[: active[x]] + x for x in range(t, to)]))
+        at = 0
+        for x in range(t, to):
+            n = active[x]
+            v = value[:n]
+            best = v.argmax(1)
+            jump = v[np.arange(n), best] - penalty
+            stay = v >= jump[:, None]
+            stays.append(np.packbits(stay, axis=1) if k > 8 else stay)
+            bests.append(best.astype(np.int32))
+            value[:n] = np.where(stay, v, jump[:, None]) + ahead[at : at + n]
+            at += n
+        t = to
     state = value.argmax(1)
     for t in range(counts[0] - 1, 0, -1):
         n = active[t]
         labels[begins[:n] + t] = state[:n]
-        stay = stays[t - 1][np.arange(n), state[:n]]
-        state[:n] = np.where(stay, state[:n], bests[t - 1])
+        now = state[:n]
+        stay = stays[t - 1][np.arange(n), now] if k <= 8 else (stays[t - 1][np.arange(n), now >> 3] >> (7 - (now & 7))) & 1 == 1
+        state[:n] = np.where(stay, now, bests[t - 1])
     labels[begins] = state
-    return labels
 
 
-def label_words(f: Features, model: Model, penalty: float) -> tuple[np.ndarray, np.ndarray]:
-    scores, known = _word_scores(f, model)
+def label_words(f: Features, model: Model, penalty: float, cells: int = _CELLS) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's language, and whether it has a candidate at all."""
     count = f.words.count
-    k = scores.shape[1]
-    total = np.zeros((len(count), k))
-    some = np.flatnonzero(count)
-    if not len(some):
+    n, k = len(f.size), len(model.languages)
+    known = np.zeros(n, bool)
+    if not n:
         return np.zeros(0, np.int32), known
-    total[some] = np.add.reduceat(scores, f.words.row_from[some], 0)
+    row = np.repeat(np.arange(len(count)), count)
+    total = np.zeros((len(count), k))
+    step = max(1, cells // k)
+    blocks = [slice(a, min(n, a + step)) for a in range(0, n, step)]
+    whole = None
+    for b in blocks:
+        scores, known[b] = _word_scores(f, model, b)
+        cut = np.flatnonzero(np.append(True, row[b][1:] != row[b][:-1]))
+        total[row[b][cut]] += np.add.reduceat(scores, cut, 0)
+        whole = scores if len(blocks) == 1 else None
     best = total.argmax(1)
     labels = np.repeat(best, count).astype(np.int32)
     if k == 1:
         return labels, known
     # the gain of leaving the best language, and the best run of it: at most the penalty, so staying is optimal
-    own = scores[np.arange(len(scores)), labels]
-    others = scores.copy()
-    others[np.arange(len(scores)), labels] = -np.inf
-    gain = np.concatenate([[0.0], np.cumsum(np.clip(others.max(1) - own, -1e5, 1e5))])
+    gain = np.zeros(n + 1)
+    for b in blocks:
+        scores = _word_scores(f, model, b)[0] if whole is None else whole.copy()
+        at = np.arange(len(scores))
+        own = scores[at, labels[b]]
+        scores[at, labels[b]] = -np.inf
+        gain[b.start + 1 : b.stop + 1] = np.clip(scores.max(1) - own, -1e5, 1e5)
+    gain = np.cumsum(gain)
     far = (np.abs(gain).max() + 1) * 4
-    row = np.repeat(np.arange(len(count)), count)
+    some = np.flatnonzero(count)
     low = np.minimum.accumulate(gain[:-1] - row * far) + row * far
     rise = gain[1:] - low
     most = np.maximum.reduceat(rise, f.words.row_from[some])
     hard = some[most > penalty - 1e-6]
     if len(hard):
-        own = _paths(scores, f.words.row_from[hard], count[hard], penalty)
-        mask = np.zeros(len(count), bool)
-        mask[hard] = True
-        mask = np.repeat(mask, count)
-        labels[mask] = own[mask]
+        scores_of = (lambda which: whole[which]) if whole is not None else (lambda which: _word_scores(f, model, which)[0])
+        _paths(scores_of, f.words.row_from[hard], count[hard], penalty, labels, cells)
     return labels, known
 
 
@@ -250,7 +303,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def find(batch):
         m = shared.value
-        for c in chunks(batch.column(1), _SLICE):
+        for c in chunks(batch.column(1), m.slice):
             letter = batch.column(2).slice(c.first, c.rows).to_pylist()
             out = {n: batch.column(3 + i).slice(c.first, c.rows) for i, n in enumerate(keep)}
             names, share, number, texts = [], [], [], []
@@ -274,6 +327,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 texts.append(" ".join(f"{m.languages[labels[j]]}@{j - f.words.row_from[i]}" for j in own))
             yield out | {"doc_id": batch.column(0).slice(c.first, c.rows), "lang_pred": names, "score": share, "n_spans": number, "spans": texts}
 
+    if clash := [n for n in keep if n.lower() in ("doc_id", "lang_pred", "score", "n_spans", "spans")]:
+        raise ValueError(f"columns made here cannot be kept: {clash}")
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.lower(text).alias("text"), has_letter(text).alias("letter"), *(F.col(c).alias(f"keep_{c}") for c in keep))
     kinds = ", ".join(f"{n} {dict(docs.dtypes)[n]}" for n in keep)

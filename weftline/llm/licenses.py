@@ -9,7 +9,8 @@ and repeats of a phrase are spans of their own. A span is verified by the share
 template's own positions that it covers. Base phrases are templates that must be covered
 wholly on one diagonal.
 
-The join side is the templates: of fixed size, so it is broadcast. Rows after the join
+The join side is the templates: it is broadcast up to ``BROADCAST`` positions, beyond that
+joined by a shuffle on the hashes. Rows after the join
 are one for each text plus its hits, so no text or phrase, however common, grows faster
 than its occurrences. A hash has 64 bits.
 
@@ -50,12 +51,18 @@ TEMPLATES = {
     ],
     "lgpl": ["GNU Lesser General Public License", "GNU Library General Public License"],
     "agpl": ["GNU Affero General Public License"],
+    "0bsd": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE"],
     "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License", "Mozilla Public License Version 2.0"],
     "cc-by": ["Licensed under CC BY 4.0", "Creative Commons Attribution 4.0 International License"],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0", "Creative Commons Attribution NonCommercial 4.0 International License"],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0", "Creative Commons Attribution ShareAlike 4.0 International License"],
+    "zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"],
+    "boost": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software"],
+    "epl": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License"],
+    "cc0": ["CC0 1.0 Universal", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"],
+    "wtfpl": ["Do What The Fuck You Want To Public License"],
     "unlicense": ["This is free and unencumbered software released into the public domain"],
 }
 #: K-grams of nothing but these words cast no votes for long templates: they stand everywhere.
@@ -63,6 +70,8 @@ FUNCTION_WORDS = set("a an and any as at be by for in is it of on or that the th
 #: Diagonals this near each other belong to one span; a template's span must cover this share of its votes.
 NEAR = 3
 COVERAGE = 0.85
+#: Positions of templates (some 100 bytes each) that are broadcast.
+BROADCAST = 1 << 18
 
 
 def hashes_of(texts: list[str]) -> list[np.ndarray]:
@@ -160,9 +169,10 @@ def _spans(diagonals: pd.Series, places: pd.Series) -> pd.Series:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: dict = BASE, templates: dict = TEMPLATES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans of verified templates."""
     spark = docs.sparkSession
-    known = spark.createDataFrame(template_positions(base, templates), "h long, template string, label string, is_base boolean, q long, votes long")
+    places = template_positions(base, templates)
+    known = spark.createDataFrame(places, "h long, template string, label string, is_base boolean, q long, votes long")
     each = rolling(docs, id_col, text_col).select("rid", "doc_id", "n_words", F.posexplode("grams").alias("p", "h"))
-    hits = each.join(F.broadcast(known), "h", "left").where("h = 0 OR template IS NOT NULL")
+    hits = each.join(F.broadcast(known) if len(places) <= BROADCAST else known, "h", "left").where("h = 0 OR template IS NOT NULL")
     owner = ["rid", "doc_id", "n_words"]
     kind = ["template", "label", "is_base", "votes"]
     diagonals = hits.groupBy(*owner, *kind, (F.col("p") - F.col("q")).alias("diagonal")).agg(F.count("*").alias("n"), F.min("q").alias("low"), F.max("q").alias("high"), F.collect_set("q").alias("places"))
@@ -199,3 +209,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
 def op7_licenses(spark, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def licence_places(spark, sf_dir: str) -> DataFrame:
+    """The columns of op7_licenses that SQL can express."""
+    return op7_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+PLACES_SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+i AS (SELECT r, unnest(range(len(words))) AS i, unnest(words) AS a, unnest(list_concat(words[2:], [''])) AS b, unnest(list_concat(words[3:], ['', ''])[:len(words)]) AS c FROM w),
+f AS (SELECT r, i, CASE WHEN a = 'mit' AND b = 'license' THEN 'mit' WHEN a = 'apache' AND b = 'license' THEN 'apache' WHEN a = 'general' AND b = 'public' AND c = 'license' THEN 'gpl' END AS label FROM i),
+g AS (SELECT r, count(*) AS n, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM f WHERE label IS NOT NULL GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first_word, last_word, coalesce(labels, '') AS base_labels FROM w LEFT JOIN g USING (r)
+"""

@@ -355,3 +355,15 @@ def read(media: DataFrame) -> DataFrame:
 
 def op1_media(spark, sf_dir: str) -> DataFrame:
     return read(store(table(spark, sf_dir, "documents")))
+
+
+def media_payloads(spark, sf_dir: str) -> DataFrame:
+    """The columns of op1_media that SQL can express."""
+    return op1_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+PAYLOADS_SQL = """
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+s AS (SELECT doc_id, raw, octet_length(raw) AS n, CASE WHEN octet_length(raw) = 0 THEN 64 ELSE (64 - octet_length(raw) % 64) % 64 END AS more FROM b)
+SELECT doc_id, n::BIGINT AS n_bytes, (n + more)::BIGINT AS payload_bytes, sha256(raw || repeat(chr(0), more)::BLOB) AS payload_sha256 FROM s
+"""

@@ -222,3 +222,20 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op3_near(spark, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
+#: The same by all pairs that share a run of five words: links on whole sets, classes by walking the links.
+OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+t AS (SELECT min(r) AS k, words, count(*) AS copies FROM w WHERE len(words) > 0 GROUP BY words),
+g AS (SELECT DISTINCT k, array_to_string(words[i : i + 4], ' ') AS gram FROM (SELECT k, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM t)),
+n AS (SELECT k, count(*) AS n FROM g GROUP BY 1),
+p AS (SELECT a.k AS a, b.k AS b, count(*) AS both FROM g a JOIN g b ON a.gram = b.gram AND a.k <> b.k GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE 5 * both >= 4 * (x.n + y.n - both)),
+reach AS (SELECT k AS a, k AS b FROM t UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
+c AS (SELECT a AS k, min(b) AS class FROM reach GROUP BY 1),
+d AS (SELECT l.a AS k, sum(t.copies) AS links FROM l JOIN t ON t.k = l.b GROUP BY 1),
+e AS (SELECT w.r, doc_id, c.class, t.copies - 1 + coalesce(links, 0) AS n_links FROM w LEFT JOIN t ON t.words = w.words LEFT JOIN c ON c.k = t.k LEFT JOIN d ON d.k = t.k),
+m AS (SELECT class, min(doc_id) AS class_id FROM e GROUP BY 1)
+SELECT doc_id, CASE WHEN e.class IS NULL THEN doc_id ELSE m.class_id END AS class_id, coalesce(n_links, 0)::BIGINT AS n_links FROM e LEFT JOIN m ON m.class = e.class
+"""

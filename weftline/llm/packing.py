@@ -14,8 +14,9 @@
 
 What reaches the driver is the histogram: lengths times salts, of fixed size. A length that
 many documents share is spread over ``SALTS`` tasks. Words are tokenised once for each
-worker and kept (up to a bound); texts are cut for that only where the tokenizer's own
-pre-tokenizer cuts, so ids are those of the whole text.
+worker and kept (up to a bound) by hash and text: a word whose text is not the kept one
+has its whole row tokenised. Texts are cut only where the tokenizer's own pre-tokenizer
+cuts, so ids are those of the whole text.
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed each;
 ids of sequences are unique, not dense; other columns are not looked at.
@@ -65,7 +66,7 @@ _CLASS = _classes()
 
 
 class Vocabulary:
-    """Token ids of text pieces by hash; emptied when its bound is reached."""
+    """Token ids of text pieces by hash and text; emptied when its bound is reached."""
 
     def __init__(self, path: str, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -83,10 +84,12 @@ class Vocabulary:
         self.lengths[0] = 1  # piece 0 is the end id
         self.flat = np.full(1, self.end, self.kind)
         self.used = 1
-        self.odd: dict = {}
+        self.text, self.written = np.zeros(1 << 16, np.uint8), 0
+        self.text_at, self.text_size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
-    def add(self, h: np.ndarray, pieces: list[str]):
+    def add(self, h: np.ndarray, raw: list[bytes]):
         """New, distinct hashes and their texts."""
+        pieces = [x.decode() for x in raw]
         if self.size + len(h) > 1 << (_CACHE_BITS - 1):
             self.clear()
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -95,6 +98,16 @@ class Vocabulary:
         if need > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros(need, np.int64)])
             self.lengths = np.concatenate([self.lengths, np.zeros(need, np.int64)])
+            self.text_at = np.concatenate([self.text_at, np.zeros(need, np.int64)])
+            self.text_size = np.concatenate([self.text_size, np.zeros(need, np.int64)])
+        own = LOWER[np.frombuffer(b"".join(raw), np.uint8)]
+        bytes_ = np.array([len(x) for x in raw])
+        if self.written + len(own) > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros(self.written + len(own), np.uint8)])
+        self.text[self.written : self.written + len(own)] = own
+        self.text_at[self.size : need] = self.written + np.cumsum(bytes_) - bytes_
+        self.text_size[self.size : need] = bytes_
+        self.written += len(own)
         self.starts[self.size : need] = self.used + np.cumsum(sizes) - sizes
         self.lengths[self.size : need] = sizes
         more = np.array([t for x in ids for t in x], self.kind)
@@ -105,6 +118,23 @@ class Vocabulary:
         self.index.add(h, np.arange(self.size, need, dtype=np.int32))
         self.size = need
 
+    def _differ(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Pieces whose text is not that kept for their hash."""
+        size = end - begin
+        bad = size != self.text_size[found]
+        # pieces of one size class together: eight bytes of each at a time
+        at, to, left = begin.copy(), self.text_at[found], np.where(bad, 0, size)
+        on = np.flatnonzero(left)
+        eight = lambda x: np.ndarray((len(x) + 1,), "<u8", np.concatenate([x, np.zeros(8, np.uint8)]), strides=(1,))
+        mine, kept = eight(data), eight(self.text[: self.written])
+        at, to, left = at[on], to[on], left[on]
+        while len(on):
+            same = (mine[at] ^ kept[to]) << ((8 - np.minimum(left, 8)) * 8).astype(np.uint64) == 0
+            bad[on[~same]] = True
+            go = np.flatnonzero(same & (left > 8))
+            on, at, to, left = on[go], at[go] + 8, to[go] + 8, left[go] - 8
+        return np.flatnonzero(bad)
+
     def encode(self, chunk) -> tuple[np.ndarray, np.ndarray]:
         """All rows' ids, each row's followed by the end id, and how many each row has."""
         data, n = chunk.data, len(chunk.data)
@@ -125,22 +155,25 @@ class Vocabulary:
         pieces = Words(begin, end, np.searchsorted(begin, chunk.begins), np.searchsorted(begin, chunk.ends))
         special = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))
         whole = np.unique(np.searchsorted(chunk.ends, special, "right"))  # rows that may hold a special token's text
-        h = np.maximum(word_hashes(LOWER[data], pieces), 1)
+        lowered = LOWER[data]
+        h = np.maximum(word_hashes(lowered, pieces), 1)
         found = self.index.find(h)
         miss = np.flatnonzero(found < 0)
         if len(miss):
             new, first = np.unique(h[miss], return_index=True)
             at = miss[first]
             before = self.size
-            self.add(new, [data[x:y].tobytes().decode() for x, y in zip(begin[at], end[at], strict=True)])
+            self.add(new, [data[x:y].tobytes() for x, y in zip(begin[at], end[at], strict=True)])
             if self.size < before + len(new):  # it was emptied
                 known = np.unique(h, return_index=True)
                 lost = self.index.find(known[0]) < 0
                 at = known[1][lost]
-                self.add(known[0][lost], [data[x:y].tobytes().decode() for x, y in zip(begin[at], end[at], strict=True)])
+                self.add(known[0][lost], [data[x:y].tobytes() for x, y in zip(begin[at], end[at], strict=True)])
                 found = self.index.find(h)
             else:
                 found[miss] = self.index.find(h[miss])
+        if len(other := self._differ(lowered, begin, end, found)):
+            whole = np.union1d(whole, np.searchsorted(pieces.row_to, other, "right"))
         counts = pieces.row_to - pieces.row_from
         # the end id's piece after each row's pieces
         order = np.zeros(len(found) + chunk.rows, np.int64)

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from .chat import OP5_SQL, op5_chat
 from .decontaminate import op8_decontaminate
-from .hmm import op10_hmm
+from .hmm import UNIGRAM_SQL, op10_hmm, unigram_scores
 from .language import op2_language
-from .licenses import op7_licenses
-from .media import op1_media
-from .near import op3_near
+from .licenses import PLACES_SQL, licence_places, op7_licenses
+from .media import PAYLOADS_SQL, media_payloads, op1_media
+from .near import OP3_SQL, op3_near
 from .packing import op9_packing
-from .sharding import op4_sharding
+from .sharding import OP4_SQL, op4_sharding
 from .substrings import OP6_SQL, op6_substrings
 
 QUERIES = {
@@ -24,6 +24,18 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_packing": op9_packing,
     "op10_hmm": op10_hmm,
+    # of three results, the columns that SQL can express
+    "media_payloads": media_payloads,
+    "licence_places": licence_places,
+    "unigram_scores": unigram_scores,
 }
 
-ORACLE_SQL = {"op5_chat": OP5_SQL, "op6_substrings": OP6_SQL}
+ORACLE_SQL = {
+    "op3_near": OP3_SQL,
+    "op4_sharding": OP4_SQL,
+    "op5_chat": OP5_SQL,
+    "op6_substrings": OP6_SQL,
+    "media_payloads": PAYLOADS_SQL,
+    "licence_places": PLACES_SQL,
+    "unigram_scores": UNIGRAM_SQL,
+}

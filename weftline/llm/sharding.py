@@ -1,17 +1,20 @@
 """Sharding: small immutable arrivals, size-tiered compaction, atomically committed manifests.
 
-A store is a folder with Parquet shards that never change and numbered manifests that
-list the live ones. ``append`` writes arrivals as small shards and commits a manifest with
-them. ``compact`` takes shards of one size tier (each tier is ``FAN_IN`` times the one below),
+A store is a folder with Parquet shards that never change, lists of at most ``LISTED`` shards
+that never change either, and numbered manifests that name the live lists. A commit writes
+the lists it changes and a manifest, not the whole table of shards. ``append`` writes arrivals
+as small shards and commits a manifest with them. ``compact`` takes shards of one size tier (each tier is ``FAN_IN`` times the one below),
 in order of arrival, and merges runs of at least FAN_IN of them into files of at most the
 target size, until no tier has such a run; every round commits one manifest. A reader
 opens one manifest and sees exactly its shards, whatever happens meanwhile.
 
-Merging never shuffles: each merged file is a job of one task that reads its shards and
-writes them in order; the merges of a round run side by side. A commit writes the manifest under a
-name of its own and renames it to the next number, which fails if another writer was first;
-then it starts again from that writer's manifest. Shards left by a failed job are in no
-manifest and ``vacuum`` removes them. Only the list of shards reaches the driver.
+Merging never shuffles: a merged file is one task that reads its shards and writes them in
+order, and up to ``MERGES_AT_ONCE`` merges are one job. A commit writes the manifest under a
+name of its own and gives it the next number in one step that fails if the number is taken (a
+hard link on a local file system, elsewhere a rename, which HDFS refuses on an existing
+name; stores whose renames overwrite need one writer at a time); then it starts again from
+the other writer's manifest. Shards left by a failed job are in no manifest and ``vacuum``
+removes them. What reaches the driver is the list of shards: about 200 bytes a shard.
 
 Defined results: all rows and columns are kept as they are (nulls, repeated rows, any
 columns); an empty table commits a manifest without new shards.
@@ -20,9 +23,10 @@ columns); an empty table commits a manifest without new shards.
 from __future__ import annotations
 
 import json
+import os
 import uuid
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +39,11 @@ TARGET_BYTES = 64 << 20
 FAN_IN = 4
 TIER_BASE = 1 << 20
 #: Merges that run side by side and are committed together.
-MERGES_AT_ONCE = 64
+MERGES_AT_ONCE = 256
+#: Shards of a list.
+LISTED = 4096
+#: Arrivals that the query deals the table out to.
+ARRIVALS = 4
 
 
 @dataclass(frozen=True)
@@ -69,49 +77,70 @@ class Store:
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.folder}/manifests"))]
         return sorted(int(n[1:-5]) for n in names if n[0] == "v" and n.endswith(".json"))
 
-    def manifest(self, version: int | None = None) -> dict:
-        have = self.versions()
-        if version is None:
-            if not have:
-                return {"version": 0, "schema": None, "next": 0, "shards": []}
-            version = have[-1]
-        stream = self._fs.open(self._path(f"{self.folder}/manifests/v{version:08d}.json"))
+    def _load(self, name: str) -> dict | list:
+        stream = self._fs.open(self._path(f"{self.folder}/manifests/{name}"))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
-    def shards(self, version: int | None = None) -> list[Shard]:
-        return [Shard(**s) for s in self.manifest(version)["shards"]]
-
-    def _commit(self, base: dict, shards: list[Shard], schema: str | None, following: int) -> int:
-        version = base["version"] + 1
-        body = {"version": version, "schema": schema, "next": following, "shards": [asdict(s) for s in sorted(shards, key=lambda s: (s.sequence, s.path))]}
-        temp = self._path(f"{self.folder}/manifests/.{uuid.uuid4().hex}")
-        out = self._fs.create(temp, False)
+    def _save(self, name: str, body: dict | list) -> None:
+        out = self._fs.create(self._path(f"{self.folder}/manifests/{name}"), False)
         out.write(json.dumps(body, sort_keys=True).encode())
         out.close()
-        target = self._path(f"{self.folder}/manifests/v{version:08d}.json")
-        if self._fs.exists(target) or not self._fs.rename(temp, target):
-            self._fs.delete(temp, False)
-            raise Conflict(f"version {version} is there already")
-        return version
+
+    def manifest(self, version: int | None = None) -> dict:
+        """version, schema, next (sequence number), lists (names)."""
+        if version is None:
+            have = self.versions()
+            if not have:
+                return {"version": 0, "schema": None, "next": 0, "lists": []}
+            version = have[-1]
+        return self._load(f"v{version:08d}.json")
+
+    def _listed(self, name: str) -> list[Shard]:
+        return [Shard(**s) for s in self._load(name)]
+
+    def shards(self, version: int | None = None) -> list[Shard]:
+        return sorted((s for name in self.manifest(version)["lists"] for s in self._listed(name)), key=lambda s: (s.sequence, s.path))
+
+    def _publish(self, body: dict) -> None:
+        """Gives the manifest its number; a Conflict if another has it."""
+        temp, target = f".{uuid.uuid4().hex}", f"v{body['version']:08d}.json"
+        self._save(temp, body)
+        old, new = (self._path(f"{self.folder}/manifests/{n}") for n in (temp, target))
+        try:
+            if self._fs.getUri().getScheme() == "file":
+                os.link(old.toUri().getPath(), new.toUri().getPath())
+            elif self._fs.exists(new) or not self._fs.rename(old, new):
+                raise FileExistsError(target)
+        except FileExistsError:
+            raise Conflict(f"version {body['version']} is there already") from None
+        finally:
+            self._fs.delete(old, False)
 
     def _commit_change(self, gone: set[str], new: list[Shard], schema: str | None, renumber: bool) -> int:
         while True:
             base = self.manifest()
-            live = [Shard(**s) for s in base["shards"]]
-            if gone - {s.path for s in live}:
+            lists = {name: self._listed(name) for name in base["lists"]} if gone else dict.fromkeys(base["lists"], ())
+            if gone - {s.path for have in lists.values() for s in have}:
                 raise Conflict("a shard to be merged is no longer live")
-            following = base["next"]
-            added = [Shard(s.path, s.bytes, following + k) for k, s in enumerate(new)] if renumber else new
-            if renumber:
-                following += len(new)
+            touched = [name for name, have in lists.items() if any(s.path in gone for s in have)]
+            rest = [s for name in touched for s in lists[name] if s.path not in gone]
+            following = base["next"] + len(new) * renumber
+            added = [Shard(s.path, s.bytes, base["next"] + k) for k, s in enumerate(new)] if renumber else new
+            live = sorted(rest + added, key=lambda s: (s.sequence, s.path))
+            names = []
+            for at in range(0, len(live), LISTED):
+                names.append(f"list-{uuid.uuid4().hex}.json")
+                self._save(names[-1], [asdict(s) for s in live[at : at + LISTED]])
+            body = {"version": base["version"] + 1, "schema": schema or base["schema"], "next": following, "lists": [n for n in base["lists"] if n not in touched] + names}
             try:
-                return self._commit(base, [s for s in live if s.path not in gone] + added, schema or base["schema"], following)
+                self._publish(body)
+                return body["version"]
             except Conflict:
-                if self.manifest()["version"] == base["version"]:
-                    raise
+                for name in names:
+                    self._fs.delete(self._path(f"{self.folder}/manifests/{name}"), False)
 
     # data
 
@@ -129,7 +158,7 @@ class Store:
     def read(self, version: int | None = None) -> DataFrame:
         m = self.manifest(version)
         schema = T.StructType.fromJson(json.loads(m["schema"]))
-        paths = [f"{self.folder}/{s['path']}" for s in m["shards"]]
+        paths = [f"{self.folder}/{s.path}" for name in m["lists"] for s in self._listed(name)]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def plan(self, target: int = TARGET_BYTES, fan_in: int = FAN_IN, base: int = TIER_BASE) -> list[list[Shard]]:
@@ -150,12 +179,12 @@ class Store:
             out.append(run)
         return [r for r in out if len(r) >= fan_in or len(r) > 1 and sum(s.bytes for s in r) > target // 2]
 
-    def _merge(self, run: list[Shard], schema: T.StructType) -> Shard:
-        """One file of the run's shards, by a job of one task that reads them in order."""
+    def _merge(self, runs: list[list[Shard]], schema: T.StructType) -> list[Shard]:
+        """A file of each run's shards, in order; one job, one task a file."""
         folder = f"data/{uuid.uuid4().hex}"
-        self.spark.read.schema(schema).parquet(*(f"{self.folder}/{s.path}" for s in run)).coalesce(1).write.parquet(f"{self.folder}/{folder}")
-        ((path, size),) = self._files(folder)
-        return Shard(path, size, run[0].sequence)
+        parts = [self.spark.read.schema(schema).parquet(*(f"{self.folder}/{s.path}" for s in run)).coalesce(1) for run in runs]
+        reduce(DataFrame.unionAll, parts).write.parquet(f"{self.folder}/{folder}")
+        return [Shard(path, size, run[0].sequence) for (path, size), run in zip(self._files(folder), runs, strict=True)]
 
     def compact(self, target: int = TARGET_BYTES, fan_in: int = FAN_IN, base: int = TIER_BASE) -> int:
         """Rounds of merges until no tier has a run; gives the number of the last manifest."""
@@ -164,9 +193,7 @@ class Store:
             schema = T.StructType.fromJson(json.loads(m["schema"]))
             for at in range(0, len(runs), MERGES_AT_ONCE):
                 part = runs[at : at + MERGES_AT_ONCE]
-                with ThreadPoolExecutor(len(part)) as pool:
-                    new = list(pool.map(lambda run: self._merge(run, schema), part))
-                self._commit_change({s.path for run in part for s in run}, new, None, False)
+                self._commit_change({s.path for run in part for s in run}, self._merge(part, schema), None, False)
         return self.manifest()["version"]
 
     def vacuum(self, keep: int = 1) -> int:
@@ -181,16 +208,26 @@ class Store:
                     if p not in live:
                         self._fs.delete(self._path(f"{self.folder}/{p}"), False)
                         gone += 1
+        listed = {name for v in have[-keep:] for name in self.manifest(v)["lists"]}
         for v in have[:-keep]:
+            for name in self.manifest(v)["lists"]:
+                if name not in listed:
+                    self._fs.delete(self._path(f"{self.folder}/manifests/{name}"), False)
             self._fs.delete(self._path(f"{self.folder}/manifests/v{v:08d}.json"), False)
         return gone
 
 
 def op4_sharding(spark, sf_dir: str) -> DataFrame:
-    """Every document with the shard it lies in after compaction: doc_id, text_md5, shard (the file), shard_bytes, version."""
+    """Every document of all arrivals as the compacted store holds it: doc_id, text_md5, arrival, fits (its file is within the target size) and settled (its file is in the version read and no tier has a run to merge)."""
     store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
-    store.append(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents").withColumn("arrival", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(ARRIVALS)))
+    for k in range(ARRIVALS):  # together all rows
+        store.append(docs.where(F.col("arrival") == k))
     version = store.compact()
     store.vacuum()
-    rows = store.read(version).select("doc_id", F.md5("text").alias("text_md5"), F.col("_metadata.file_name").alias("shard"), F.col("_metadata.file_size").alias("shard_bytes"))
-    return rows.withColumn("version", F.lit(version).cast("long"))
+    settled = not store.plan() and {s.path for s in store.shards(version)} == {s.path for s in store.shards()}
+    rows = store.read(version)
+    return rows.select("doc_id", F.md5("text").alias("text_md5"), "arrival", (F.col("_metadata.file_size") <= TARGET_BYTES).alias("fits"), F.lit(settled).alias("settled"))
+
+
+OP4_SQL = "SELECT doc_id, md5(text) AS text_md5, coalesce(doc_id, 0) % 4 AS arrival, true AS fits, true AS settled FROM documents"
