@@ -27,18 +27,42 @@ SCRIPTS = {
     "devanagari": r"\u0900-\u097F",
 }
 # Languages not written in Latin script.
-LANGUAGES_OF_SCRIPT = {
-    "cyrillic": "ru uk be bg mk sr kk ky tg tt mn",
-    "cjk": "zh ja ko",
-    "greek": "el",
-    "arabic": "ar fa ur ps sd",
-    "hebrew": "he iw yi",
-    "thai": "th",
-    "devanagari": "hi mr ne sa",
-}
-# Abbreviations after which a sentence goes on.
+SCRIPT_OF_LANGUAGE = {
+    "ru": "cyrillic", "uk": "cyrillic", "be": "cyrillic", "bg": "cyrillic", "mk": "cyrillic", "sr": "cyrillic",
+    "kk": "cyrillic", "ky": "cyrillic", "tg": "cyrillic", "tt": "cyrillic", "mn": "cyrillic",
+    "zh": "cjk", "ja": "cjk", "ko": "cjk",
+    "el": "greek",
+    "ar": "arabic", "fa": "arabic", "ur": "arabic", "ps": "arabic", "sd": "arabic",
+    "he": "hebrew", "iw": "hebrew", "yi": "hebrew",
+    "th": "thai",
+    "hi": "devanagari", "mr": "devanagari", "ne": "devanagari", "sa": "devanagari",
+}
+# Abbreviations after which a sentence goes on, in English, German and Russian.
 ABBREVIATIONS = (
-    "mr. mrs. ms. dr. prof. sr. jr. st. vs. etc. e.g. i.e. f.a.q. a.m. p.m. u.s. u.k. ph.d. vol. fig. approx. incl. "
-    "z.b. d.h. u.a. usw. bzw. ggf. vgl. evtl. u.s.w. "
-    "г. ул. т.е. т.д. т.п. т.к. напр. рис. табл. см. гг."
-).split()
+    "mr.", "mrs.", "ms.", "dr.", "prof.", "sr.", "jr.", "st.", "vs.", "etc.", "e.g.", "i.e.", "f.a.q.", "a.m.", "p.m.",
+    "u.s.", "u.k.", "ph.d.", "vol.", "fig.", "approx.", "incl.",
+    "z.b.", "d.h.", "u.a.", "usw.", "bzw.", "ggf.", "vgl.", "evtl.", "u.s.w.",
+    "г.", "ул.", "т.е.", "т.д.", "т.п.", "т.к.", "напр.", "рис.", "табл.", "см.", "гг.",
+)
+# Forms of service markup. A percent token; a caret token; a variant, of which the first form stays;
+# a colour tag with its brackets escaped once or twice, and one as it is; a tag that was written as text.
+PERCENT_TOKEN = r"%[A-Za-z_][A-Za-z0-9_.\-]{0,80}%+"
+CARET_TOKEN = r"\^\{[^{}\n]{1,80}\}\^"
+VARIANT = r"(?i)\$m\(([^|()]*)\|[^()]*\)"
+ESCAPED_COLOUR = r"(?i)&(?:amp;)?lt;\s*/?\s*color(?:\s*=[^&<>]{0,120})?\s*&(?:amp;)?gt;"
+BARE_COLOUR = r"(?i)<\s*/?\s*color(?:\s*=[^<>]{0,120})?\s*>"
+WRITTEN_TAG = r"</?[A-Za-z][A-Za-z0-9:_-]*(?:\s+[^<>]{0,200})?\s*/?>"
+# What a link looks like once the marks round it are off.
+LINK_MARKS = ".,;:!?()[]{}<>\"'"
+URL_START = ("http://", "https://", "www.")
+# Marks that end a sentence, marks that may close it, letters that may begin the next without a space.
+STOPS, CLOSERS, CAPITALS = ".!?…", "\"'”»)]", "A-ZА-ЯЁ"
+# Where a removed tag or a joint of two parts leaves no space, or forces one.
+TIGHT_AFTER, TIGHT_BEFORE = "([{\"'", ",.;:!?)]}\"'"
+SPACE_AFTER = ".!?:;)]}…"
+JOINT_AFTER, JOINT_BEFORE = "([{«", ".,!?:;)]}»"
+
+
+def either(characters: str) -> str:
+    """A class of exactly these characters."""
+    return "[" + "".join("\\" + c if c in "[]{}()^-.?!:;,\"'" else c for c in characters) + "]"

@@ -5,19 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .chars import ALNUM, DIGIT, LANGUAGES_OF_SCRIPT, LETTER, SCRIPTS, WS
+from . import chars
+from .chars import ALNUM, DIGIT, LETTER, SCRIPT_OF_LANGUAGE, SCRIPTS, WS, either
 from .segments import collapse_ws, let, map_text, strip_ws, trim_ends
 
-_BREAK = r"(?:\\[tnrfv]|[\t\r\n\f\x0B])"
-_BREAKS = rf"[{WS}]*{_BREAK}(?:[{WS}]*{_BREAK})*[{WS}]*"
-_PERCENT = r"%[A-Za-z_][A-Za-z0-9_.\-]{0,80}%+"
-_GAME = r"\^\{[^{}\n]{1,80}\}\^"
-_VARIANT = r"(?i)\$m\(([^|()]*)\|[^()]*\)"
-_COLOUR = r"(?i)&(?:amp;)?lt;\s*/?\s*color(?:\s*=[^&<>]{0,120})?\s*&(?:amp;)?gt;"
-_RAW_COLOUR = r"(?i)<\s*/?\s*color(?:\s*=[^<>]{0,120})?\s*>"
-_URL = r"(?i)^(?:https?://|www\.)\S+$"
-_DOMAIN = r"^(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?:/\S*)?$"
-_LINK_EDGE = r"""[.,;:!?()\[\]{}<>"']"""
+#: Stands for a break until white space round it is gone; XML text has no such character.
+_BREAK = "\u0001"
 
 
 def normalize_spaces(xml: Column) -> Column:
@@ -30,33 +23,42 @@ def _then_spaces(xml: Column, change) -> Column:
     return let(xml, lambda x: let(map_text(x, change), lambda y: F.when(y == x, x).otherwise(normalize_spaces(y))))
 
 
+def _where(test, change):
+    """``change`` for texts that pass a cheap test; the others are left as they are."""
+    return lambda xml: let(xml, lambda x: F.when(test(x), change(x)).otherwise(x))
+
+
+def _one_line(text: Column) -> Column:
+    """Control breaks and two-character escapes for them, marked first; then a mark and all white space round it is one space."""
+    marked = F.regexp_replace(text, r"[\t\n\x0B\f\r]|\\[tnrfv]", _BREAK)
+    return F.regexp_replace(marked, f"[{WS}]*{_BREAK}[{WS}{_BREAK}]*", " ")
+
+
 def collapse_line_breaks(xml: Column) -> Column:
     """Control breaks and literal escapes for them, with white space round them, to one space."""
-    return _then_spaces(xml, lambda t: F.regexp_replace(t, _BREAKS, " "))
+    return _where(lambda x: x.rlike(r"[\t-\r\\]"), lambda x: _then_spaces(x, _one_line))(xml)
 
 
 def strip_percent_tokens(xml: Column) -> Column:
-    return _then_spaces(xml, lambda t: F.regexp_replace(t, _PERCENT, " "))
+    return _where(lambda x: x.contains("%"), lambda x: _then_spaces(x, lambda t: F.regexp_replace(t, chars.PERCENT_TOKEN, " ")))(xml)
 
 
-def _game(text: Column) -> Column:
-    text = F.regexp_replace(text, _GAME, " ")
-    text = F.regexp_replace(text, _COLOUR, " ")
-    return F.regexp_replace(text, _VARIANT, "$1")
+def _markup(text: Column, tags: tuple[str, ...]) -> Column:
+    for form in (chars.CARET_TOKEN, *tags):
+        text = F.regexp_replace(text, form, " ")
+    return F.regexp_replace(text, chars.VARIANT, "$1")
 
 
 def strip_game_markup(xml: Column) -> Column:
     """Caret tokens and escaped colour tags to a space, variants to their first form."""
-    return _then_spaces(xml, _game)
+    return _where(lambda x: x.contains("^{") | x.contains("$") | x.contains("&"), lambda x: _then_spaces(x, lambda t: _markup(t, (chars.ESCAPED_COLOUR,))))(xml)
 
 
 def clean_property(text: Column, game: bool = True, percent: bool = False) -> Column:
     """Service markup out of a property's text, raw colour tags included."""
-    out = text
-    if game:
-        out = _game(F.regexp_replace(out, _RAW_COLOUR, " "))
+    out = _markup(text, (chars.BARE_COLOUR, chars.ESCAPED_COLOUR)) if game else text
     if percent:
-        out = F.regexp_replace(out, _PERCENT, " ")
+        out = F.regexp_replace(out, chars.PERCENT_TOKEN, " ")
     return let(out, lambda o: F.when(o == text, text).otherwise(F.trim(F.regexp_replace(o, " {2,}", " "))))
 
 
@@ -70,11 +72,25 @@ def is_numeric(text: Column) -> Column:
     return text.rlike(f"[{DIGIT}]") & ~text.rlike(rf"[{ALNUM}&&[^{DIGIT}]]")
 
 
+def _is_link_word(word: Column) -> Column:
+    """A URL, or labels of letters, digits and hyphens with dots between, the last of two letters or more, and maybe a path."""
+    host = F.split(word, "/")[0]
+    labels = F.split(host, r"\.")
+    last = F.element_at(labels, -1)
+    domain = (F.size(labels) > 1) & F.forall(labels, lambda x: x.rlike("^[A-Za-z0-9-]+$")) & last.rlike("^[A-Za-z]{2,}$")
+    low = F.lower(word)
+    url = F.lit(False)
+    for start in chars.URL_START:
+        url = url | (low.startswith(start) & (F.length(word) > len(start)))
+    return url | domain
+
+
 def is_link(text: Column) -> Column:
     """Every word, without punctuation round it, is a URL or a bare domain."""
-    words = F.filter(F.split(collapse_ws(text), " "), lambda w: w != "")
-    core = F.transform(words, lambda w: F.regexp_replace(w, rf"^{_LINK_EDGE}+|{_LINK_EDGE}+$", ""))
-    return let(core, lambda c: (F.size(c) > 0) & F.forall(c, lambda w: w.rlike(_URL) | w.rlike(_DOMAIN)))
+    edge = either(chars.LINK_MARKS)
+    bare = lambda w: F.regexp_replace(w, f"^{edge}+|{edge}+$", "")
+    every = lambda t: F.forall(F.split(collapse_ws(t), " "), lambda w: let(bare(w), _is_link_word))
+    return let(text, lambda t: F.when(t.contains(".") | t.contains("/"), every(t)).otherwise(F.lit(False)))
 
 
 def garbage_reason(src: Column, tgt: Column) -> Column:
@@ -93,33 +109,46 @@ def base_lang(lang: Column) -> Column:
 
 
 def count_of(text: Column, characters: str) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{characters}]", ""))
+    return F.length(F.regexp_replace(text, f"[^{characters}]+", ""))
+
+
+def has_at_least(text: Column, characters: str, n: int) -> Column:
+    """Whether this many characters of the class stand anywhere; looks no further than that."""
+    return text.rlike(f"(?:[{characters}][^{characters}]*+){{{n}}}")
+
+
+#: All that is beyond Latin script among the scripts that are counted.
+_BEYOND = "".join(c for name, c in SCRIPTS.items() if name != "latin")
 
 
 def script_histogram(text: Column) -> Column:
-    """Struct of counts: letters, digits and each tracked script."""
-    own = [count_of(text, c).alias(name) for name, c in SCRIPTS.items()]
-    return F.struct(count_of(text, r"\p{L}").alias("alpha"), count_of(text, DIGIT).alias("digit"), *own)
+    """Struct of counts: letters, digits and each tracked script. A text in Latin script is not looked through for the others."""
+
+    def counts(x):
+        other = x["other"]
+        own = [(count_of(x["t"], c) if name == "latin" else F.when(other == "", 0).otherwise(count_of(other, c))).alias(name) for name, c in SCRIPTS.items()]
+        return F.struct(count_of(x["t"], r"\p{L}").alias("alpha"), count_of(x["t"], DIGIT).alias("digit"), *own)
+
+    return let(F.struct(text.alias("t"), F.regexp_replace(text, f"[^{_BEYOND}]+", "").alias("other")), counts)
 
 
 def expected_script(lang: Column) -> Column:
-    table = {code: script for script, codes in LANGUAGES_OF_SCRIPT.items() for code in codes.split()}
-    known = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    known = F.create_map(*[F.lit(x) for pair in SCRIPT_OF_LANGUAGE.items() for x in pair])
     return F.coalesce(F.element_at(known, base_lang(lang)), F.lit("latin"))
 
 
 def lang_mismatch(text: Column, lang: Column) -> Column:
     """True if none of the language's script but three letters or more of others are there."""
 
-
     def judge(x):
-        counts, expected = x["counts"], x["expected"]
-        own = F.coalesce(*[F.when(expected == name, counts[name]) for name in SCRIPTS])
-        tracked = sum((counts[name] for name in SCRIPTS), F.lit(0))
-        return (counts["alpha"] >= 3) & (own == 0) & (tracked >= 3)
+        found = F.lit(False)
+        for name, own in SCRIPTS.items():
+            others = "".join(c for n, c in SCRIPTS.items() if n != name)
+            found = F.when(x["expected"] == name, ~x["text"].rlike(f"[{own}]") & has_at_least(x["text"], others, 3) & has_at_least(x["text"], r"\p{L}", 3)).otherwise(found)
+        return found
 
-    found = let(F.struct(let(text, script_histogram).alias("counts"), expected_script(lang).alias("expected")), judge)
-    return F.coalesce(found & (base_lang(lang) != ""), F.lit(False))
+    found = let(F.struct(text.alias("text"), expected_script(lang).alias("expected")), judge)
+    return F.coalesce((base_lang(lang) != "") & found, F.lit(False))
 
 
 def length_ratio(src: Column, tgt: Column) -> Column:
@@ -128,8 +157,12 @@ def length_ratio(src: Column, tgt: Column) -> Column:
     return let(sizes, lambda x: F.when((x["a"] >= 6) & (x["b"] >= 2), x["b"] / x["a"]))
 
 
+def is_anomalous(ratio: Column) -> Column:
+    return F.coalesce((ratio < 0.35) | (ratio > 2.8), F.lit(False))
+
+
 def length_anomaly(src: Column, tgt: Column) -> Column:
-    return F.coalesce(let(length_ratio(src, tgt), lambda r: (r < 0.35) | (r > 2.8)), F.lit(False))
+    return let(length_ratio(src, tgt), is_anomalous)
 
 
 def fold(text: Column) -> Column:
@@ -148,8 +181,9 @@ def warnings(src: Column, tgt: Column, src_lang: Column, tgt_lang: Column) -> Co
     """Array of struct(rule, severity, message) for a pair of plain texts."""
     warn = lambda rule, message: F.struct(F.lit(rule).alias("rule"), F.lit("WARN").alias("severity"), message.alias("message"))
     script = lambda lang: F.concat(F.lit("Letters of another script than that of "), lang)
+    ratio = let(length_ratio(src, tgt), lambda r: F.when(is_anomalous(r), warn("length_anomaly", F.format_string("Target is %.2f times as long as source", r))))
     return F.array_compact(F.array(
-        F.when(length_anomaly(src, tgt), warn("length_anomaly", F.format_string("Target is %.2f times as long as source", length_ratio(src, tgt)))),
+        ratio,
         F.when(lang_mismatch(src, src_lang), warn("lang_mismatch_source", script(src_lang))),
         F.when(lang_mismatch(tgt, tgt_lang), warn("lang_mismatch_target", script(tgt_lang))),
         F.when(is_identical(src, tgt, src_lang, tgt_lang), warn("identical_source_target", F.lit("Source and target are the same text"))),
