@@ -116,7 +116,7 @@ def test_shares_of_tail_words_sum_to_one(monkeypatch):
     h, n = np.array([10, 12, 14, 11, 13, 16, 15]), np.array([2, 2, 1, 2, 1, 0, 0])
     counts = np.array([[2, 0], [1, 1], [0, 1], [1, 1], [0, 1], [0, 0], [0, 0]])
     even = h % 2 == 0
-    shares = hmm.Tail(lex, np.array([counts[even].sum(0), counts[~even].sum(0)])).shares(h, n, counts)
+    shares = hmm.Tail(lex, np.array([counts[even].sum(0), counts[~even].sum(0)])).shares(hmm.class_of(h), n, counts)
     assert np.allclose(shares[even].sum(0), 1) and np.allclose(shares[~even].sum(0), 1)
 
 
@@ -161,6 +161,19 @@ def test_common_words_come_in_order_of_count(spark, most):
     assert all(dict(zip(h, n, strict=True))[a] == b for a, b in zip(got_h, got_n, strict=True))
 
 
+def test_numbers_of_words_are_dense_and_in_order():
+    rng = np.random.default_rng(3)
+    numbers, have = hmm.Numbers(4), {}
+    for size in (0, 1, 50, 400, 3):
+        h = rng.integers(1, 300, size).astype(np.uint64)
+        got, new = numbers.of(h)
+        want = []
+        for x in h.tolist():
+            want.append(have.setdefault(x, len(have)))
+        assert got.tolist() == want and len(set(h[new].tolist())) == len(new)
+    assert numbers.size == len(have)
+
+
 def test_language_model_of_words_that_all_occur_once(spark):
     d = spark.createDataFrame([(k, " ".join(f"v{k}x{j}" for j in range(50))) for k in range(20)], "doc_id long, text string")
     got = hmm.score(d, F.col("doc_id") > 17, states=2, rounds=2, emitted=100).collect()

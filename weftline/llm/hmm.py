@@ -15,8 +15,9 @@ product of a piece's transitions and emissions, a small matrix, carries the forw
 backward messages over it exactly. Expected counts and likelihoods are those of the scaled
 recursions over whole texts.
 
-To be scored, texts stand in blocks of about ``BLOCK`` tokens: the tail words of a block, once
-each, meet their counts in a join, and each block is read with its own words.
+Texts stand in blocks of about ``BLOCK`` tokens, each read by one task, which numbers the
+block's tail words as they first occur. To be scored, these words, once a block each, meet
+their counts in a join, and each block is read with its own words by number.
 
 Defined results: a null or empty text is the end token alone; without training documents
 all counts are 0 and states are uniform; rows of equal text get equal scores, and repeated
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, held_out, lists, mapped, table, written
+from .common import binaries, held_out, lists, mapped, removed, table, written
 from .textkit import ASCII_SPACE, LOWER, HashIndex, chunks, find_words, mix, signed, word_hashes
 
 STATES = 8
@@ -41,7 +42,8 @@ PIECE = 64
 BLOCK = 1 << 21
 #: Added to every expected count.
 PRIOR = 0.05
-_UNIT = 1 << 16
+#: Counts are summed in these parts: of symbols and states; of the tail's words.
+_UNIT, _WORD_UNIT = 1 << 16, 1 << 8
 _FLUSH = 1 << 21
 #: Bytes of symbols (two a token) worked on at once.
 _SLICE = 1 << 19
@@ -149,10 +151,38 @@ def lexicon(counts: DataFrame, emitted: int) -> Lexicon:
     return Lexicon(h, n, total["e"] or 0, total["n"] or 0, total["v"], tokens, types)
 
 
+class Numbers:
+    """Numbers of a block's tail words, in order of their first occurrence."""
+
+    def __init__(self, bits: int = 16):
+        self.index, self.hashes = HashIndex(bits), [np.zeros(0, np.uint64)]
+        self.size = 0
+
+    def of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each word, and where in ``h`` those that are new stand."""
+        out = self.index.find(h).astype(np.int64)
+        miss = np.flatnonzero(out < 0)
+        if not len(miss):
+            return out, miss
+        new, first, which = np.unique(h[miss], return_index=True, return_inverse=True)
+        order = np.argsort(first)
+        rank = np.empty(len(new), np.int64)
+        rank[order] = np.arange(self.size, self.size + len(new))
+        out[miss] = rank[which]
+        if 2 * (self.size + len(new)) > len(self.index.keys):
+            self.index = HashIndex(int(4 * (self.size + len(new))).bit_length())
+            old = np.concatenate(self.hashes)
+            self.index.add(old, np.arange(len(old), dtype=np.int32))
+        self.index.add(new, rank.astype(np.int32))
+        self.hashes.append(new[order])
+        self.size += len(new)
+        return out, miss[first[order]]
+
+
 def encode(docs: DataFrame, lex) -> DataFrame:
-    """rid, doc_id, held_out, block, n_tokens, symbols (bytes of 16 bits each), tail (hashes of the words that are no symbols, in order)."""
+    """doc_id, held_out, block, n_tokens, symbols (bytes of 16 bits each), tail (hashes of the words that are no symbols, in order), numbers (theirs in the block; a word that the block has not had before has -1 less its number)."""
 
-    def run(batch, done=[0]):  # noqa: B006  tokens of the task so far
+    def run(batch, state=[None, 0, None]):  # noqa: B006  the task's block, tokens so far, the block's numbers
         m: Lexicon = lex.value
         rids = batch.column(0).to_numpy()
         for c in chunks(batch.column(3)):
@@ -166,16 +196,25 @@ def encode(docs: DataFrame, lex) -> DataFrame:
             place = np.ones(len(symbols), bool)
             place[ends - 1] = False
             symbols[place] = np.where(own, at + 1 + CLASSES, class_of(h))
-            block = (rids[c.first : c.first + c.rows] >> 33 << 24) + (done[0] + ends - tokens) // BLOCK
-            done[0] += int(ends[-1])
-            row = np.repeat(np.arange(c.rows), n)
+            block = (rids[c.first : c.first + c.rows] >> 33 << 24) + (state[1] + ends - tokens) // BLOCK
+            state[1] += int(ends[-1])
+            tail = np.flatnonzero(~own)
+            row = np.repeat(np.arange(c.rows), n)[tail]
+            numbers = np.zeros(len(tail), np.int64)
+            for k in np.unique(block):
+                if k != state[0]:
+                    state[0], state[2] = k, Numbers()
+                x, y = np.searchsorted(row, np.searchsorted(block, (k, k + 1)))
+                numbers[x:y], new = state[2].of(h[tail[x:y]])
+                numbers[x + new] = -1 - numbers[x + new]
+            counts = np.bincount(row, minlength=c.rows)
             yield {
-                **{name: batch.column(k)[c.first : c.first + c.rows] for k, name in enumerate(("rid", "doc_id", "held_out"))},
+                **{name: batch.column(k)[c.first : c.first + c.rows] for k, name in ((1, "doc_id"), (2, "held_out"))},
                 "block": block, "n_tokens": tokens, "symbols": binaries(symbols.view(np.uint8), (ends - tokens) * 2, ends * 2),
-                "tail": lists(signed(h[~own]), np.bincount(row[~own], minlength=c.rows), pa.int64()),
+                "tail": lists(signed(h[tail]), counts, pa.int64()), "numbers": lists(numbers.astype(np.int32), counts, pa.int32()),
             }
 
-    return mapped(docs.select("rid", "doc_id", "held_out", "text"), run, "rid long, doc_id long, held_out boolean, block long, n_tokens long, symbols binary, tail array<long>")
+    return mapped(docs.select("rid", "doc_id", "held_out", "text"), run, "doc_id long, held_out boolean, block long, n_tokens long, symbols binary, tail array<long>, numbers array<int>")
 
 
 class Model:
@@ -297,9 +336,9 @@ class Tail:
         self.totals, self.weight = totals, lex.class_types + 1
         self.n = lex.class_tokens + lex.class_types + 1
 
-    def shares(self, h: np.ndarray, n: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """(words, states): of words with these counts, in all and by state, within their classes."""
-        c = class_of(h) - 1
+    def shares(self, classes: np.ndarray, n: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """(words, states): of words of these classes (as symbols) with these counts, in all and by state, within their classes."""
+        c = classes - 1
         weight = self.weight[c][:, None]
         return (counts + weight * ((n + 1) / self.n[c])[:, None]) / (self.totals[c] + weight)
 
@@ -311,7 +350,7 @@ def improve(encoded: DataFrame, model: Model, by_word: bool) -> tuple[Model, np.
     names = [f"s{k}" for k in range(states)]
 
     def sums(kind: bool, which: np.ndarray, n: np.ndarray, values: np.ndarray):
-        values = np.rint(values * _UNIT).astype(np.int64)
+        values = np.rint(values * (_WORD_UNIT if kind else _UNIT)).astype(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(which), kind)), pa.array(which.astype(np.int64)), pa.array(n.astype(np.int64)), *(pa.array(values[:, k]) for k in range(states))], ["tail", "which", "n", *names])
 
     def run(batches):
@@ -358,7 +397,7 @@ def improve(encoded: DataFrame, model: Model, by_word: bool) -> tuple[Model, np.
         each = own.groupBy(class_of(F.col("h")).alias("c")).agg(*(F.sum(n).alias(n) for n in names)).toArrow()
         total[tail] = 0
         if each.num_rows:
-            total[each["c"].to_numpy()] = np.stack([each[n].to_numpy() for n in names], 1) / _UNIT
+            total[each["c"].to_numpy()] = np.stack([each[n].to_numpy() for n in names], 1) / _WORD_UNIT
     classes = total[tail].copy()
     total += PRIOR
     emit, move, start = total[:symbols], total[symbols : symbols + states], total[-1]
@@ -390,25 +429,28 @@ def score(docs: DataFrame, held: F.Column, id_col: str = "doc_id", text_col: str
     model, tail, learned = train(encoded, lex, counts, states, rounds)
     shared = context.broadcast((model, tail, lex))
     names = [f"s{k}" for k in range(states)]
+    if rounds:
+        removed(docs.sparkSession, counts)
     # the tail words of each block, once a block, with what is known of them
-    words = encoded.select(F.col("block").alias("block"), F.explode("tail").alias("h")).distinct().join(learned, "h", "left")
-    words = words.select("block", "h", *(F.coalesce(n, F.lit(0)).alias(n) for n in ("n", *names)))
+    each = encoded.select(F.col("block").alias("block"), F.explode(F.arrays_zip("tail", "numbers")).alias("x")).where("x.numbers < 0")
+    words = each.select("block", (-1 - F.col("x.numbers")).alias("number"), F.col("x.tail").alias("h")).join(learned, "h", "left")
+    words = words.select("block", "number", class_of(F.col("h")).alias("class"), *(F.coalesce(n, F.lit(0)).alias(n) for n in ("n", *names)))
     kept = ("doc_id", "held_out", "n_tokens")
 
     def forward(texts, words):
         m, t, lex = shared.value
-        h = words["h"].to_numpy()
-        order = np.argsort(h)
-        h, n = h[order], words["n"].to_numpy()[order]
-        counts = np.stack([words[k].to_numpy() for k in names], 1)[order] / _UNIT
-        own = Model(m.start, m.move, np.concatenate([m.emit, m.emit[class_of(h)] * t.shares(h, n, counts)]))
+        order = np.argsort(words["number"].to_numpy())
+        n, which = words["n"].to_numpy()[order], words["class"].to_numpy()[order]
+        counts = np.stack([words[k].to_numpy() for k in names], 1)[order] / _WORD_UNIT
+        own = Model(m.start, m.move, np.concatenate([m.emit, m.emit[which] * t.shares(which, n, counts)]))
         times = np.concatenate([[lex.ends], np.zeros(CLASSES, np.int64), lex.counts, n])  # in training, by symbol
         base = lex.base(times)
-        flat = texts["tail"].combine_chunks().flatten().to_numpy()
+        flat = texts["numbers"].combine_chunks().flatten().to_numpy().astype(np.int64)
+        flat = np.where(flat < 0, -1 - flat, flat) + len(m.emit)
         used, paths, bases, known = 0, [], [], []
         for _, ids, begins, sizes in _rows_of(texts["symbols"].combine_chunks()):
             some = np.flatnonzero(_is_tail(ids))
-            ids[some] = len(m.emit) + np.searchsorted(h, flat[used : used + len(some)])
+            ids[some] = flat[used : used + len(some)]
             used += len(some)
             paths.append(log_likelihoods(own, ids, begins, sizes))
             bases.append(np.add.reduceat(base[ids], begins))
@@ -418,7 +460,7 @@ def score(docs: DataFrame, held: F.Column, id_col: str = "doc_id", text_col: str
             out = out.append_column(name, pa.array(np.concatenate(parts)))
         return out
 
-    texts = encoded.select(*kept, "block", "symbols", "tail").groupBy("block")
+    texts = encoded.select(*kept, "block", "symbols", "numbers").groupBy("block")
     scored = texts.cogroup(words.groupBy("block")).applyInArrow(forward, "doc_id long, held_out boolean, n_tokens long, path double, base double, known long")
     return scored.select("doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(int(lex.tokens)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("path").alias("score"))
 
