@@ -203,6 +203,18 @@ def test_store_keeps_every_row_and_column_through_compaction(spark, odd, tmp_pat
     assert store.plan(1 << 20, 2) == []
 
 
+def test_runs_of_a_round_are_files_of_their_own(spark, tmp_path):
+    """Several runs merged by one job: each in its own file, within the target size."""
+    store = sharding.Store(spark, f"file://{tmp_path}/s")
+    store.append(spark.range(0, 4000, 1, 4).withColumn("x", F.sha2(F.col("id").cast("string"), 256)), rows=100)
+    runs = store.plan(target=40_000, fan_in=3, base=1 << 10)
+    assert len(runs) > 3
+    version = store.compact(target=40_000, fan_in=3, base=1 << 10)
+    shards = store.shards(version)
+    assert 3 < len(shards) < 20 and all(s.bytes <= 45_000 for s in shards)
+    assert sorted(r.id for r in store.read(version).collect()) == list(range(4000))
+
+
 def test_store_commits_atomically(spark, docs, tmp_path):
     store = sharding.Store(spark, f"file://{tmp_path}/s")
     base = store.manifest()

@@ -8,8 +8,8 @@ in order of arrival, and merges runs of at least FAN_IN of them into files of at
 target size, until no tier has such a run; every round commits one manifest. A reader
 opens one manifest and sees exactly its shards, whatever happens meanwhile.
 
-Merging never shuffles: a merged file is one task that reads its shards and writes them in
-order, and up to ``MERGES_AT_ONCE`` merges are one job. A commit writes the manifest under a
+Merging never shuffles: a merged file is one task that reads its shards one after the other
+(the larger ones first), and up to ``MERGES_AT_ONCE`` merges are one job. A commit writes the manifest under a
 name of its own and gives it the next number in one step that fails if the number is taken (a
 hard link on a local file system, elsewhere a rename, which HDFS refuses on an existing
 name; stores whose renames overwrite need one writer at a time); then it starts again from
@@ -180,11 +180,20 @@ class Store:
         return [r for r in out if len(r) >= fan_in or len(r) > 1 and sum(s.bytes for s in r) > target // 2]
 
     def _merge(self, runs: list[list[Shard]], schema: T.StructType) -> list[Shard]:
-        """A file of each run's shards, in order; one job, one task a file."""
-        folder = f"data/{uuid.uuid4().hex}"
-        parts = [self.spark.read.schema(schema).parquet(*(f"{self.folder}/{s.path}" for s in run)).coalesce(1) for run in runs]
-        reduce(DataFrame.unionAll, parts).write.parquet(f"{self.folder}/{folder}")
-        return [Shard(path, size, run[0].sequence) for (path, size), run in zip(self._files(folder), runs, strict=True)]
+        """A file of each run's shards; one job, one task a file. A run without rows gives no file."""
+        folder, name = f"data/{uuid.uuid4().hex}", "spark.sql.unionOutputPartitioning"
+        before = self.spark.conf.get(name, "true")
+        self.spark.conf.set(name, "false")  # else single partitions are united into one
+        try:
+            parts = [self.spark.read.schema(schema).parquet(*(f"{self.folder}/{s.path}" for s in run)).coalesce(1) for run in runs]
+            reduce(DataFrame.unionAll, parts).write.parquet(f"{self.folder}/{folder}")
+        finally:
+            self.spark.conf.set(name, before)
+        made = self._files(folder)
+        task = [int(path.rpartition("/")[2].split("-")[1]) for path, _ in made]  # part-<task>-...
+        if len(set(task)) < len(task) or any(k >= len(runs) for k in task):
+            raise RuntimeError(f"{folder}: not one file a run")
+        return [Shard(path, size, runs[k][0].sequence) for k, (path, size) in zip(task, made, strict=True)]
 
     def compact(self, target: int = TARGET_BYTES, fan_in: int = FAN_IN, base: int = TIER_BASE) -> int:
         """Rounds of merges until no tier has a run; gives the number of the last manifest."""
