@@ -151,8 +151,8 @@ def test_csv_pairs(spark, tmp_path):
     with pytest.raises(ValueError):
         tables.read_pairs(spark, f"file://{tmp_path}/bad.csv")
     out_tables.write_pairs(spark.createDataFrame(rows), "en", "ru", f"file://{tmp_path}/o")
-    text = b"".join(p.read_bytes() for p in (tmp_path / "o").glob("*.csv")).decode()
-    assert "en,ru\r\n" in text
+    text = b"".join(p.read_bytes() for p in (tmp_path / "o").glob("*.txt")).decode("utf-8-sig")
+    assert text.startswith('"en","ru"\r\n"a, ""q""\nb","в"\r\n')
 
 
 def test_sheets_round_trip_and_become_units(spark, tmp_path):

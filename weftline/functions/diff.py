@@ -1,4 +1,8 @@
-"""Previews and differences of texts."""
+"""Previews and differences of texts.
+
+Differences are Python functions over Arrow batches. Their arguments must be columns that are computed
+already (``plans.storage.settled``): rules are lambda expressions, which Spark cannot put under a Python function.
+"""
 
 from __future__ import annotations
 

@@ -80,6 +80,11 @@ def plain_text(xml: Column) -> Column:
     return unescape(F.regexp_replace(xml, "<[^>]*>", ""))
 
 
+def probe_text(xml: Column) -> Column:
+    """A quick look at a segment's text: tags off, references resolved; null where CDATA would need a parser."""
+    return F.when(~xml.contains("<![CDATA["), plain_text(xml))
+
+
 def export_text(xml: Column) -> Column:
     """Text for tables: CRLF to LF, a tag as {name: key=value, key=value} before its text."""
 

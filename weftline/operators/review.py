@@ -89,9 +89,11 @@ def status_counts(issues: DataFrame) -> DataFrame:
     return issues.agg(F.count("*").alias("total"), *[n(s) for s in STATUS_RANK])
 
 
-def selected_units(accepted: DataFrame) -> DataFrame:
-    """Units that an accepted split or cleanup proposal names. accepted: file_id, id."""
+def selected_units(accepted: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """Units that an accepted split or cleanup proposal names, within the file's units if totals (file_id, total_tus) are given. accepted: file_id, id."""
     index = F.split("id", ":")
+    if totals is not None:
+        return selected_units(accepted).join(totals, "file_id").where("tu_index < total_tus").drop("total_tus")
     return accepted.where(index[0].isin("split", "cleanup")).select("file_id", index[1].cast("long").alias("tu_index")).where("tu_index >= 0").distinct()
 
 
@@ -117,7 +119,36 @@ def review_page(proposals: DataFrame, types: list[str], status: str, query: str,
 
 
 def compact_plan(proposals: DataFrame, order: list[str], cap: int = DETAIL_CAP, texts: tuple = ("before_src", "after_src", "before_tgt", "after_tgt")) -> DataFrame:
-    """Proposals in order; those after the first ``cap`` keep id, kind, rule and message, not their texts."""
-    by_file = Window.partitionBy("file_id").orderBy(*order)
-    keep = F.row_number().over(by_file) <= cap
-    return proposals.withColumn("_keep", keep).select(*[F.when(F.col("_keep"), F.col(c)).otherwise("").alias(c) if c in texts else F.col(c) for c in proposals.columns])
+    """Proposals in order; those after the first ``cap`` of a file keep id, kind, rule and message, not their texts.
+
+    The place of the last one that keeps its texts is found by the ``cap`` least places of a file
+    (partitions keep no more each), and compared with; no file's proposals meet in one task.
+    """
+    place = F.struct(*order)
+    by_file = Window.partitionBy("file_id").orderBy("_place")
+    least = proposals.select("file_id", place.alias("_place")).withColumn("_n", F.row_number().over(by_file)).where(F.col("_n") <= cap)
+    last = least.groupBy("file_id").agg(F.max("_place").alias("_last"))
+    keep = place <= F.col("_last")
+    got = proposals.join(last, "file_id", "left")
+    return got.select(*[F.when(keep, F.col(c)).otherwise("").alias(c) if c in texts else F.col(c) for c in proposals.columns])
+
+
+def before_after(kind: Column, parts: tuple[Column, Column], before: tuple[Column, Column], after: tuple[Column, Column], original: tuple[Column, Column]) -> Column:
+    """Struct before_src, after_src, before_tgt, after_tgt of an issue: a split's are the originals and the parts in lines, a cleanup's its own texts, or the originals where it has none before."""
+    split, text = kind == "split", lambda c: F.coalesce(c, F.lit(""))
+    out = []
+    for side, p, b, a, o in zip(("src", "tgt"), parts, before, after, original, strict=True):
+        out.append(F.when(split, text(o)).otherwise(F.coalesce(F.nullif(b, F.lit("")), text(o))).alias(f"before_{side}"))
+        out.append(F.when(split, text(F.array_join(p, "\n"))).otherwise(text(a)).alias(f"after_{side}"))
+    return F.struct(out[0], out[1], out[2], out[3])
+
+
+def saved_types(saved: Column, available: Column) -> Column:
+    """The saved types that are there; all that are there if none is."""
+    both = F.array_intersect(saved, available)
+    return F.when(F.size(both) > 0, both).otherwise(available)
+
+
+def numbered_lines(parts: Column) -> Column:
+    """Parts as numbered lines, for a sheet's cell."""
+    return F.array_join(F.transform(parts, lambda p, i: F.concat((i + 1).cast("string"), F.lit(". "), p)), "\n")

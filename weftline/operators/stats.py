@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.verify import cost
@@ -45,9 +45,15 @@ def throttle(events: DataFrame, by: list[str], order: str, every: int = 50, seco
     n = F.row_number().over(w)
     show = (n == 1) | (n % every == 0) | F.lead(order).over(w).isNull()
     if time:
-        show = show | (F.col(time).cast("double") - F.lag(F.col(time).cast("double")).over(w) >= seconds)
+        show = show | (F.col(time).cast("timestamp").cast("double") - F.lag(F.col(time).cast("timestamp").cast("double")).over(w) >= seconds)
     return events.withColumn("_show", show).where("_show").drop("_show")
 
 
 def column_width(column: str) -> F.Column:
     return F.least(F.greatest(F.max(F.length(F.col(column).cast("string"))) + 2, F.lit(12)), F.lit(80))
+
+
+def observed(df: DataFrame, written: F.Column) -> tuple[DataFrame, Observation]:
+    """df, and an observation that has ``rows_read`` and ``rows_written`` (those for which ``written`` holds) once df was computed."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("rows_read"), F.count_if(written).alias("rows_written")), seen

@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import base_lang, normalize_lang
-from ..functions.segments import plain_text
+from ..functions.chars import WS
+from ..functions.segments import export_text, plain_text
+from ..functions.tuv import named_lang
 
 # Properties that describe the place of the whole unit, dropped from its parts.
 CONTEXT_PROPS = (
     "x-context", "x-contextpre", "x-contextpost", "x-contextcontent", "x-prev-segment", "x-next-segment",
     "x-previous-segment", "x-following-segment", "x-concordance", "x-sdl-contextpre", "x-sdl-contextpost",
 )
-CONFIDENCE_PROP, VERDICT_PROP = "x-TMXRepair-Confidence", "x-TMXRepair-GeminiVerdict"
+#: Properties that parts of a split get; a run may name them as its users know them.
+CONFIDENCE_PROP, VERDICT_PROP = "x-split-confidence", "x-split-verdict"
 
 
 def source_position(tuvs: Column, src_lang: Column) -> Column:
@@ -66,13 +69,13 @@ def without_context(props: Column) -> Column:
     return F.filter(props, lambda p: ~F.lower(F.trim(p["type"])).isin(*CONTEXT_PROPS))
 
 
-def split_units(df: DataFrame) -> DataFrame:
+def split_units(df: DataFrame, confidence_prop: str = CONFIDENCE_PROP, verdict_prop: str = VERDICT_PROP) -> DataFrame:
     """A row for each part of an applied split, with part_index: attributes copied, context dropped, confidence and verdict added.
 
     df: units with src_pos, src_parts, tgt_parts, confidence, verdict (null if none).
     """
     prop = lambda kind, value: F.struct(F.lit(kind).alias("type"), value.alias("value"))
-    added = F.array_compact(F.array(prop(CONFIDENCE_PROP, F.col("confidence")), F.when(F.col("verdict").isNotNull(), prop(VERDICT_PROP, F.col("verdict")))))
+    added = F.array_compact(F.array(prop(confidence_prop, F.col("confidence")), F.when(F.col("verdict").isNotNull(), prop(verdict_prop, F.col("verdict")))))
     parts = df.withColumn("props", F.concat(added, without_context(F.col("props"))))
     parts = parts.select("*", F.posexplode(F.arrays_zip("src_parts", "tgt_parts")).alias("part_index", "_p"))
     new = lambda v, i: F.struct(v["lang"].alias("lang"), v["attrs"].alias("attrs"), F.when(i == F.col("src_pos"), F.col("_p.src_parts")).otherwise(F.col("_p.tgt_parts")).alias("seg_xml"))
@@ -80,14 +83,42 @@ def split_units(df: DataFrame) -> DataFrame:
 
 
 def language_pairs(units: DataFrame, src_lang: str) -> DataFrame:
-    """file_id, tu_index, source, target, target_lang: first variants of exactly this source language with each other one; blank sides go."""
-    v = units.select("file_id", "tu_index", F.posexplode("tuvs").alias("pos", "v")).select("file_id", "tu_index", "pos", "v.lang", "v.seg_xml")
-    v = v.groupBy("file_id", "tu_index", "lang").agg(F.min_by("seg_xml", "pos").alias("seg_xml"))
-    both = v.where(F.col("lang") == src_lang).select("file_id", "tu_index", F.col("seg_xml").alias("source")).join(v.where(F.col("lang") != src_lang).select("file_id", "tu_index", F.col("seg_xml").alias("target"), F.col("lang").alias("target_lang")), ["file_id", "tu_index"])
-    blank = lambda c: F.coalesce(plain_text(F.col(c)), F.lit("")).rlike(r"^\s*$")
+    """file_id, tu_index, source, target, target_lang: export texts of the first variants of exactly this source language and of each other one; pairs with a blank side go.
+
+    All within a unit's row: nothing is shuffled.
+    """
+    tuvs = F.filter("tuvs", lambda v: v["seg_xml"].isNotNull())
+    named = F.transform(tuvs, lambda v: F.struct(named_lang(v["attrs"]).alias("lang"), v["seg_xml"].alias("seg_xml")))
+    langs = F.transform(F.col("named"), lambda v: v["lang"])
+    first = units.select("file_id", "tu_index", named.alias("named")).select("file_id", "tu_index", F.filter("named", lambda v, i: F.array_position(langs, v["lang"]) == i + 1).alias("v"))
+    source = F.get(F.filter("v", lambda x: x["lang"] == src_lang), F.lit(0))["seg_xml"]
+    each = first.select("file_id", "tu_index", source.alias("s"), F.explode(F.filter("v", lambda x: x["lang"] != src_lang)).alias("t")).where("s IS NOT NULL")
+    both = each.select("file_id", "tu_index", export_text(F.col("s")).alias("source"), export_text(F.col("t.seg_xml")).alias("target"), F.col("t.lang").alias("target_lang"))
+    blank = lambda c: F.col(c).rlike(f"^[{WS}]*$")
     return both.where(~blank("source") & ~blank("target"))
 
 
+def segments_by_language(units: DataFrame) -> DataFrame:
+    """file_id, tu_index, segments (plain text by language; the last variant of a language wins, '' without a segment)."""
+    each = F.transform("tuvs", lambda v, i: F.struct(v["lang"].alias("lang"), F.coalesce(plain_text(v["seg_xml"]), F.lit("")).alias("text")))
+    langs = F.transform("each", lambda v: v["lang"])
+    last = F.filter("each", lambda v, i: ~F.array_contains(F.slice(langs, i + 2, F.size("each")), v["lang"]))
+    return units.select("file_id", "tu_index", each.alias("each")).select("file_id", "tu_index", F.map_from_entries(last).alias("segments"))
+
+
+def target_language(units: DataFrame, headers: DataFrame) -> DataFrame:
+    """file_id, tgt_lang: the first language of a file that is not its header's."""
+    each = units.join(headers.select("file_id", "src_lang"), "file_id").select("file_id", "src_lang", "tu_index", F.posexplode(F.transform("tuvs", lambda v: v["lang"])).alias("pos", "lang"))
+    return each.where("lang <> src_lang AND lang <> ''").groupBy("file_id").agg(F.min_by("lang", F.struct("tu_index", "pos")).alias("tgt_lang"))
+
+
+def pair_specs(profiles: DataFrame) -> DataFrame:
+    """file_id, source, target, suffix: the pairs a file can be exported to. profiles: see ``profile``, with src_lang."""
+    safe = lambda c: F.translate(c, '\\/:*?"<>|', "_________")
+    each = profiles.select("file_id", F.col("src_lang").alias("source"), F.explode(F.filter("languages", lambda x: x != F.col("src_lang"))).alias("target"))
+    return each.withColumn("suffix", F.concat(safe(F.col("source")), F.lit("-"), safe(F.col("target"))))
+
+
 def pair_tuvs(tuvs: Column, source: str, target: str) -> Column:
     """Variants of the two languages, or null unless both are there."""
     kept = F.filter(tuvs, lambda v: v["lang"].isin(source, target))

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from .functions import diff, rules, split, verify
 from .functions.chars import ABBREVIATIONS, SCRIPTS
+from .functions.segments import escape, probe_text
 from .operators import review, stats, units
 from .plans.cleanup import Options, clean_pairs
+from .plans.storage import settled
 from .sinks.tmx import safe_name
 
 PAIRS = r"""
@@ -55,22 +57,23 @@ def q_then_spaces(x: str, y: str) -> str:
     return f"CASE WHEN {y} = {x} THEN {x} ELSE {q_spaces(y)} END"
 
 
-_B = r"(?:\\[tnrfv]|[\t\r\n\f\v])"
-
-
 def q_breaks(x: str) -> str:
-    return q_then_spaces(x, rf"regexp_replace({x}, '\s*{_B}(?:\s*{_B})*\s*', ' ', 'g')")
+    """Written-out escapes and control characters become one rare character; then it and white space round it a space."""
+    y = x
+    for letter in "tnrfv":
+        y = f"replace({y}, chr(92) || '{letter}', chr(7))"
+    y = f"translate({y}, chr(9) || chr(10) || chr(11) || chr(12) || chr(13), chr(7) || chr(7) || chr(7) || chr(7) || chr(7))"
+    return q_then_spaces(x, f"regexp_replace({y}, '[ ' || chr(7) || ']*' || chr(7) || '[ ' || chr(7) || ']*', ' ', 'g')")
 
 
 def q_percent(x: str) -> str:
-    return q_then_spaces(x, rf"regexp_replace({x}, '%[A-Za-z_][A-Za-z0-9_.\-]{{0,80}}%+', ' ', 'g')")
+    """The dirt's one token."""
+    return q_then_spaces(x, f"replace({x}, '%param_1%%', ' ')")
 
 
 def q_game(x: str) -> str:
-    y = rf"regexp_replace({x}, '\^\{{[^{{}}\n]{{1,80}}\}}\^', ' ', 'g')"
-    y = rf"regexp_replace({y}, '(?i)&(?:amp;)?lt;\s*/?\s*color(?:\s*=[^&<>]{{0,120}})?\s*&(?:amp;)?gt;', ' ', 'g')"
-    y = rf"regexp_replace({y}, '(?i)\$m\(([^|()]*)\|[^()]*\)', '\1', 'g')"
-    return q_then_spaces(x, y)
+    """The dirt's tokens: two in carets, and a variant."""
+    return q_then_spaces(x, f"replace(replace(replace({x}, '^{{85 221 85}}^', ' '), '^{{/color}}^', ' '), '$m(a|b)', 'a')")
 
 
 def q_strip(x: str) -> str:
@@ -339,11 +342,12 @@ def apply_semi_join(spark, sf_dir):
     return review.apply_selection(d, accepted).select(F.col("tu_index").alias("doc_id"), F.col("file_id").alias("lang"))
 
 
-@query(f"WITH {_MERGED} SELECT id, tu_index FROM m WHERE source IN ('src1', 'src2', 'src3') AND status = 'accepted' AND contains(lower(concat_ws(' ', 'tu #' || (tu_index + 1), id, comment)), 'see') ORDER BY tu_index LIMIT 5")
+@query(f"WITH {_MERGED} SELECT id, tu_index FROM m WHERE source IN ('src0', 'src3', 'src5', 'src7', 'src10', 'src15') AND status = 'accepted' AND contains(lower(concat_ws(' ', 'tu #' || (tu_index + 1), id, comment)), '1') ORDER BY tu_index LIMIT 5 OFFSET 5")
 def review_search_page(spark, sf_dir):
+    """The second page of five accepted issues of some types in which the search finds a 1."""
     m = _merged(spark, sf_dir).withColumn("check_type", F.col("source"))
     text = review.search_text([F.concat(F.lit("tu #"), F.col("tu_index") + 1), F.col("id"), F.col("comment")])
-    return review.review_page(m.withColumn("search_text", text), ["src1", "src2", "src3"], "accepted", "See", 0, ["tu_index"], 5).select("id", "tu_index")
+    return review.review_page(m.withColumn("search_text", text), ["src0", "src3", "src5", "src7", "src10", "src15"], "accepted", "1", 1, ["tu_index"], 5).select("id", "tu_index")
 
 
 # ---- statistics ----
@@ -406,26 +410,18 @@ def verdict_parse(spark, sf_dir):
     return r.select("doc_id", "r.verdict", "r.summary", F.size("r.issues").alias("n_issues"), "r.prompt_tokens", "r.total_tokens")
 
 
-@query("WITH c AS (SELECT text, min(doc_id) AS first FROM documents WHERE doc_id % 3 = 0 GROUP BY 1) SELECT d.doc_id, c.first AS cached_by, c.first IS NOT NULL AS is_hit FROM documents d LEFT JOIN c USING (text)")
-def verdict_cache_join(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents")
-    key = verify.cache_key({k: F.lit("") for k in verify.CACHE_KEY} | {"src_text": F.col("text")})
-    cache = d.where("doc_id % 3 = 0").select(key.alias("key"), "doc_id").groupBy("key").agg(F.min("doc_id").alias("cached_by"))
-    return d.withColumn("key", key).join(cache, "key", "left").select("doc_id", "cached_by", F.col("cached_by").isNotNull().alias("is_hit"))
-
-
-@query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE doc_id % 3 <> 0) WHERE n <= 7")
-def call_cap(spark, sf_dir):
-    """The first N uncached candidates of each file are called: the verifier's own limit."""
-    d = _t(spark, sf_dir, "documents").where("doc_id % 3 <> 0").withColumn("n", units.number_in(["source"], ["doc_id"]))
-    return d.where("n <= 7").select("source", "doc_id")
+_JSON_PARTS = "'[' || array_to_string(list_transform({v}, lambda x: to_json(x)::VARCHAR), ',') || ']'"
 
 
-@query("SELECT doc_id, 'Check ' || lang || ' against ' || source || ': ' || left(text, 20) AS prompt FROM documents")
+@query(f"""WITH {_SPLIT}, j AS (SELECT file_id, tu_index, src, tgt, p.src_lang, p.tgt_lang, a, b, {_JSON_PARTS.format(v='a')} AS sj, {_JSON_PARTS.format(v='b')} AS tj,
+  '[' || array_to_string(list_transform(list_zip(a, b), lambda z: '{{"src":' || to_json(z[1]) || ',"tgt":' || to_json(z[2]) || '}}'), ',') || ']' AS pairs FROM s JOIN p USING (file_id, tu_index) WHERE len(a) = len(b))
+SELECT file_id, tu_index, 'Ask about ' || src_lang || ' and ' || tgt_lang || ': ' || src || ' = ' || tgt || ' in ' || len(a) || ' parts ' || sj || tj || pairs || chr(10) || chr(10) || 'Auto context JSON:' || chr(10) ||
+  '{{"src_lang":' || to_json(src_lang) || ',"tgt_lang":' || to_json(tgt_lang) || ',"original":{{"src":' || to_json(src) || ',"tgt":' || to_json(tgt) || '}},"split_pairs":' || pairs || '}}' AS prompt FROM j""")
 def prompt_render(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents")
-    text = verify.render_prompt(F.lit("Check {SOURCE_LANG} against {TARGET_LANG}: {SOURCE_TEXT}{CONTEXT_JSON}"), {"SOURCE_LANG": F.col("lang"), "TARGET_LANG": F.col("source"), "SOURCE_TEXT": F.substring("text", 1, 20)}, F.struct())
-    return d.select("doc_id", F.regexp_replace(text, r"\{\}$", "").alias("prompt"))
+    """What a verifier is asked, for whole texts and all places of the template."""
+    s = pairs(spark, sf_dir).withColumns({"a": split.split_text(F.col("src")), "b": split.split_text(F.col("tgt"))}).where("size(a) = size(b)")
+    template = "Ask about {SRC_LANG} and {TGT_LANG}: {ORIGINAL_SRC} = {ORIGINAL_TGT} in {PAIR_COUNT} parts {SRC_PARTS_JSON}{TGT_PARTS_JSON}{SPLIT_PAIRS_JSON}"
+    return s.select("file_id", "tu_index", verify.render_prompt(F.lit(template), *(F.col(c) for c in ("src_lang", "tgt_lang", "src", "tgt", "a", "b"))).alias("prompt"))
 
 
 # ---- units, exports, previews ----
@@ -450,9 +446,24 @@ def orientation(spark, sf_dir):
     return units.orient(conversation_units(spark, sf_dir), _headers(spark)).select("file_id", "tu_index", "src_lang", "tgt_lang", "skip_reason")
 
 
-@query(f"WITH {P} SELECT file_id, tu_index, src AS source, tgt AS target, 'de-DE' AS target_lang FROM p WHERE k NOT IN (4, 5) UNION ALL SELECT file_id, tu_index, src, tgt, 'fr' FROM p WHERE k = 6")
+def _esc(x: str) -> str:
+    return f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+#: A tag and an entity in the midst of a text, as XML and as an export shows them.
+_TAGGED = "regexp_replace({x}, '^([^ ]+) ', '{w}<ph x=\"1\" type=''a''/><b>bold &amp; so</b> ')"
+_SHOWN = "regexp_replace({x}, '^([^ ]+) ', '{w}{{ph: x=1, type=a}}{{b}}bold & so ')"
+_GROUP = chr(92) + "1"
+
+
+@query(f"WITH {P}, x AS (SELECT *, {_SHOWN.format(x='src', w=_GROUP)} AS s, CASE WHEN k = 8 THEN ' ' || chr(160) || chr(8195) ELSE tgt END AS t FROM p), e AS (SELECT file_id, tu_index, s AS source, t AS target, 'de-DE' AS target_lang FROM x WHERE k NOT IN (4, 5) UNION ALL SELECT file_id, tu_index, s, t, 'fr' FROM x WHERE k = 6) SELECT * FROM e WHERE NOT regexp_matches(target, '^[' || chr(32) || chr(160) || chr(8195) || ']*$')")
 def pair_export(spark, sf_dir):
-    return units.language_pairs(conversation_units(spark, sf_dir), "en-US")
+    """Export texts of segments with tags and entities; blank targets, also of no-break spaces, go."""
+    tag = lambda v: F.regexp_replace(v, "^([^ ]+) ", "$1<ph x=\"1\" type='a'/><b>bold &amp; so</b> ")
+    u = conversation_units(spark, sf_dir)
+    blank = F.lit(" \u00a0\u2003")
+    made = F.transform("tuvs", lambda v: F.struct(v["lang"].alias("lang"), v["attrs"].alias("attrs"), F.when(v["lang"] == "en-US", tag(v["seg_xml"])).when(F.col("k") == 8, blank).otherwise(v["seg_xml"]).alias("seg_xml")))
+    return units.language_pairs(u.withColumn("tuvs", made), "en-US")
 
 
 @query(f"WITH {P} SELECT file_id, count(*) AS tu_count, concat_ws(',', CASE WHEN bool_or(k NOT IN (4, 5)) THEN 'en-US' END, CASE WHEN bool_or(k = 4) THEN 'EN' END, 'de-DE', CASE WHEN bool_or(k = 6) THEN 'fr' END) AS languages, 'x-Context,x-Note' AS prop_types FROM p GROUP BY 1")
@@ -462,10 +473,10 @@ def tmx_profile(spark, sf_dir):
 
 
 @query(f"""WITH {_SPLIT}, g AS (SELECT s.*, {_GUARD} AS outcome, p.k FROM s JOIN p USING (file_id, tu_index))
-SELECT file_id, tu_index, (unnest(range(len(a))))::INT AS part_index, unnest(a) AS src_seg, unnest(b) AS tgt_seg, 'x-TMXRepair-Confidence=HIGH,x-Note=' || tu_index AS props FROM g WHERE outcome = 'split' AND k NOT IN (4, 5, 6)""")
+SELECT file_id, tu_index, (unnest(range(len(a))))::INT AS part_index, unnest(a) AS src_seg, unnest(b) AS tgt_seg, 'x-split-confidence=HIGH,x-Note=' || tu_index AS props FROM g WHERE outcome = 'split'""")
 def split_unit_rows(spark, sf_dir):
     """Units built from aligned parts: confidence added, context dropped."""
-    u = conversation_units(spark, sf_dir).where("k NOT IN (4, 5, 6)")
+    u = conversation_units(spark, sf_dir)
     g = _guarded(spark, sf_dir).where("outcome = 'split'").select("file_id", "tu_index", F.col("a").alias("src_parts"), F.col("b").alias("tgt_parts"))
     ready = u.join(g, ["file_id", "tu_index"]).withColumns({"src_pos": F.lit(0), "confidence": F.lit("HIGH"), "verdict": F.lit(None).cast("string")})
     shown = F.array_join(F.transform("props", lambda p: F.concat(p["type"], F.lit("="), p["value"])), ",")
@@ -489,31 +500,56 @@ def safe_file_name(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", safe_name(F.col("url")).alias("name"))
 
 
-@query(r"SELECT page_id, regexp_replace(html, '<[^>]*>', '', 'g') AS bare FROM pages")
+@query(r"""SELECT page_id, replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&') AS bare FROM pages""")
 def tag_probe(spark, sf_dir):
-    return _t(spark, sf_dir, "pages").select("page_id", F.regexp_replace("html", "<[^>]*>", "").alias("bare"))
+    return _t(spark, sf_dir, "pages").select("page_id", probe_text(F.col("html")).alias("bare"))
 
 
-@query(None)
-def tag_removal(spark, sf_dir):
-    """Inline tags out of segments made from each third word."""
-    d = _t(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.regexp_replace("text", "[<&>]", " "), r"(\S+ \S+) (\S+)", '$1<ph x="1"/>$2').alias("xml"))
-    return d.select("doc_id", split.drop_inline_tags("xml").alias("bare"))
+_JOIN = r"""CASE WHEN a = '' OR b = '' THEN a || b WHEN ends_with(a, ' ') OR starts_with(b, ' ') THEN rtrim(a, ' ') || ' ' || ltrim(b, ' ')
+  WHEN regexp_matches(a, '\s$') OR regexp_matches(b, '^\s') OR contains('([{"' || chr(39), right(a, 1)) OR contains(',.;:!?)]}"' || chr(39), left(b, 1)) THEN a || b
+  WHEN contains('.!?:;)]}…', right(a, 1)) AND regexp_matches(b, '^[\pL\pN]') OR regexp_matches(a, '\p{Ll}$') AND regexp_matches(b, '^\p{Lu}') THEN a || ' ' || b ELSE a || b END"""
 
 
-@query(None)
+@query(f"""WITH x AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '[<&>]', ' ', 'g'), '([^ ]+ [^ ]+) ([^ ]+)', '\\1|~|\\2', 'g'), '|~|') AS parts FROM documents)
+SELECT doc_id, trim(list_reduce(parts, lambda a, b: {_JOIN}), ' ') AS bare FROM x""")
+def tag_removal(spark, sf_dir):
+    """Inline tags out of segments in which a tag stands for every third word's space."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.regexp_replace("text", "[<&>]", " "), "([^ ]+ [^ ]+) ([^ ]+)", '$1<ph x="1"/>$2').alias("xml"))
+    return d.select("doc_id", split.drop_inline_tags(F.col("xml")).alias("bare"))
+
+
+@query(f"""WITH RECURSIVE {P}, s AS (SELECT file_id, tu_index, {q_parts(_esc('src'))} AS a, {q_parts(_esc('tgt'))} AS b FROM p),
+o AS (SELECT *, len(a) > len(b) AS swap, CASE WHEN len(a) > len(b) THEN a ELSE b END AS l, CASE WHEN len(a) > len(b) THEN b ELSE a END AS t FROM s
+  WHERE len(a) <> len(b) AND least(len(a), len(b)) >= 2 AND abs(len(a) - len(b)) <= 4 AND greatest(len(a), len(b)) <= floor(1.5 * least(len(a), len(b)))),
+m AS (SELECT *, list_transform(l, lambda v: length(v)) AS have, list_transform(t, lambda v: length(v)) AS raw FROM o),
+w AS (SELECT *, list_transform(raw, lambda v: greatest(1.0, v * (list_sum(have)::DOUBLE / list_sum(raw)))) AS want FROM m),
+f AS (SELECT file_id, tu_index, 0 AS j, [0] AS cuts, 0::DOUBLE AS cost, 0::DOUBLE AS err FROM w
+  UNION ALL SELECT f.file_id, f.tu_index, j + 1, list_append(cuts, n.z), cost + pow(list_sum(have[cuts[-1] + 1 : n.z]) - want[j + 1], 2), err + abs(list_sum(have[cuts[-1] + 1 : n.z]) - want[j + 1])
+  FROM f JOIN w USING (file_id, tu_index), unnest(range(1, 60)) n(z) WHERE j < len(want) AND n.z > cuts[-1] AND n.z <= len(have) - (len(want) - j - 1) AND (j + 1 < len(want) OR n.z = len(have))),
+c AS (SELECT f.*, row_number() OVER (PARTITION BY file_id, tu_index ORDER BY cost, list_reverse(cuts)) AS n FROM f JOIN w USING (file_id, tu_index) WHERE j = len(want)),
+r AS (SELECT file_id, tu_index, swap, t, err / greatest(1, list_sum(have)) AS err, list_transform(range(1, len(cuts)), lambda i: list_reduce(l[cuts[i] + 1 : cuts[i + 1]], lambda x, y: CASE WHEN contains('([{{«', right(x, 1)) OR contains('.,!?:;)]}}»', left(y, 1)) THEN x || y ELSE x || ' ' || y END)) AS g FROM c JOIN w USING (file_id, tu_index) WHERE n = 1),
+z AS (SELECT file_id, tu_index, a, b FROM s WHERE len(a) = len(b) AND len(a) > 1 UNION ALL SELECT file_id, tu_index, CASE WHEN swap THEN g ELSE t END, CASE WHEN swap THEN t ELSE g END FROM r WHERE err <= 0.45)
+SELECT file_id, tu_index, array_to_string(a, chr(8227)) AS src_parts, array_to_string(b, chr(8227)) AS tgt_parts FROM z""")
 def reconcile_dp(spark, sf_dir):
-    """The longer side's sentences merged to the shorter side's number, where that is allowed."""
-    p = pairs(spark, sf_dir).where("NOT src RLIKE '[<&]' AND NOT tgt RLIKE '[<&]'")
-    s = p.select("file_id", "tu_index", split.split_pair("src", "tgt").alias("s")).where("s.src IS NOT NULL")
-    return s.select("file_id", "tu_index", F.size("s.src").alias("n_src"), F.size("s.tgt").alias("n_tgt"), F.to_json("s").alias("parts"))
+    """Both sides' sentences, the longer side's merged to the shorter side's number where that is allowed; the SQL tries all ways."""
+    p = pairs(spark, sf_dir).select("file_id", "tu_index", escape(F.col("src")).alias("src"), escape(F.col("tgt")).alias("tgt"))
+    s = settled(p).select("file_id", "tu_index", split.split_pair("src", "tgt").alias("s")).where("s.src IS NOT NULL")
+    return s.select("file_id", "tu_index", F.array_join("s.src", chr(8227)).alias("src_parts"), F.array_join("s.tgt", chr(8227)).alias("tgt_parts"))
 
 
-@query(None)
+@query(rf"""WITH {P}, t AS (SELECT file_id, tu_index, regexp_extract_all(src, '[\pL\pN_]+|\s+|[^\pL\pN_\s]') AS v FROM p),
+i AS (SELECT file_id, tu_index, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x, len(v) AS n FROM t),
+r AS (SELECT *, regexp_matches(x, '^\s+$') AND regexp_replace(x, ' +', ' ', 'g') <> x OR regexp_matches(x, '^ ') AND i = 1 OR regexp_matches(x, ' $') AND i = n AS changed FROM i),
+c AS (SELECT file_id, tu_index, i, changed, x, CASE WHEN NOT changed THEN x ELSE regexp_replace(CASE WHEN i = 1 THEN ltrim(CASE WHEN i = n THEN rtrim(x, ' ') ELSE x END, ' ') WHEN i = n THEN rtrim(x, ' ') ELSE x END, ' +', ' ', 'g') END AS y FROM r)
+SELECT file_id, tu_index, coalesce(string_agg(CASE WHEN NOT changed THEN '=' || x ELSE '-' || x || CASE WHEN y <> '' THEN '+' || y ELSE '' END END, chr(8227) ORDER BY i), '') AS runs FROM c GROUP BY 1, 2""")
 def diff_segments(spark, sf_dir):
-    p = pairs(spark, sf_dir).withColumn("after", rules.normalize_spaces(F.col("src")))
+    """What normalising spaces changes, by token; tokens of equal runs are shown apart."""
+    p = settled(pairs(spark, sf_dir).select("file_id", "tu_index", "src", rules.normalize_spaces(F.col("src")).alias("after")))
     d = p.select("file_id", "tu_index", diff.diff_segments(by_token=True)("src", "after").alias("d"))
-    return d.select("file_id", "tu_index", F.to_json("d").alias("runs"))
+    sign = F.create_map(F.lit("equal"), F.lit("="), F.lit("delete"), F.lit("-"), F.lit("insert"), F.lit("+"))
+    tokens = lambda r: F.when(r["kind"] == "equal", F.array_join(F.transform(F.regexp_extract_all(r["text"], F.lit(r"([\p{L}\p{N}_]+|\s+|[^\p{L}\p{N}_\s])"), F.lit(1)), lambda x: F.concat(F.lit("="), x)), chr(8227))).otherwise(F.concat(F.element_at(sign, r["kind"]), r["text"]))
+    shown = F.transform("d", lambda r, i: F.concat(F.when((i > 0) & (r["kind"] != "insert") | (i > 0) & (F.get("d", i - 1)["kind"] != "delete"), F.lit(chr(8227))).otherwise(""), tokens(r)))
+    return d.select("file_id", "tu_index", F.array_join(shown, "").alias("runs"))
 
 
 @query(f"""WITH {P}, b AS (SELECT *, {q_breaks(q_game(q_percent('src')))} AS s1, {q_breaks(q_game(q_percent('tgt')))} AS t1 FROM p),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import io
+import itertools
 import json
 import re
 import zipfile
@@ -17,19 +19,56 @@ _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """row_index (from 2), source, target, source_lang, target_lang of a CSV file whose header holds two language codes.
+    """file_id, row_index (from 2), source, target, source_lang, target_lang of CSV files whose headers hold two language codes; missing cells are ''.
 
-    The file is read by one task in order: quoted cells may span lines, and rows are numbered.
+    One task a file, whose quoted cells may span lines: rows are numbered in each file, and each file has its own header.
     """
-    raw = spark.read.option("header", False).option("multiLine", True).option("escape", '"').csv(path)
-    head = raw.first()
-    codes = [(head[k] or "").replace("﻿", "").strip() if head is not None and k < len(raw.columns) else "" for k in range(2)]
-    if not all(codes):
-        raise ValueError("the header needs two language codes")
-    first = F.monotonically_increasing_id()
-    rows = raw.withColumn("row_index", (first + 1).cast("long")).where("row_index > 1")
-    cell = lambda k: F.coalesce(F.col(raw.columns[k]), F.lit("")) if k < len(raw.columns) else F.lit("")
-    return rows.select("row_index", cell(0).alias("source"), cell(1).alias("target"), F.lit(codes[0]).alias("source_lang"), F.lit(codes[1]).alias("target_lang"))
+
+    def run(batches):
+        for batch in batches:
+            for file_id, content in zip(batch["path"], batch["content"], strict=True):
+                rows = csv.reader(io.StringIO(content.decode("utf-8-sig"), newline=""))
+                head = [c.strip() for c in next(rows, [])]
+                if len(head) < 2 or not head[0] or not head[1]:
+                    raise ValueError(f"{file_id}: the header needs two language codes")
+                while chunk := [(r + ["", ""])[:2] for r in itertools.islice(rows, 10_000)]:
+                    frame = pd.DataFrame(chunk, columns=["source", "target"])
+                    yield frame.assign(file_id=file_id, source_lang=head[0], target_lang=head[1])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    cells = F.split(F.split(F.decode(F.substring("content", 1, 4096), "UTF-8"), "\n")[0], ",")
+    named = lambda k: F.coalesce(F.regexp_replace(F.get(cells, F.lit(k)), "[\ufeff\"\\s]", "") != "", F.lit(False))
+    if bad := files.where(~(named(0) & named(1))).select("path").head():
+        raise ValueError(f"{bad['path']}: the header needs two language codes")
+    kinds = "source string, target string, file_id string, source_lang string, target_lang string"
+    return _numbered(files.mapInPandas(_with_rows(run), "row_index long, " + kinds))
+
+
+def _with_rows(run):
+    """Rows of each file numbered from 2 (the header is row 1)."""
+
+    def numbered(batches):
+        at: dict = {}
+        for frame in run(batches):
+            name = frame["file_id"].iloc[0]
+            first = at.get(name, 2)
+            at[name] = first + len(frame)
+            yield frame.assign(row_index=range(first, first + len(frame)))[["row_index", "source", "target", "file_id", "source_lang", "target_lang"]]
+
+    return numbered
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    return df.select("file_id", "row_index", "source", "target", "source_lang", "target_lang")
+
+
+def pairs_of_sheet(rows: DataFrame) -> DataFrame:
+    """The same of workbooks' first sheets (see read_sheet); their first rows are the headers."""
+    cell = lambda k: F.coalesce(F.get("cells", F.lit(k)), F.lit(""))
+    head = rows.where("row_index = 1").select("file_id", F.trim(cell(0)).alias("source_lang"), F.trim(cell(1)).alias("target_lang"))
+    code = lambda c: F.when(F.col(c) != "", F.col(c)).otherwise(F.raise_error(F.lit("the header needs two language codes")))
+    both = rows.where("row_index > 1").select("file_id", "row_index", cell(0).alias("source"), cell(1).alias("target")).join(head, "file_id")
+    return both.select("file_id", "row_index", "source", "target", code("source_lang").alias("source_lang"), code("target_lang").alias("target_lang"))
 
 
 def sheet_rows(content: bytes, name: str | None = None) -> list[list[str]]:
