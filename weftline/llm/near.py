@@ -230,8 +230,8 @@ WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_al
 t AS (SELECT min(r) AS k, words, count(*) AS copies FROM w WHERE len(words) > 0 GROUP BY words),
 g AS (SELECT DISTINCT k, array_to_string(words[i : i + 4], ' ') AS gram FROM (SELECT k, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM t)),
 n AS (SELECT k, count(*) AS n FROM g GROUP BY 1),
-p AS (SELECT a.k AS a, b.k AS b, count(*) AS both FROM g a JOIN g b ON a.gram = b.gram AND a.k <> b.k GROUP BY ALL),
-l AS (SELECT a, b FROM p JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE 5 * both >= 4 * (x.n + y.n - both)),
+p AS (SELECT a.k AS a, b.k AS b, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.k <> b.k GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE 5 * shared >= 4 * (x.n + y.n - shared)),
 reach AS (SELECT k AS a, k AS b FROM t UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
 c AS (SELECT a AS k, min(b) AS class FROM reach GROUP BY 1),
 d AS (SELECT l.a AS k, sum(t.copies) AS links FROM l JOIN t ON t.k = l.b GROUP BY 1),
