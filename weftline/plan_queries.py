@@ -131,8 +131,10 @@ SELECT d.file_id, d.tu_index, verdict, CASE WHEN verdict IS NULL THEN 'HIGH' ELS
 FROM d LEFT JOIN v ON d.a = v.a AND d.b = v.b AND d.s2 = v.s2 AND d.t2 = v.t2 AND d.tgt_lang = v.tgt_lang""")
 def repair_verified(spark, sf_dir):
     """Splits that a verifier judged: at most three distinct ones of a file are called, equal ones once."""
-    r = _run(spark, sf_dir, Settings(max_checks=3), verifier=_verifier)
-    return _even(r.units.where("src_parts IS NOT NULL"), r.units).select("file_id", "tu_index", "verdict", "confidence", "prompt_tokens", "pending", "outputs")
+    tu, headers = _read(spark, sf_dir)
+    even = _even(tu, repair(tu, headers, Settings(split=False)).units)
+    r = repair(even, headers, Settings(max_checks=3), verifier=_verifier)
+    return r.units.where("src_parts IS NOT NULL").select("file_id", "tu_index", "verdict", "confidence", "prompt_tokens", "pending", "outputs")
 
 
 @query(f"""WITH {_RUN.replace('FROM s),', f'FROM s WHERE {_EVEN}),')}, {_IDS}, y AS (SELECT DISTINCT file_id, tu_index FROM q WHERE kind = 'cleanup' AND rule = 'normalize_spaces' OR kind = 'split' AND tu_index % 2 = 0),
