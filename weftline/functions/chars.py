@@ -5,6 +5,8 @@ spaces, word characters are letters, numbers and the underscore.
 """
 
 WS = r"\t\n\x0B\f\r\x1C-\x1F \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+#: The same characters, as text.
+WHITE = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Letters with letter-like and other numbers; letters and all numbers.
 LETTER = r"\p{L}\p{Nl}\p{No}"
 ALNUM = r"\p{L}\p{N}"

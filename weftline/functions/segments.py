@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .chars import WS
+from .chars import WHITE, WS
 
 #: A tag, a run of text, or a stray bracket.
 _PART = r"(<[^>]+>|[^<]+|<)"
@@ -67,7 +67,7 @@ def escape(text: Column) -> Column:
 
 
 def strip_ws(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^[{WS}]+|[{WS}]+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def collapse_ws(text: Column) -> Column:
