@@ -151,6 +151,40 @@ def test_pieces_do_not_change_counts_or_likelihoods(monkeypatch, states):
         assert all(np.allclose(a, b) for a, b in zip(out[0], other, strict=True))
 
 
+def test_only_pieces_between_others_are_carried_as_matrices(monkeypatch):
+    """Messages over texts of one or two pieces take one row a token, not one a token and state."""
+    monkeypatch.setattr(hmm, "PIECE", 16)
+    rng = np.random.default_rng(8)
+    norm = lambda x, axis: x / x.sum(axis, keepdims=True)
+    model = hmm.Model(norm(rng.random(8), 0), norm(rng.random((8, 8)), 1), norm(rng.random((9, 8)), 0))
+    rows, matmul = [], np.matmul
+    monkeypatch.setattr(np, "matmul", lambda a, *rest, **named: (rows.append(a.size // 8), matmul(a, *rest, **named))[1])
+    for sizes, most in ((rng.integers(1, 33, 50), 1), (np.array([160]), 1 + 7 * 8 / 10)):
+        rows.clear()
+        hmm.Pieces(model, rng.integers(0, 9, sizes.sum()), np.cumsum(sizes) - sizes, sizes)
+        assert 0 < sum(rows) <= most * sizes.sum()
+
+
+def test_messages_of_improbable_tokens_stay_in_range(monkeypatch):
+    """Emissions of 1e-20, and states that hardly change: scaled often enough."""
+    rng = np.random.default_rng(9)
+    norm = lambda x, axis: x / x.sum(axis, keepdims=True)
+    model = hmm.Model(norm(rng.random(3), 0), norm(np.eye(3) + 1e-12, 1), rng.random((9, 3)) * 1e-20)
+    sizes = np.array([300, 64, 65, 1, 129])
+    symbols, begins = rng.integers(0, 9, sizes.sum()), np.cumsum(sizes) - sizes
+    want = []
+    for b, n in zip(begins, sizes, strict=True):
+        a, log = model.start * model.emit[symbols[b]], 0.0
+        for x in symbols[b + 1 : b + n]:
+            log += math.log10(a.sum())
+            a = a / a.sum() @ model.move * model.emit[x]
+        want.append(log + math.log10(a.sum()))
+    totals = np.zeros(3), np.zeros((3, 3)), np.zeros((9, 3))
+    p = hmm.Pieces(model, symbols, begins, sizes)
+    p.expect(totals)
+    assert np.allclose(p.logs, want, rtol=1e-12) and np.allclose([x.sum() for x in totals], [5, (sizes - 1).sum(), sizes.sum()])
+
+
 @pytest.mark.parametrize("most", [1, 3, 4, 6, 9, 100])
 def test_common_words_come_in_order_of_count(spark, most):
     n = [1000, 1001, 1002, 90, 90, 7, 7, 7, 1, 1]

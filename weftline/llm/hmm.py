@@ -12,8 +12,10 @@ words have the smoothing alone. So the probabilities of all texts sum to one.
 
 Texts are cut into pieces of ``PIECE`` tokens that are worked on in step, without loss: the
 product of a piece's transitions and emissions, a small matrix, carries the forward and
-backward messages over it exactly. Expected counts and likelihoods are those of the scaled
-recursions over whole texts.
+backward messages over it exactly. Only pieces between others need it: the forward message
+out of a text's first piece and the backward one into its last are vectors. Expected counts
+and likelihoods are those of the scaled recursions over whole texts; messages are scaled
+every ``LEVEL`` tokens, long before they leave the range of doubles.
 
 Texts stand in blocks of about ``BLOCK`` tokens, each read by one task, which numbers the
 block's tail words as they first occur. To be scored, these words, once a block each, meet
@@ -39,6 +41,7 @@ ROUNDS = 5
 EMITTED = 16_384
 CLASSES = 8192
 PIECE = 64
+LEVEL = 4
 BLOCK = 1 << 21
 #: Added to every expected count.
 PRIOR = 0.05
@@ -47,6 +50,8 @@ _UNIT, _WORD_UNIT = 1 << 16, 1 << 8
 _FLUSH = 1 << 21
 #: Bytes of symbols (two a token) worked on at once.
 _SLICE = 1 << 19
+#: Tokens whose weights are turned to stand by state at once.
+_TURN = 1 << 11
 _END = 0
 
 
@@ -234,6 +239,18 @@ def first_model(counts: np.ndarray, states: int) -> Model:
     return Model(np.full(states, 1 / states), move, emit / emit.sum(0))
 
 
+def _active(sizes: np.ndarray) -> np.ndarray:
+    """How many of these sizes, largest first, are greater than 0, 1, ..."""
+    return np.searchsorted(-sizes, -np.arange(sizes[0] if len(sizes) else 0), "left")
+
+
+def _level(x: np.ndarray, scale: np.ndarray) -> None:
+    """Divides each lane of x (rows, lanes, states) by its sum, whose log10 is added to scale."""
+    s = np.einsum("inj->n", x)
+    x /= s[:, None]
+    scale += np.log10(s)
+
+
 class Pieces:
     """Pieces of texts, longest first: where they begin, their sizes, and how they follow each other."""
 
@@ -245,7 +262,7 @@ class Pieces:
         size = np.minimum(PIECE, sizes[text] - number * PIECE)
         order = np.argsort(-size, kind="stable")
         self.begin, self.size, self.first = (begins[text] + number * PIECE)[order], size[order], number[order] == 0
-        self.active = np.searchsorted(-self.size, -np.arange(self.size[0]), "left")
+        self.active = _active(self.size)
         lane = np.empty(len(order), np.int64)
         lane[order] = np.arange(len(order))
         # lanes of the texts' pieces with number j, for texts with most pieces first
@@ -253,73 +270,110 @@ class Pieces:
         base = (np.cumsum(count) - count)[by]
         many = np.searchsorted(-count[by], -np.arange(count.max()), "left")
         self.texts, self.steps = by, [lane[base[:k] + j] for j, k in enumerate(many)]
-        self._carry()
-
-    def emitted(self, t: int) -> np.ndarray:
-        return self.model.emit[self.symbols[self.begin[: self.active[t]] + t]]
+        last = (number == count[text] - 1)[order]
+        self._carry(np.flatnonzero(self.first), np.flatnonzero(~self.first & ~last), np.flatnonzero(~self.first & last))
 
-    def _carry(self) -> None:
-        """before: the forward message that reaches each piece; after: the backward message at its end; logs: log10 of each text's probability."""
-        m, states = self.model, len(self.model.start)
-        over = np.broadcast_to(m.move, (len(self.begin), states, states)).copy()
-        over[self.first] = np.diag(m.start)  # rows stand for first states here
-        scale = np.zeros(len(self.begin))
+    def _emitted(self, places: np.ndarray) -> np.ndarray:
+        return self.model.emit.take(self.symbols.take(places), 0)
 
-        def level(k):
-            s = over[:k].sum((1, 2))
-            over[:k] /= s[:, None, None]
-            scale[:k] += np.log10(s)
-
-        for t, k in enumerate(self.active):
+    def _over(self, lanes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, lanes, states): what these rows, messages at the first token, become over each piece; log10 of its scale."""
+        m = self.model
+        out, scale = np.empty((len(rows), len(lanes), len(m.start))), np.zeros(len(lanes))
+        out[:] = rows[:, None]
+        moved = np.empty_like(out)
+        begin = self.begin[lanes]
+        for t, k in enumerate(_active(self.size[lanes])):
+            now = out[:, :k]
             if t:
-                np.matmul(over[:k].reshape(-1, states), m.move, out=over[:k].reshape(-1, states))
-            over[:k] *= self.emitted(t)[:, None, :]
-            if t % 4 == 3:
-                level(k)
-        level(len(over))
-        self.before, self.after = np.empty((len(over), states)), np.ones((len(over), states))
-        self.logs = np.zeros(len(self.texts))
-        a = np.ones((len(self.texts), states))
-        for lanes in self.steps:
-            k = len(lanes)
-            self.before[lanes] = a[:k]
-            a = np.einsum("ni,nij->nj", a[:k], over[lanes])
+                now = np.matmul(now, m.move, out=moved[:, :k])
+            np.multiply(now, self._emitted(begin[:k] + t), out=out[:, :k])
+            if t % LEVEL == LEVEL - 1:
+                _level(out[:, :k], scale[:k])
+        _level(out, scale)
+        return out, scale
+
+    def _back(self, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(lanes, states): the backward message before each piece that ends its text; log10 of its scale."""
+        back = np.ascontiguousarray(self.model.move.T)
+        out, scale = np.ones((len(lanes), len(back))), np.zeros(len(lanes))
+        begin, active = self.begin[lanes], _active(self.size[lanes])
+        for t in range(len(active) - 1, -1, -1):
+            k = active[t]
+            e = self._emitted(begin[:k] + t)
+            e *= out[:k]
+            np.matmul(e, back, out=out[:k])
+            if t % LEVEL == 0:
+                _level(out[None, :k], scale[:k])
+        return out, scale
+
+    def _carry(self, first: np.ndarray, inner: np.ndarray, last: np.ndarray) -> None:
+        """before: the forward message that reaches each piece but a text's first; after: the backward message at its end; logs: log10 of each text's probability."""
+        m = self.model
+        at = np.empty(len(self.begin), np.int64)
+        for lanes in (first, inner, last):
+            at[lanes] = np.arange(len(lanes))
+        (ahead, logs), (over, scale), (back, ending) = self._over(first, m.start[None]), self._over(inner, m.move), self._back(last)
+        self.before, self.after = np.empty((len(at), len(m.start))), np.ones((len(at), len(m.start)))
+        self.logs = np.empty(len(self.texts))
+        follow = [*(len(lanes) for lanes in self.steps[1:]), 0]  # of the pieces with number j, those that are not their texts' last
+        heads, k = at[self.steps[0]], follow[0]
+        a, logs = ahead[0, heads], logs[heads]
+        self.logs[self.texts[k:]] = logs[k:]
+        for j in range(1, len(self.steps)):
+            lanes, k = self.steps[j], follow[j]
+            a, logs = a[: len(lanes)], logs[: len(lanes)]
+            self.before[lanes] = a
+            end = at[lanes[k:]]
+            self.logs[self.texts[k : len(lanes)]] = logs[k:] + np.log10(np.einsum("ni,ni->n", a[k:], back[end])) + ending[end]
+            to = at[lanes[:k]]
+            a = np.einsum("ni,inj->nj", a[:k], over[:, to])
             s = a.sum(1)
             a /= s[:, None]
-            self.logs[self.texts[:k]] += np.log10(s) + scale[lanes]
+            logs = logs[:k] + np.log10(s) + scale[to]
         for j in range(len(self.steps) - 1, 0, -1):
-            lanes = self.steps[j]
-            b = np.einsum("nij,nj->ni", over[lanes], self.after[lanes])
+            lanes, k = self.steps[j], follow[j]
+            b = np.concatenate([np.einsum("inj,nj->ni", over[:, at[lanes[:k]]], self.after[lanes[:k]]), back[at[lanes[k:]]]])
             self.after[self.steps[j - 1][: len(lanes)]] = b / b.max(1)[:, None]
 
     def expect(self, totals) -> tuple[np.ndarray, np.ndarray]:
         """Adds expected counts to totals (start, move, emit). Gives the places of all tokens and their states' probabilities."""
         m = self.model
         start, move, emit = totals
-        alphas, scales, shown = [], [], []
-        for t, k in enumerate(self.active):
-            e = self.emitted(t)
-            a = (a[:k] @ m.move if t else np.where(self.first[:, None], m.start, self.before @ m.move)) * e
-            s = a.sum(1, keepdims=True)
-            a = a / s
-            alphas.append(a), scales.append(s), shown.append(e)
-        weights = [None] * len(alphas)
-        beta = np.zeros((0, len(m.start)))
-        for t in range(len(alphas) - 1, -1, -1):
-            j = len(beta)
-            right = shown[t + 1] * beta / scales[t + 1] if j else beta
-            move += m.move * (alphas[t][:j].T @ right)
-            end = self.after[j : self.active[t]]
-            end = end / (alphas[t][j:] * end).sum(1, keepdims=True)
-            beta = np.concatenate([right @ m.move.T, end])
-            weights[t] = alphas[t] * beta
-        start += weights[0][self.first].sum(0)
+        ends = np.cumsum(self.active)
+        of = [slice(end - k, end) for end, k in zip(ends, self.active, strict=True)]  # the tokens of each step
+        place = self.begin[np.arange(ends[-1]) - np.repeat(ends - self.active, self.active)] + np.repeat(np.arange(len(ends)), self.active)
+        which = self.symbols.take(place)
+        e = m.emit.take(which, 0)
+        weight, scales = np.empty_like(e), {}
+        np.multiply(np.where(self.first[:, None], m.start, self.before @ m.move), e[of[0]], out=weight[of[0]])
+        for t in range(1, len(of)):
+            a = np.matmul(weight[of[t - 1]][: self.active[t]], m.move, out=weight[of[t]])
+            a *= e[of[t]]
+            if t % LEVEL == 0:
+                scales[t] = a.sum(1, keepdims=True)
+                a /= scales[t]
+        back, beta, moves, j = np.ascontiguousarray(m.move.T), self.after.copy(), np.zeros_like(m.move), 0
+        for t in range(len(of) - 1, -1, -1):
+            k, a, right = self.active[t], weight[of[t]], e[of[t]]
+            beta[j:k] /= np.einsum("ni,ni->n", a[j:], beta[j:k])[:, None]
+            right *= beta[:k]
+            if t in scales:
+                right /= scales[t]
+            a *= beta[:k]
+            if t:
+                moves += weight[of[t - 1]][:k].T @ right
+                np.matmul(right, back, out=beta[:k])
+            j = k
+        start += weight[of[0]][self.first].sum(0)
         later = ~self.first
-        move += m.move * (self.before[later].T @ (shown[0] * beta / scales[0])[later])
-        place = np.concatenate([self.begin[:k] + t for t, k in enumerate(self.active)])
-        weight, which = np.concatenate(weights), self.symbols[place]
-        for s in range(weight.shape[1]):
-            emit[:, s] += np.bincount(which, weight[:, s], len(emit))
+        moves += self.before[later].T @ e[of[0]][later]
+        move += m.move * moves
+        by_state = np.empty(weight.shape[::-1])
+        for x in range(0, len(weight), _TURN):
+            by_state[:, x : x + _TURN] = weight[x : x + _TURN].T
+        for s, values in enumerate(by_state):
+            emit[:, s] += np.bincount(which, values, len(emit))
         return place, weight
 
 
