@@ -1,6 +1,9 @@
 """TMX in and out, the repair plan, review packages, verifier, statistics, streaming and the command line."""
 
+import csv
+import io
 import json
+import random
 import sys
 
 import pytest
@@ -155,6 +158,44 @@ def test_csv_pairs(spark, tmp_path):
     assert text.startswith('"en","ru"\r\n"a, ""q""\nb","в"\r\n')
 
 
+def test_csv_is_read_in_splits_as_a_parser_reads_it_whole(spark, tmp_path):
+    rng = random.Random(7)
+    csv.field_size_limit(sys.maxsize)
+    for k in range(6):
+        body = "".join(rng.choice('ab,,""\n\n\ré"') for _ in range(rng.randint(0, 300)))
+        (tmp_path / f"p {k}+%41.csv").write_text(("\ufeff" if k % 2 else "") + "en,ru\r\n" + body, encoding="utf-8", newline="")
+    (tmp_path / "p long.csv").write_text('en,ru\n"' + "x\n" * 200_000 + '",y\n' + 'a,"b\n"\n' * 60_000, encoding="utf-8", newline="")
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("50", "1m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            name = "p [0-9]*.csv" if size == "50" else "p *.csv"
+            df = tables.read_pairs(spark, f"file://{tmp_path}/{name}")
+            got = {(r.file_id, r.row_index): (r.source, r.target, r.source_lang, r.target_lang) for r in df.collect()}
+            want = {}
+            for p in tmp_path.glob(name):
+                rows = csv.reader(io.StringIO(p.read_bytes().decode("utf-8-sig"), newline=""))
+                next(rows)
+                want |= {(f"file:{p}", at): (*(r + ["", ""])[:2], "en", "ru") for at, r in enumerate(rows, 2)}
+            assert got == want
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+    (tmp_path / "empty.csv").write_bytes(b"\xef\xbb\xbf")
+    with pytest.raises(ValueError):
+        tables.read_pairs(spark, f"file://{tmp_path}/empty.csv")
+
+
+def test_csv_of_many_partitions_is_one_file_in_order(spark, tmp_path):
+    pairs = spark.range(1000, -1, -1, 7).select("id", F.concat(F.lit('s"'), "id").alias("source"), F.concat(F.lit("t\n"), "id").alias("target"))
+    out_tables.write_pairs(pairs.repartition(5).sort("id"), "e\"n", "ru", f"file://{tmp_path}/o", whole=True)
+    (one,) = (p for p in (tmp_path / "o").iterdir() if not p.name.startswith("."))
+    assert one.read_bytes().decode() == '\ufeff"e""n","ru"\r\n' + "".join(f'"s""{k}","t\n{k}"\r\n' for k in range(1001))
+    out_tables.write_pairs(pairs.where("id < 0"), "en", "ru", f"file://{tmp_path}/none", whole=True)
+    assert not list((tmp_path / "none").glob("*.txt"))
+
+
 def test_sheets_round_trip_and_become_units(spark, tmp_path):
     rows = [["Source", "Target", "Comment"], ["a <1>", "б", ""], ["", " ", ""], ["", "", "note\x01"]]
     (tmp_path / "s.xlsx").write_bytes(out_tables.workbook({"TMX": rows}))

@@ -241,10 +241,10 @@ _ORDERED = f"WITH {P}, e AS (SELECT file_id, row_number() OVER (PARTITION BY fil
 @query(f"{_ORDERED} SELECT file_id, row_index, source, target, 'en-US' AS source_lang, 'de-DE' AS target_lang FROM e")
 def csv_pairs(spark, sf_dir):
     """Pairs written as CSV with a byte order mark, CRLF lines and quoted breaks, a folder a file, and read back by file."""
-    p, path = pairs(spark, sf_dir), fresh_path(spark, "csv")
+    p, path = settled(pairs(spark, sf_dir)), fresh_path(spark, "csv")
     for name in ("f0", "f1", "f2"):
         one = p.where(F.col("file_id") == name).select(F.col("src").alias("source"), F.col("tgt").alias("target"), "tu_index")
-        out_tables.write_pairs(one.coalesce(1).sortWithinPartitions("tu_index"), "en-US", "de-DE", f"{path}/file={name}")
+        out_tables.write_pairs(one.orderBy("tu_index"), "en-US", "de-DE", f"{path}/file={name}", whole=True)
     return tables.read_pairs(spark, f"{path}/*/*.txt").withColumn("file_id", _name())
 
 

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from datetime import UTC, datetime
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.review import before_after, check_type, numbered_lines
@@ -26,15 +26,44 @@ REVIEW_COLUMNS = ("id", "type", "tu", "before", "after", "decision", "comment")
 DECISIONS = ("accept", "reject", "skip", "pending")
 
 
-def write_pairs(pairs: DataFrame, source_lang: str, target_lang: str, path: str) -> None:
-    """source, target as CSV with the languages as header: a byte order mark, quoted cells, CRLF after each row; breaks within cells stay as they are. A pair without rows gets no file."""
+def write_pairs(pairs: DataFrame, source_lang: str, target_lang: str, path: str, whole: bool = False) -> None:
+    """source, target as CSV with the languages as header: a byte order mark, quoted cells, CRLF after each row; breaks within cells stay as they are. A pair without rows gets no file.
+
+    ``whole``: one file, not one of each partition. Partitions (in order, see orderBy) are written apart and their bytes joined, so no task holds or sorts them all.
+    """
     cell = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
     line = lambda a, b: F.concat(cell(a), F.lit(","), cell(b), F.lit("\r"))
+    if whole:
+        pairs.select(line(F.col("source"), F.col("target")).alias("value")).write.option("lineSep", "\n").text(f"{path}/_parts")
+        quoted = ",".join('"' + c.replace('"', '""') + '"' for c in (source_lang, target_lang))
+        return _join_parts(pairs.sparkSession, path, f"\ufeff{quoted}\r\n".encode())
     first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0  # of a partition, which becomes a file
     head = F.when(first, F.concat(F.lit("\ufeff"), line(F.lit(source_lang), F.lit(target_lang)), F.lit("\n"))).otherwise("")
     pairs.select(F.concat(head, line(F.col("source"), F.col("target"))).alias("value")).write.option("lineSep", "\n").text(path)
 
 
+def _join_parts(spark: SparkSession, path: str, head: bytes) -> None:
+    """The files of ``path/_parts`` after ``head`` as one file below path, whole or not at all; their bytes pass through a buffer."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    fs = at("_parts").getFileSystem(conf)
+    found = [f.getPath() for f in fs.listStatus(at("_parts")) if f.getLen() and f.getPath().getName().startswith("part-")]
+    if found:
+        out = fs.create(at("_joined"), True)
+        try:
+            out.write(head)
+            for part in sorted(found, key=lambda p: (int(p.getName().split("-")[1]), p.getName())):
+                source = fs.open(part)
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 22, False)
+                finally:
+                    source.close()
+        finally:
+            out.close()
+        fs.rename(at("_joined"), at("part-00000.txt"))
+    fs.delete(at("_parts"), True)
+
+
 def pair_workbook(pairs: DataFrame, source_lang: str, target_lang: str, sheet: str = "Pairs") -> bytes:
     """source, target (in order of tu_index) as a workbook; more rows than a sheet holds are refused."""
     rows = rows_of(pairs.orderBy("tu_index").select("source", "target"))
