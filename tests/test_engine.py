@@ -233,6 +233,20 @@ def test_plan_details_are_capped(spark):
     assert [r.before_src for r in review.compact_plan(df, ["tu_index"], 2).orderBy("tu_index").collect()] == ["a", "a", "", "", ""]
 
 
+def test_plan_details_are_not_dealt_out_by_file(spark):
+    rows = [(file, k, "t" * 10) for file in ("f", None) for k in range(200)]
+    df = spark.createDataFrame(rows, "file_id string, tu_index long, before_src string").repartition(8)
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for c, v in zip(kept, ("-1", "false"), strict=True):
+            spark.conf.set(c, v)
+        got = review.compact_plan(df, ["tu_index"], 3, ("before_src",)).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+    assert len({r.part for r in got}) == 8 and sorted(((r.file_id or "", r.tu_index) for r in got if r.before_src)) == [(f, k) for f in ("", "f") for k in range(3)]
+
+
 def test_models_prompts_and_json(spark):
     models = spark.createDataFrame([("models/gemini-3.1-pro", ["generateContent"]), ("models/gemini-3-image", ["generateContent"]), ("models/gemini-2.5-pro", ["generateContent"]), ("models/gemini-3.0-a", ["generateContent"]), ("models/gemini-3.1-pro", ["generateContent"])], "name string, methods array<string>")
     assert [r.name for r in verify.pick_models(models).collect()] == ["gemini-3.1-pro", "gemini-3.0-a"]

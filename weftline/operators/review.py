@@ -122,14 +122,15 @@ def compact_plan(proposals: DataFrame, order: list[str], cap: int = DETAIL_CAP,
     """Proposals in order; those after the first ``cap`` of a file keep id, kind, rule and message, not their texts.
 
     The place of the last one that keeps its texts is found by the ``cap`` least places of a file
-    (partitions keep no more each), and compared with; no file's proposals meet in one task.
+    (partitions keep no more each), and compared with. Those places, one a file, are broadcast, so that
+    texts are not dealt out by file; no file's proposals meet in one task.
     """
     place = F.struct(*order)
     by_file = Window.partitionBy("file_id").orderBy("_place")
     least = proposals.select("file_id", place.alias("_place")).withColumn("_n", F.row_number().over(by_file)).where(F.col("_n") <= cap)
-    last = least.groupBy("file_id").agg(F.max("_place").alias("_last"))
+    last = least.groupBy(F.col("file_id").alias("_file")).agg(F.max("_place").alias("_last"))
     keep = place <= F.col("_last")
-    got = proposals.join(last, "file_id", "left")
+    got = proposals.join(F.broadcast(last), F.col("file_id").eqNullSafe(F.col("_file")), "left")
     return got.select(*[F.when(keep, F.col(c)).otherwise("").alias(c) if c in texts else F.col(c) for c in proposals.columns])
 
 
