@@ -1,9 +1,11 @@
 """Cleanup, garbage and warning rules on known pairs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.functions import rules, segments, split
+from weftline.functions import chars, rules, segments, split
 from weftline.plans.cleanup import Options, clean_pairs
 
 OFF = dict(normalize_spaces=False, remove_game_markup=False, remove_garbage_segments=False, emit_warnings=False)
@@ -91,3 +93,15 @@ def test_nulls_and_extra_columns(spark):
     df = spark.createDataFrame([(None, None, None, None, 1), ("", "", "", "", 2)], PAIR + ", warnings_of int")
     got = clean_pairs(df, Options(remove_line_breaks=True, remove_percent_wrapped_tokens=True, remove_inline_tags=True)).collect()
     assert got[1].remove_reason == "empty_source_or_target" and got[0].warnings_of == 1
+
+
+def test_script_histogram_counts_as_the_expressions_do_in_one_look_at_a_character(spark):
+    rng = random.Random(3)
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    rows = [(chr(c),) for c in [*range(1, 0x1200), *rng.sample(points, 5000)]] + [("".join(map(chr, rng.choices(points, k=60))),) for _ in range(50)] + [("",), (None,)]
+    df = spark.createDataFrame(rows, "t string")
+    classes = {"alpha": r"\p{L}", "digit": chars.DIGIT} | chars.SCRIPTS
+    got = df.select("t", rules.script_histogram(F.col("t")).alias("h"), F.struct(*(rules.count_of(F.col("t"), c).alias(n) for n, c in classes.items())).alias("w"))
+    assert [r for r in got.collect() if r.t is not None and r.h != r.w or r.t is None and any(x is not None for x in r.h)] == []
+    with_table = got.select("h")._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_replace" not in with_table

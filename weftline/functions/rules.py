@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -117,19 +124,47 @@ def has_at_least(text: Column, characters: str, n: int) -> Column:
     return text.rlike(f"(?:[{characters}][^{characters}]*+){{{n}}}")
 
 
-#: All that is beyond Latin script among the scripts that are counted.
-_BEYOND = "".join(c for name, c in SCRIPTS.items() if name != "latin")
+@lru_cache(1)
+def _kinds() -> bytes:
+    """For each code point which of the counted classes it is in, as the JVM's regular expressions tell: packed, since tasks get it."""
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    pattern = SparkContext._active_spark_context._jvm.java.util.regex.Pattern
+    table = np.zeros(0x110000, np.uint16)
+    for k, own in enumerate(_COUNTED.values()):
+        members = pattern.compile(f"[^{own}]+").matcher(every).replaceAll("")
+        table[np.frombuffer(members.encode("utf-32-le"), np.uint32)] |= 1 << k
+    return zlib.compress(table.tobytes())
 
 
-def script_histogram(text: Column) -> Column:
-    """Struct of counts: letters, digits and each tracked script. A text in Latin script is not looked through for the others."""
+@lru_cache(1)
+def _table(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each code point's set of classes, and the classes of each number."""
+    sets, which = np.unique(np.frombuffer(zlib.decompress(packed), np.uint16), return_inverse=True)
+    return which.astype(np.uint8), (sets[:, None] >> np.arange(len(_COUNTED)) & 1).astype(np.int64)
+
 
-    def counts(x):
-        other = x["other"]
-        own = [(count_of(x["t"], c) if name == "latin" else F.when(other == "", 0).otherwise(count_of(other, c))).alias(name) for name, c in SCRIPTS.items()]
-        return F.struct(count_of(x["t"], r"\p{L}").alias("alpha"), count_of(x["t"], DIGIT).alias("digit"), *own)
+#: What is counted: letters, digits and each script.
+_COUNTED = {"alpha": r"\p{L}", "digit": DIGIT} | SCRIPTS
 
-    return let(F.struct(text.alias("t"), F.regexp_replace(text, f"[^{_BEYOND}]+", "").alias("other")), counts)
+
+def script_histogram(text: Column) -> Column:
+    """Struct of counts: letters, digits and each tracked script. Characters are looked up in a table, each once."""
+    packed = _kinds()
+
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        number, classes = _table(packed)
+        for texts in batches:
+            counts = np.zeros((len(texts), len(_COUNTED)), np.int64)
+            missing = texts.isna().to_numpy()
+            for k, t in enumerate(texts):
+                if t:
+                    points = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+                    counts[k] = np.bincount(number[points], minlength=len(classes)) @ classes
+            frame = pd.DataFrame(counts, columns=list(_COUNTED)).astype("Int32")
+            frame[missing] = pd.NA
+            yield frame
+
+    return F.pandas_udf(count, ", ".join(f"{name} int" for name in _COUNTED))(text)
 
 
 def expected_script(lang: Column) -> Column:
