@@ -1,6 +1,7 @@
 """Cleanup, garbage and warning rules on known pairs."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,6 +96,20 @@ def test_nulls_and_extra_columns(spark):
     assert got[1].remove_reason == "empty_source_or_target" and got[0].warnings_of == 1
 
 
+def test_garbage_and_identity_are_told_without_reading_most_texts_through(spark):
+    texts = ["İx", "ix", "i\u0307x", "Kelvin", "\u212aelvin", "ſs", "ß", "SS", "ss a", " SS\u00a0 a ", "1 a", "²³", "12 ٣", "12a", "www.a.org b.de/x", "b.de (www.x)", "b.de x", "x b.de", " ", "", ".", None, "Σας", "ΣΑΣ"]
+    df = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    whole = (rules.fold(segments.collapse_ws(a)) == rules.fold(segments.collapse_ws(b))) & a.rlike(r"\p{L}")
+    rows = df.select("a", "b", rules.is_identical(a, b, F.lit("en"), F.lit("de")).alias("got"), F.coalesce(whole, F.lit(False)).alias("want"), rules.is_numeric(a).alias("n"), rules.is_link(a).alias("l")).collect()
+    assert [r for r in rows if r.got != r.want] == [] and any(r.got and r.a != r.b for r in rows)
+    assert {r.a for r in rows if r.n} == {"²³", "12 ٣"} and {r.a for r in rows if r.l} == {"www.a.org b.de/x", "b.de (www.x)"}
+    long = spark.range(1).select(F.concat(F.lit("word "), F.repeat(F.lit("more words. "), 5_000_000)).alias("t"))
+    began = time.time()
+    assert long.select(rules.is_numeric(F.col("t")).alias("n"), rules.is_link(F.col("t")).alias("l")).first() == (False, False)
+    assert time.time() - began < 10  # to split it into words takes longer, and gigabytes
+
+
 def test_script_histogram_counts_as_the_expressions_do_in_one_look_at_a_character(spark):
     rng = random.Random(3)
     points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]

@@ -76,7 +76,7 @@ def is_empty(text: Column) -> Column:
 
 def is_numeric(text: Column) -> Column:
     """At least one digit, and no letter or number that isn't one."""
-    return text.rlike(f"[{DIGIT}]") & ~text.rlike(rf"[{ALNUM}&&[^{DIGIT}]]")
+    return ~text.rlike(rf"[{ALNUM}&&[^{DIGIT}]]") & text.rlike(f"[{DIGIT}]")  # most texts begin with a letter
 
 
 def _is_link_word(word: Column) -> Column:
@@ -96,7 +96,9 @@ def is_link(text: Column) -> Column:
     """Every word, without punctuation round it, is a URL or a bare domain."""
     edge = either(chars.LINK_MARKS)
     bare = lambda w: F.regexp_replace(w, f"^{edge}+|{edge}+$", "")
-    every = lambda t: F.forall(F.split(collapse_ws(t), " "), lambda w: let(bare(w), _is_link_word))
+    is_one = lambda w: let(bare(w), _is_link_word)
+    first = lambda t: F.regexp_extract(strip_ws(t), f"^[^{WS}]*", 0)  # noqa: E731  most texts' first word is none
+    every = lambda t: F.when(is_one(first(t)), F.forall(F.split(collapse_ws(t), " "), is_one)).otherwise(F.lit(False))
     return let(text, lambda t: F.when(t.contains(".") | t.contains("/"), every(t)).otherwise(F.lit(False)))
 
 
@@ -205,10 +207,16 @@ def fold(text: Column) -> Column:
     return F.replace(F.lower(F.upper(text)), F.lit("ß"), F.lit("ss"))
 
 
+def _begin_apart(a: Column, b: Column) -> Column:
+    """Whether two texts begin with different ASCII letters or digits, case aside: then they differ, and need not be folded."""
+    first = lambda t: F.lower(F.left(strip_ws(t), F.lit(1)))
+    return let(F.struct(first(a).alias("a"), first(b).alias("b")), lambda x: (x["a"] != x["b"]) & x["a"].rlike("^[a-z0-9]$") & x["b"].rlike("^[a-z0-9]$"))
+
+
 def is_identical(src: Column, tgt: Column, src_lang: Column, tgt_lang: Column) -> Column:
     """Equal texts in different languages that hold a letter."""
     x, y = base_lang(src_lang), base_lang(tgt_lang)
-    same = (fold(collapse_ws(src)) == fold(collapse_ws(tgt))) & src.rlike(r"\p{L}")
+    same = ~_begin_apart(src, tgt) & (fold(collapse_ws(src)) == fold(collapse_ws(tgt))) & src.rlike(r"\p{L}")
     return F.coalesce((x != "") & (y != "") & (x != y) & same, F.lit(False))
 
 

@@ -142,7 +142,7 @@ z AS (SELECT u.* REPLACE (CASE WHEN y.file_id IS NULL THEN xs ELSE s2 END AS s2,
 {_OUT.replace('FROM u', 'FROM z')}""")
 def plan_apply(spark, sf_dir):
     """A plan is written and read as JSON; what was accepted of it (spaces, and splits of even units) is applied."""
-    tu, headers = _read(spark, sf_dir)
+    tu, headers = (settled(df) for df in _read(spark, sf_dir))  # both runs read them
     first = repair(tu, headers)
     path = fresh_path(spark, "plan")
     rows = state.plan_rows(first.proposals, (F.col("rule") == "normalize_spaces") | (F.col("kind") == "split") & (F.col("tu_index") % 2 == 0))
